@@ -162,7 +162,7 @@ FRAGMENTS = {
     "node_results": f"""select event_id as run_id, cast(k as integer) as position, event_id * 3 + k as num,
             {_list(artefacts.NODE_IDS)}[(event_id * 3 + k) % 4 + 1] as unique_id,
             {_list(artefacts.STATES)}[(event_id * 3 + k) % 5 + 1] as status,
-            {_list(artefacts.MESSAGES)}[(event_id * 3 + k) % 10 + 1] as message,
+            {_list(artefacts.MESSAGES)}[(event_id * 3 + k) // 5 % 10 + 1] as message,
             case event_id % 4 when 1 then 'dbt build --select marts' when 2 then 'Inconnue'
                  when 3 then 'dbt test' else 'dbt build' end as command_executed
         from events cross join range(3) r(k)""",
@@ -177,9 +177,9 @@ FRAGMENTS = {
                 chr(92), '/'), '/')[-1] in ('fct_orders.sql', 'unique_orders') then 0 else 1 end as sort_priority
         from failures""",
     "expected": f"""select event_id as run_id,
-            {_list(artefacts.EXPECTED_TYPES)}[event_id * 3 % 10 % 8 + 1] as error_type from events
+            {_list(artefacts.EXPECTED_TYPES)}[event_id * 3 // 5 % 10 % 8 + 1] as error_type from events
         union all
-        select event_id, {_list(artefacts.EXPECTED_TYPES)}[(event_id * 3 + 1) % 10 % 8 + 1]
+        select event_id, {_quote(artefacts.EXPECTED_TYPES[2])}
         from events where event_id % 5 = 0""",
     "matches": f"""select run_id, cast(sum(seen) as bigint) as observed_failures,
             cast(sum(wanted) as bigint) as expected_failures,

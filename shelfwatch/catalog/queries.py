@@ -20,7 +20,7 @@ from shelfwatch.plans.models import Warehouse
 from shelfwatch.session import scratch_path
 from shelfwatch.sources import artefacts, faults
 from shelfwatch.sources import tables as storage
-from shelfwatch.sources.retail import RawTables, raw_tables
+from shelfwatch.sources.retail import RawTables
 from shelfwatch.streaming import jobs
 
 #: Parameters that suit the dates of the given tables.
@@ -63,12 +63,13 @@ class Tables:
     def hot_products(self) -> list[Any]:
         return self.hot("lineitem", "l_partkey")
 
-    @property
+    @cached_property
     def raw(self) -> RawTables:
-        return raw_tables(self.spark, self.folder)
+        return RawTables(self.spark, self.folder)
 
     def warehouse(self, settings: Settings = SETTINGS, **replaced: DataFrame) -> Warehouse:
-        return Warehouse(self.raw.with_tables(**replaced), settings, self.hot_orders)
+        raw = self.raw.with_tables(**replaced) if replaced else self.raw
+        return Warehouse(raw, settings, lambda: self.hot_orders)
 
     @cached_property
     def marts(self) -> Warehouse:
@@ -103,7 +104,7 @@ class Tables:
     def incidents(self) -> DataFrame:
         return artefacts.incidents(self.events)
 
-    @property
+    @cached_property
     def nodes(self) -> DataFrame:
         return artefacts.lineage_nodes(self.table("customer"))
 
@@ -738,7 +739,7 @@ def lineage_distance(t: Tables) -> DataFrame:
 
 @query
 def lineage_summary(t: Tables) -> DataFrame:
-    return lineage.summary(lineage_upstream(t), lineage_downstream(t), t.failed_ids, t.nodes)
+    return lineage.summary(t.spark, lineage.edges(t.nodes), t.failed_ids, t.nodes)
 
 
 @query

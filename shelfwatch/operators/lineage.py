@@ -8,13 +8,16 @@ count taken while writing.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwatch.functions.skew import union_all
 from shelfwatch.session import scratch_path
 
-# Fixed value: default depth of the short upstream walk.
+# The two directions and the default depth of the upstream walk.
+DIRECTIONS = ("upstream", "downstream")
 DEFAULT_DEPTH = 3
 
 # Schema of the manifest artefact.
@@ -71,94 +74,101 @@ def walk(
     spark: SparkSession,
     edge_table: DataFrame,
     start: DataFrame,
-    direction: str,
+    directions: Sequence[str],
     max_depth: int | None = None,
 ) -> DataFrame:
     """Nodes reached from each origin with their shortest distance.
 
-    ``start`` has (origin, unique_id) at distance 0; the result adds ``distance``
-    and includes the start rows. A node is entered once per origin, at the level
-    that reaches it first, so cycles end and diamonds do not multiply.
+    ``start`` has (origin, unique_id) at distance 0; the result adds ``direction``
+    and ``distance`` and includes the start rows. A node is entered once per
+    direction and origin, at the level that reaches it first, so cycles end and
+    diamonds do not multiply. Both directions grow in the same rounds.
     """
-    if direction == "upstream":
-        steps = edge_table.select(F.col("child").alias("unique_id"), F.col("parent").alias("next_id"))
-    elif direction == "downstream":
-        steps = edge_table.select(F.col("parent").alias("unique_id"), F.col("child").alias("next_id"))
-    else:
+    if not directions or set(directions) - set(DIRECTIONS):
         raise ValueError("direction is upstream or downstream")
-    base = scratch_path(spark, f"lineage-{direction}")
-    schema = start.select("origin", "unique_id").withColumn("distance", F.lit(0)).schema
-
-    def level_path(depth: int) -> str:
-        return f"{base}/level={depth}"
+    sides = {"upstream": ("child", "parent"), "downstream": ("parent", "child")}
+    base = scratch_path(spark, "lineage")
+    steps = union_all(
+        [
+            edge_table.select(
+                F.lit(name).alias("direction"),
+                F.col(sides[name][0]).alias("unique_id"),
+                F.col(sides[name][1]).alias("next_id"),
+            )
+            for name in directions
+        ]
+    )
+    steps.write.parquet(f"{base}/steps")
+    steps = spark.read.schema(steps.schema).parquet(f"{base}/steps")
+    origins = union_all(
+        [start.select(F.lit(name).alias("direction"), "origin", "unique_id") for name in directions]
+    )
+    first = origins.distinct().withColumn("distance", F.lit(0))
 
     def stored(*depths: int) -> DataFrame:
-        return spark.read.schema(schema).parquet(*[level_path(d) for d in depths])
+        return spark.read.schema(first.schema).parquet(*[f"{base}/level={d}" for d in depths])
 
-    steps.write.parquet(f"{base}/steps")
-    steps = spark.read.schema(steps.schema).parquet(f"{base}/steps")
-    first = start.select("origin", "unique_id").distinct().withColumn("distance", F.lit(0))
-    rows, depth = _store(first, level_path(0), "level0"), 0
+    visit = ["direction", "origin", "unique_id"]
+    depth, rows = 0, _store(first, f"{base}/level=0", "level0")
     while rows and (max_depth is None or depth < max_depth):
         reached = (
             stored(depth)
-            .join(steps, "unique_id")
-            .select("origin", F.col("next_id").alias("unique_id"))
+            .join(steps, ["direction", "unique_id"])
+            .select("direction", "origin", F.col("next_id").alias("unique_id"))
             .distinct()
-            .join(stored(*range(depth + 1)).select("origin", "unique_id"), ["origin", "unique_id"], "left_anti")
+            .join(stored(*range(depth + 1)).select(*visit), visit, "left_anti")
             .withColumn("distance", F.lit(depth + 1))
         )
         depth += 1
-        rows = _store(reached, level_path(depth), f"level{depth}")
+        rows = _store(reached, f"{base}/level={depth}", f"level{depth}")
     return stored(*range(depth + 1))
 
 
-def closure(
-    spark: SparkSession, edge_table: DataFrame, failed: DataFrame, direction: str
+def _reached(
+    spark: SparkSession, edge_table: DataFrame, failed: DataFrame, directions: Sequence[str]
 ) -> DataFrame:
-    """All nodes up- or downstream of the failed set, the set itself excluded.
+    """Nodes around the failed set, the set itself excluded.
 
     The set is walked as one origin, so shared ancestors are visited once.
     """
     start = failed.select(F.lit(0).alias("origin"), "unique_id")
-    return (
-        walk(spark, edge_table, start, direction)
-        .where(F.col("distance") > 0)
-        .select("unique_id", "distance")
-    )
+    return walk(spark, edge_table, start, directions).where(F.col("distance") > 0)
+
+
+def closure(
+    spark: SparkSession, edge_table: DataFrame, failed: DataFrame, direction: str
+) -> DataFrame:
+    """All nodes up- or downstream of the failed set, with their distance."""
+    return _reached(spark, edge_table, failed, [direction]).select("unique_id", "distance")
 
 
 def distances(
     spark: SparkSession, edge_table: DataFrame, failed: DataFrame, nodes: DataFrame
 ) -> DataFrame:
     """Signed distance of every model to every failure: upstream negative."""
-    start = failed.select(F.col("unique_id").alias("origin"), "unique_id").distinct()
-    parts = []
-    for direction, sign in (("upstream", -1), ("downstream", 1)):
-        reached = walk(spark, edge_table, start, direction).where(F.col("distance") > 0)
-        parts.append(reached.withColumn("lineage_level", F.col("distance") * sign))
+    start = failed.select(F.col("unique_id").alias("origin"), "unique_id")
+    reached = walk(spark, edge_table, start, DIRECTIONS).where(F.col("distance") > 0)
     models = nodes.where(F.col("resource_type") == "model").select("unique_id")
-    return (
-        union_all(parts)
-        .join(models, "unique_id", "left_semi")
-        .select(F.col("origin").alias("failed_id"), "unique_id", "lineage_level")
+    signed = F.when(F.col("direction") == "upstream", -F.col("distance")).otherwise(F.col("distance"))
+    return reached.join(models, "unique_id", "left_semi").select(
+        F.col("origin").alias("failed_id"), "unique_id", signed.alias("lineage_level")
     )
 
 
-def summary(upstream: DataFrame, downstream: DataFrame, failed: DataFrame, nodes: DataFrame) -> DataFrame:
+def summary(
+    spark: SparkSession, edge_table: DataFrame, failed: DataFrame, nodes: DataFrame
+) -> DataFrame:
     """Number of models and of all nodes per part of the lineage.
 
     The lists behind the counts are the closure tables themselves; as one list
     in one row they would not scale.
     """
-    parts = [
-        rows.select("unique_id").distinct().withColumn("part", F.lit(part))
-        for part, rows in (("failed", failed), ("upstream", upstream), ("downstream", downstream))
-    ]
-    types = nodes.select("unique_id", "resource_type").distinct()
+    around = _reached(spark, edge_table, failed, DIRECTIONS).select(
+        "unique_id", F.col("direction").alias("part")
+    )
+    parts = failed.select("unique_id").distinct().withColumn("part", F.lit("failed")).unionByName(around)
     return (
-        union_all(parts)
-        .join(types, "unique_id")
+        parts.join(nodes.select("unique_id", "resource_type"), "unique_id")
         .groupBy("part")
         .agg(
             F.count_if(F.col("resource_type") == "model").alias("model_count"),
@@ -181,7 +191,7 @@ def upstream_within(
     """
     start = roots.select(F.col("unique_id").alias("origin"), "unique_id").distinct()
     if direction == "upstream":
-        reached = walk(spark, edge_table, start, "upstream", depth)
+        reached = walk(spark, edge_table, start, ["upstream"], depth)
     else:
         reached = start.withColumn("distance", F.lit(0))
     names = nodes.select("unique_id", "name")

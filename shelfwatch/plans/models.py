@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import cached_property
 from typing import Any
 
@@ -218,8 +218,9 @@ class Warehouse:
         self,
         raw: RawTables,
         settings: Settings | None = None,
-        hot_order_ids: Sequence[Any] = (),
+        hot_order_ids: Callable[[], Sequence[Any]] = tuple,
     ) -> None:
+        """``hot_order_ids`` is asked for only when the revenue model is built."""
         self.raw = raw
         self.settings = settings or Settings()
         self.hot_order_ids = hot_order_ids
@@ -255,7 +256,7 @@ class Warehouse:
     @cached_property
     def int_order_revenue(self) -> DataFrame:
         return int_order_revenue(
-            self.stg_orders, self.stg_order_items, self.settings, self.hot_order_ids
+            self.stg_orders, self.stg_order_items, self.settings, self.hot_order_ids()
         )
 
     @cached_property

@@ -77,7 +77,7 @@ def run_results(events: DataFrame) -> DataFrame:
             F.struct(
                 _nth(NODE_IDS, number % len(NODE_IDS)).alias("unique_id"),
                 _nth(STATES, number % len(STATES)).alias("status"),
-                message_at(number).alias("message"),
+                message_at(F.floor(number / len(STATES))).alias("message"),
             )
         )
     command = _nth(COMMANDS, event % len(COMMANDS))
@@ -96,8 +96,9 @@ def run_results_json(events: DataFrame) -> DataFrame:
 def expected_failures(events: DataFrame) -> DataFrame:
     """Expected failure types, one or two per run depending on the event."""
     event = F.col("event_id")
-    first = _nth(EXPECTED_TYPES, event * RESULTS_PER_RUN % 10 % len(EXPECTED_TYPES))
-    second = _nth(EXPECTED_TYPES, (event * RESULTS_PER_RUN + 1) % 10 % len(EXPECTED_TYPES))
+    number = F.floor(event * RESULTS_PER_RUN / len(STATES))
+    first = _nth(EXPECTED_TYPES, number % len(MESSAGES) % len(EXPECTED_TYPES))
+    second = _nth(EXPECTED_TYPES, F.lit(2))
     types = F.when(event % 5 == 0, F.array(first, second)).otherwise(F.array(first))
     return events.select(event.alias("run_id"), F.explode(types).alias("error_type"))
 

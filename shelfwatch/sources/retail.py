@@ -6,9 +6,6 @@ table), so filters and column pruning still reach the parquet scan.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
-from functools import cached_property
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,37 +131,34 @@ def raw_payments(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@dataclass(frozen=True)
 class RawTables:
-    """The six raw tables of the warehouse."""
-
-    customers: DataFrame
-    products: DataFrame
-    stores: DataFrame
-    orders: DataFrame
-    order_items: DataFrame
-    payments: DataFrame
+    """The six raw tables of the warehouse, each opened when first used."""
+
+    LOADERS = {
+        "customers": raw_customers,
+        "products": raw_products,
+        "stores": raw_stores,
+        "orders": raw_orders,
+        "order_items": raw_order_items,
+        "payments": raw_payments,
+    }
+
+    def __init__(self, spark: SparkSession, folder: str, **tables: DataFrame) -> None:
+        self.spark, self.folder = spark, folder
+        self._tables = dict(tables)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in self.LOADERS:
+            raise AttributeError(name)
+        if name not in self._tables:
+            self._tables[name] = self.LOADERS[name](self.spark, self.folder)
+        return self._tables[name]
 
     def with_tables(self, **tables: DataFrame) -> RawTables:
         """A copy in which some tables are replaced, e.g. by a faulty load."""
-        return replace(self, **tables)
-
-    @cached_property
-    def spark(self) -> SparkSession:
-        return self.orders.sparkSession
+        return RawTables(self.spark, self.folder, **{**self._tables, **tables})
 
     def register(self) -> None:
         """Expose the tables to SQL under their declared source names."""
-        for name in ("customers", "products", "stores", "orders", "order_items", "payments"):
+        for name in self.LOADERS:
             getattr(self, name).createOrReplaceTempView(f"raw_{name}")
-
-
-def raw_tables(spark: SparkSession, folder: str) -> RawTables:
-    return RawTables(
-        customers=raw_customers(spark, folder),
-        products=raw_products(spark, folder),
-        stores=raw_stores(spark, folder),
-        orders=raw_orders(spark, folder),
-        order_items=raw_order_items(spark, folder),
-        payments=raw_payments(spark, folder),
-    )
