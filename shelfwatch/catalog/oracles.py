@@ -201,10 +201,11 @@ FRAGMENTS = {
                 when 2 then chr(10) || 'Confidence : 9'
                 else chr(10) || 'CONFIDENCE: 0.' || lpad(cast(doc_id % 100 as varchar), 2, '0') end as report
         from documents""",
-    "rated": r"""select doc_id, report, coalesce(least(greatest(
-            try_cast(nullif(regexp_extract(report, '(?i)confidence[:\s]+([0-9.]+)', 1), '') as double),
-            0.15), 0.95), 0.5) as confidence
-        from reports""",
+    "rated": r"""select doc_id, report,
+            case when stated is null then 0.5::double else least(greatest(stated, 0.15), 0.95) end as confidence
+        from (select doc_id, report, try_cast(nullif(
+                regexp_extract(report, '(?i)confidence[:\s]+([0-9.]+)', 1), '') as double) as stated
+              from reports)""",
     "logs": """select doc_id, case doc_id % 4 when 0 then ' ' || chr(10) || chr(9) || ' '
                 when 1 then 'Failure in model.retail.fct-orders (models/2_marts/fct_orders.sql)' || chr(10) || text
                 when 2 then chr(10) || text || chr(10)

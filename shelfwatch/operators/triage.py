@@ -154,24 +154,15 @@ def node_columns(unique_id: Column, message: Column) -> list[Column]:
 
 
 def failed_nodes(runs: DataFrame) -> DataFrame:
-    """One row per failed node of every run, in document order (``position``).
-
-    Lists are filtered before they are expanded, so only failures become rows.
-    """
-    failures = F.filter(
-        F.transform("results", lambda r, i: F.struct(i.alias("position"), r.alias("result"))),
-        lambda e: e["result"]["status"].isin(*FAILED_STATES),
-    )
+    """One row per failed node of every run, in document order (``position``)."""
     exploded = runs.select(
-        "run_id", command_text(F.col("args.invocation_command")).alias("command_executed"),
-        F.explode(failures).alias("entry"),
-    )
-    unique_id = F.coalesce("entry.result.unique_id", F.lit(""))
-    return exploded.select(
         "run_id",
-        "command_executed",
-        F.col("entry.position").alias("position"),
-        *node_columns(unique_id, F.col("entry.result.message")),
+        command_text(F.col("args.invocation_command")).alias("command_executed"),
+        F.posexplode("results").alias("position", "result"),
+    ).where(F.col("result.status").isin(*FAILED_STATES))
+    unique_id = F.coalesce("result.unique_id", F.lit(""))
+    return exploded.select(
+        "run_id", "command_executed", "position", *node_columns(unique_id, F.col("result.message"))
     )
 
 
@@ -339,7 +330,9 @@ def report_confidence(report: Column) -> Column:
     low, high = CONFIDENCE_RANGE
     stated = F.regexp_extract(report, "(?iU)" + CONFIDENCE, 1)
     value = F.nullif(stated, F.lit("")).try_cast("double")
-    return F.coalesce(F.least(F.greatest(value, F.lit(low)), F.lit(high)), F.lit(DEFAULT_CONFIDENCE))
+    # greatest and least skip NULL, so the default is decided before the limits.
+    limited = F.least(F.greatest(value, F.lit(low)), F.lit(high))
+    return F.when(value.isNull(), DEFAULT_CONFIDENCE).otherwise(limited)
 
 
 def needs_human(report: Column, confidence: Column) -> Column:
@@ -347,18 +340,18 @@ def needs_human(report: Column, confidence: Column) -> Column:
 
 
 def source_data_issue(report: Column) -> Column:
-    """Does a line, or the text after its first "conclusion:", start with a marker?"""
+    """Does a line, or the text after its first "conclusion:", start with a marker?
 
-    def marked(text: Column) -> Column:
-        tests = [F.startswith(text, F.lit(marker)) for marker in SOURCE_DATA_MARKERS]
-        return tests[0] | tests[1] | tests[2] | tests[3]
+    Texts without any marker are answered before they are split into lines.
+    """
+    text, word = F.lower(report), "conclusion:"
+    opening = r"(?U)^\s*(" + "|".join(SOURCE_DATA_MARKERS) + ")"
 
     def concludes(line: Column) -> Column:
-        text = F.lower(strip(line))
-        rest = F.get(F.split(text, "conclusion:", 2), F.lit(1))
-        return marked(text) | F.coalesce(marked(strip(rest)), F.lit(False))
+        rest = F.substr(line, F.locate(word, line) + len(word))
+        return line.rlike(opening) | (F.contains(line, F.lit(word)) & rest.rlike(opening))
 
-    return F.exists(lines(report), concludes)
+    return contains_any(text, SOURCE_DATA_MARKERS) & F.exists(lines(text), concludes)
 
 
 def question_intent(question: Column) -> tuple[Column, Column]:
