@@ -197,7 +197,8 @@ def fct_orders_incremental_merge(t: Tables) -> DataFrame:
     """Recent orders, one version each, merged into facts built without exclusion."""
     previous = t.warehouse(WITHOUT_EXCLUSION).fct_orders
     return history.incremental_merge(
-        previous, t.warehouse().int_order_revenue, t.versions(), SETTINGS.recent_start, repair=True
+        previous, t.warehouse().int_order_revenue, t.versions(), SETTINGS.recent_start,
+        repair=True, hot=t.hot_orders,
     )
 
 
@@ -207,7 +208,7 @@ def fct_orders_incremental_guarded(t: Tables) -> DataFrame:
     previous = t.warehouse(WITHOUT_EXCLUSION).fct_orders
     closed = history.close_versions(t.versions())
     return history.incremental_merge(
-        previous, t.warehouse().int_order_revenue, closed, SETTINGS.recent_start
+        previous, t.warehouse().int_order_revenue, closed, SETTINGS.recent_start, hot=t.hot_orders
     )
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shelfwatch.functions.skew import split_join, union_all
 from shelfwatch.operators.checks import unique
 from shelfwatch.plans.models import FACT_COLUMNS
 
@@ -187,14 +190,18 @@ def incremental_source(
     return latest_version_only(joined) if repair else joined.select(*FACT_COLUMNS)
 
 
-def upsert(target: DataFrame, source: DataFrame, key: str = "order_id") -> DataFrame:
+def upsert(
+    target: DataFrame, source: DataFrame, key: str = "order_id", hot: Sequence[Any] = ()
+) -> DataFrame:
     """Rows of ``source``, plus the rows of ``target`` that it does not replace.
 
     Matching is by key alone, so an order whose date moved leaves its old place.
     The result is meant for a new snapshot folder, never for the one being read.
+    ``hot`` names keys that hold a large share of the target rows.
     """
     replaced = source.select(key).distinct()
-    return target.join(replaced, key, "left_anti").select(*source.columns).unionByName(source)
+    kept = union_all(split_join(target, replaced, key, "left_anti", hot))
+    return kept.select(*source.columns).unionByName(source)
 
 
 def incremental_merge(
@@ -203,12 +210,13 @@ def incremental_merge(
     versions: DataFrame,
     recent_start: date,
     repair: bool = False,
+    hot: Sequence[Any] = (),
 ) -> DataFrame:
     """Guard, then merge the recent orders into the previous facts."""
     if not repair:
         require_single_versions(revenue, versions, recent_start)
     source = incremental_source(revenue, versions, recent_start, repair)
-    return upsert(target.select(*FACT_COLUMNS), source)
+    return upsert(target.select(*FACT_COLUMNS), source, hot=hot)
 
 
 def merge_into_table(spark: SparkSession, table: str, source: DataFrame, key: str = "order_id") -> None:

@@ -53,7 +53,8 @@ def edges(nodes: DataFrame) -> DataFrame:
 
 def unknown_ids(failed: DataFrame, nodes: DataFrame) -> DataFrame:
     """Failed ids that are not nodes."""
-    return failed.join(nodes.select("unique_id"), "unique_id", "left_anti").distinct()
+    named = failed.select("unique_id").distinct()
+    return named.join(nodes.select("unique_id"), "unique_id", "left_anti")
 
 
 def require_known(failed: DataFrame, nodes: DataFrame) -> None:

@@ -38,6 +38,13 @@ LEGACY_CONTEXT = (
     "struct<failed_node: string, error_message: string, file_path: string, dbt_command: string>"
 )
 
+INCIDENT = (
+    f"incident_id string, scenario_id string, status string, diagnostic {DIAGNOSTIC}, "
+    f"context {LEGACY_CONTEXT}, rca struct<proposed_fix: string>, patch struct<file_path: string>, "
+    "patches array<struct<file_path: string>>, investigation_output string, "
+    "validation_passed boolean, created_at timestamp_ntz"
+)
+
 # States, default texts and category names.
 FAILED_STATES = ("error", "fail")
 UNKNOWN_COMMAND = "Inconnue"
@@ -369,6 +376,16 @@ def question_intent(question: Column) -> tuple[Column, Column]:
 # -- incidents -------------------------------------------------------------
 
 
+def read_incidents(spark: SparkSession, path: str) -> DataFrame:
+    """Stored incident documents, old layouts brought up to date."""
+    return incidents_normalised(read_json_documents(spark, path, INCIDENT))
+
+
+def append_incidents(incidents: DataFrame, path: str) -> None:
+    """Add incidents to a store of JSON lines."""
+    incidents.write.mode("append").option("ignoreNullFields", "false").json(path)
+
+
 def incidents_normalised(incidents: DataFrame) -> DataFrame:
     """Fill the diagnostic of records that still carry only a context."""
     context = F.col("context")

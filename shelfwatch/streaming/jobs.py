@@ -6,13 +6,13 @@ folder, and every job can be restarted from its own checkpoint.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from shelfwatch.operators.history import upsert
 from shelfwatch.session import scratch_path
 from shelfwatch.sources.tables import SCHEMAS
 
@@ -32,8 +32,25 @@ def read_events(spark: SparkSession, folder: str, files_per_batch: int | None =
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def dedup_stream(events: DataFrame, key: str = "event_id", delay: str = REPLAY_DELAY) -> DataFrame:
-    """First delivery of every event; a key is forgotten after the delay."""
+def _drop_copies(key: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.drop_duplicates(key)
+
+    return combine
+
+
+def dedup_stream(
+    events: DataFrame, key: str = "event_id", delay: str = REPLAY_DELAY, combine_first: bool = False
+) -> DataFrame:
+    """First delivery of every event; a key is forgotten after the delay.
+
+    The stateful operator shuffles every delivery by key. ``combine_first`` drops
+    copies inside each Arrow batch before that shuffle; switch it on when a few
+    events are delivered so often that one state partition becomes the bottleneck.
+    """
+    if combine_first:
+        events = events.mapInPandas(_drop_copies(key), events.schema)
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
 
 
@@ -68,39 +85,39 @@ def append_to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQ
     )
 
 
-class SnapshotUpserts:
-    """Merge each micro-batch into the newest snapshot of a table.
+class KeyedUpserts:
+    """Upsert micro-batches into a table of changes, one folder per batch.
 
-    A batch reads the snapshot that is numbered below its own id and writes the
-    one named by its id, so a repeated batch writes the same snapshot again.
+    A batch writes only its own rows, one per key, into the folder named by its
+    id, so its cost does not grow with the table and a repeated batch replaces
+    itself. :meth:`latest` reads the newest row of every key; :meth:`compact`
+    starts a new table from it when the changes have piled up.
     ``newest_first`` decides which row of a key wins within one batch.
     """
 
     def __init__(
-        self, root: str, schema: str, key: str, newest_first: Callable[[], Sequence] = lambda: ()
+        self, root: str, schema: str, key: str, newest_first: Callable[[], Sequence] | None = None
     ) -> None:
         self.root, self.schema, self.key = root, schema, key
         self.newest_first = newest_first
-        self.last_batch = -1
 
-    def _path(self, batch_id: int) -> str:
-        return f"{self.root}/batch={batch_id}"
-
-    def snapshot(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        if batch_id < 0:
-            return spark.createDataFrame([], self.schema)
-        return spark.read.schema(self.schema).parquet(self._path(batch_id))
+    def _first_per_key(self, rows: DataFrame, *order: Column) -> DataFrame:
+        # Rank 1 is pruned map-side, so a hot key reaches the shuffle once per task.
+        pick = Window.partitionBy(self.key).orderBy(*order)
+        return rows.withColumn("pick", F.row_number().over(pick)).where("pick = 1").drop("pick")
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if self.newest_first():
-            pick = Window.partitionBy(self.key).orderBy(*self.newest_first())
-            rows = rows.withColumn("pick", F.row_number().over(pick)).where("pick = 1").drop("pick")
-        columns = self.snapshot(spark, -1).columns
-        merged = upsert(self.snapshot(spark, batch_id - 1), rows.select(*columns), self.key)
-        merged.write.mode("overwrite").parquet(self._path(batch_id))
-        self.last_batch = batch_id
+        rows = self._first_per_key(batch, *self.newest_first()) if self.newest_first else batch
+        rows.write.mode("overwrite").parquet(f"{self.root}/batch={batch_id}")
+
+    def latest(self, spark: SparkSession) -> DataFrame:
+        changes = spark.read.schema(f"{self.schema}, batch bigint").parquet(self.root)
+        return self._first_per_key(changes, F.desc("batch")).drop("batch")
+
+    def compact(self, spark: SparkSession, root: str) -> KeyedUpserts:
+        """Copy the newest rows into a new table, as its batch -1."""
+        self.latest(spark).write.parquet(f"{root}/batch=-1")
+        return KeyedUpserts(root, self.schema, self.key, self.newest_first)
 
     def start(self, stream: DataFrame, checkpoint: str, mode: str = "append") -> StreamingQuery:
         return (
@@ -111,12 +128,10 @@ class SnapshotUpserts:
             .start()
         )
 
-    def run(self, stream: DataFrame, mode: str = "append") -> DataFrame:
-        """Process all available input and return the last snapshot."""
-        spark = stream.sparkSession
-        query = self.start(stream, f"{self.root}/_checkpoint", mode)
-        query.awaitTermination()
-        return self.snapshot(spark, self.last_batch)
+    def run(self, stream: DataFrame, checkpoint: str, mode: str = "append") -> DataFrame:
+        """Process all available input and return the newest rows."""
+        self.start(stream, checkpoint, mode).awaitTermination()
+        return self.latest(stream.sparkSession)
 
 
 def run_dedup(spark: SparkSession, events: DataFrame) -> DataFrame:
@@ -132,21 +147,15 @@ def run_daily_volume(spark: SparkSession, events: DataFrame) -> DataFrame:
 
     Update mode emits every changed day; the upsert keeps its latest state.
     """
-    sink = SnapshotUpserts(
-        scratch_path(spark, "stream-volume"),
-        "day date, event_count bigint, last_seen timestamp_ntz",
-        "day",
-    )
-    return sink.run(daily_volume(events), "update")
+    root = scratch_path(spark, "stream-volume")
+    sink = KeyedUpserts(f"{root}/rows", "day date, event_count bigint, last_seen timestamp_ntz", "day")
+    return sink.run(daily_volume(events), f"{root}/_checkpoint", "update")
 
 
 def run_upsert(spark: SparkSession, events: DataFrame) -> DataFrame:
     """Latest event per user, merged micro-batch by micro-batch."""
-    sink = SnapshotUpserts(
-        scratch_path(spark, "stream-upsert"),
-        SCHEMAS["events"],
-        "user_id",
-        lambda: (F.desc("ts"), F.desc("event_id")),
-    )
+    root = scratch_path(spark, "stream-upsert")
+    newest = lambda: (F.desc("ts"), F.desc("event_id"))
+    sink = KeyedUpserts(f"{root}/rows", SCHEMAS["events"], "user_id", newest)
     rows = events.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    return sink.run(rows)
+    return sink.run(rows, f"{root}/_checkpoint")

@@ -10,6 +10,8 @@ from shelfwatch.functions.skew import heavy_keys, split_join, union_all
 from shelfwatch.operators import anomalies, checks, history, profile
 from shelfwatch.plans import dashboard
 from shelfwatch.plans.models import FACT_COLUMNS
+from shelfwatch.session import scratch_path
+from shelfwatch.sources.tables import save_bucketed
 
 
 def test_heavy_keys_finds_the_hot_key_and_null(spark):
@@ -187,3 +189,22 @@ def test_orphan_rate_and_missing_status_with_hot_keys(spark):
         assert rows(rate) == [(day, 6, 3, 0.5)]
         missing = anomalies.missing_status(orders, items, facts, accepted, hot)
         assert rows(missing) == [(day, "completed", 2)]
+
+
+def test_upsert_with_hot_keys(spark):
+    target = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "n")], "order_id bigint, v string")
+    source = spark.createDataFrame([(1, "x"), (3, "y")], "order_id bigint, v string")
+    for hot in ((), (1,), (2, None)):
+        assert rows(history.upsert(target, source, hot=hot)) == [(1, "x"), (2, "c"), (3, "y"), (None, "n")]
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    base = scratch_path(spark, "bucketed")
+    left = save_bucketed(spark.range(50).withColumnRenamed("id", "order_id"), "b_orders", "order_id", 4, f"{base}/o")
+    items = spark.range(100).selectExpr("id % 50 as order_id", "id as item")
+    right = save_bucketed(items, "b_items", "order_id", 4, f"{base}/i")
+    joined = left.hint("merge").join(right, "order_id")
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 100
+    spark.sql("drop table b_orders")
+    spark.sql("drop table b_items")

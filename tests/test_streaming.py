@@ -62,15 +62,28 @@ def test_upsert_replaces_keys_batch_by_batch_and_restarts(spark, tmp_path):
     assert rows(found.select("user_id", "event_id", "value")) == [(1, 4, 4.0), (2, 3, 3.0), (3, 5, 5.0)]
 
 
-def test_repeating_a_batch_gives_the_same_snapshot(spark):
-    sink = jobs.SnapshotUpserts(scratch_path(spark, "repeat"), "k bigint, v bigint", "k")
+def test_repeating_a_batch_and_compacting_change_nothing(spark):
+    root = scratch_path(spark, "repeat")
+    sink = jobs.KeyedUpserts(f"{root}/a", "k bigint, v bigint", "k")
     first = spark.createDataFrame([(1, 1), (2, 1)], "k bigint, v bigint")
     second = spark.createDataFrame([(2, 2), (3, 2)], "k bigint, v bigint")
     sink.merge(first, 0)
     sink.merge(second, 1)
-    once = rows(sink.snapshot(spark, 1))
     sink.merge(second, 1)
-    assert rows(sink.snapshot(spark, 1)) == once == [(1, 1), (2, 2), (3, 2)]
+    assert rows(sink.latest(spark)) == [(1, 1), (2, 2), (3, 2)]
+    compacted = sink.compact(spark, f"{root}/b")
+    assert rows(compacted.latest(spark)) == [(1, 1), (2, 2), (3, 2)]
+    compacted.merge(spark.createDataFrame([(1, 9)], "k bigint, v bigint"), 2)
+    assert rows(compacted.latest(spark)) == [(1, 9), (2, 2), (3, 2)]
+
+
+def test_copies_can_be_combined_before_the_state(spark, tmp_path):
+    folder = folder_with(spark, tmp_path, [event(1, 0)] * 50 + [event(2, 1)], [event(1, 0), event(3, 2)])
+    stream = jobs.dedup_stream(jobs.read_events(spark, folder, 1), combine_first=True)
+    root = scratch_path(spark, "combine")
+    jobs.append_to_table(stream, f"{root}/rows", f"{root}/_checkpoint").awaitTermination()
+    found = spark.read.schema(stream.schema).parquet(f"{root}/rows")
+    assert rows(found.select("event_id")) == [(1,), (2,), (3,)]
 
 
 def test_batch_and_stream_twins_agree(spark, data):

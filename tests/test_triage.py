@@ -156,6 +156,18 @@ def test_legacy_incidents_and_order(spark):
     assert [r.incident_id for r in triage.incidents_latest(records).collect()] == ["B", "A"]
 
 
+def test_incident_store(spark, tmp_path):
+    document = {"incident_id": "A", "created_at": "2026-01-01T10:00:00", "context": {"failed_node": "model.s.a"}}
+    (tmp_path / "A.json").write_text(json.dumps(document, indent=2))
+    loaded = triage.read_incidents(spark, str(tmp_path))
+    assert loaded.first()["diagnostic"].failed_nodes[0].node_name == "a"
+    store = scratch_path(spark, "incidents")
+    triage.append_incidents(loaded, store)
+    triage.append_incidents(loaded.withColumn("incident_id", F.lit("B")), store)
+    again = spark.read.schema(loaded.schema).json(store)
+    assert sorted(r.incident_id for r in again.collect()) == ["A", "B"]
+
+
 def manifest_tables(spark, tmp_path):
     def node(unique_id, kind, *parents):
         return {
