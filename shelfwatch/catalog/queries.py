@@ -631,12 +631,8 @@ def eval_summary(t: Tables) -> DataFrame:
 
 @query
 def single_class_match(t: Tables) -> DataFrame:
-    first = triage.primary_failures(t.failures)
     wanted = artefacts.expected_failures(t.events)
-    return first.join(wanted, "run_id").select(
-        "run_id", "error_type",
-        triage.single_class_match(F.col("error_message"), F.col("error_type")).alias("matched"),
-    )
+    return triage.single_class_matches(t.failures, wanted, t.hot("events", "event_id"))
 
 
 @query
@@ -774,8 +770,7 @@ def dedup_events(t: Tables) -> DataFrame:
 
 @query
 def stream_dedup(t: Tables) -> DataFrame:
-    rows = jobs.run_dedup(t.spark, faults.replayed_everywhere(_event_stream(t)))
-    return rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return jobs.run_dedup(t.spark, faults.replayed_everywhere(_event_stream(t)))
 
 
 @query

@@ -11,15 +11,19 @@ from pyspark.sql import functions as F
 
 from shelfwatch.functions.skew import split_join, union_all
 from shelfwatch.operators.checks import unique
-from shelfwatch.plans.models import FACT_COLUMNS
+from shelfwatch.plans.models import FACT_COLUMNS, read_facts, write_facts
 
 class DuplicateMergeKeys(RuntimeError):
     """The incremental source would hit a merge key more than once."""
 
 
-# Fixed values of the version history.
+# The version history and the message of the guard.
 OPEN_END = "9999-12-31"
 VERSION_SHIFT_DAYS = 180
+DUPLICATES_MESSAGE = (
+    "MERGE failed on fct_orders: duplicate key order_id detected in the incremental source "
+    "({count} recent orders are multiplied by overlapping dim_customers SCD2 versions)."
+)
 
 VERSION_COLUMNS = (
     "customer_id",
@@ -165,10 +169,7 @@ def require_single_versions(revenue: DataFrame, versions: DataFrame, recent_star
     """Stop before a merge whose source has duplicate keys."""
     count = merge_duplicate_guard(revenue, versions, recent_start).first()[0]
     if count > 0:
-        raise DuplicateMergeKeys(
-            "MERGE failed on fct_orders: duplicate key order_id detected in the incremental source "
-            f"({count} recent orders are multiplied by overlapping dim_customers SCD2 versions)."
-        )
+        raise DuplicateMergeKeys(DUPLICATES_MESSAGE.format(count=count))
 
 
 def full_refresh(revenue: DataFrame, versions: DataFrame) -> DataFrame:
@@ -219,6 +220,24 @@ def incremental_merge(
     return upsert(target.select(*FACT_COLUMNS), source, hot=hot)
 
 
+def merge_snapshot(
+    previous_path: str,
+    new_path: str,
+    revenue: DataFrame,
+    versions: DataFrame,
+    recent_start: date,
+    repair: bool = False,
+    hot: Sequence[Any] = (),
+) -> DataFrame:
+    """Merge into the facts stored at one path and store the result at another.
+
+    Readers keep the previous snapshot until they are pointed at the new one.
+    """
+    previous = read_facts(revenue.sparkSession, previous_path)
+    merged = incremental_merge(previous, revenue, versions, recent_start, repair, hot)
+    return write_facts(merged, new_path)
+
+
 def merge_into_table(spark: SparkSession, table: str, source: DataFrame, key: str = "order_id") -> None:
     """The same merge in place, for catalogs whose tables support MERGE."""
     target = spark.table(table)

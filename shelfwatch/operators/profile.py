@@ -9,12 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Default column and sizes, the search order for bare table names,
-# and the two patterns that admit a statement.
+# the two patterns that admit a statement, and the error messages.
 DEFAULT_COLUMN = "order_id"
 HISTORY_DAYS = 14
 ROW_CAP = 100
 SEARCH_ORDER = ("marts", "staging", "intermediate", "main")
 READ_ONLY = r"^\s*(with|select)\b"
+NOT_A_QUERY = "Only SELECT/WITH queries are allowed"
+FORBIDDEN_WORD = "Forbidden SQL keyword detected"
 FORBIDDEN = r"\b(insert|update|delete|drop|create|attach|copy|install)\b"
 
 
@@ -110,8 +112,8 @@ def is_read_only(statement: Column) -> Column:
 def run_read_only(spark: SparkSession, statement: str, limit: int = ROW_CAP) -> DataFrame:
     """Run one reading statement; without a limit of its own it gets a row cap."""
     if not re.match(READ_ONLY, statement, re.IGNORECASE):
-        raise ValueError("Only SELECT/WITH queries are allowed")
+        raise ValueError(NOT_A_QUERY)
     if re.search(FORBIDDEN, statement, re.IGNORECASE):
-        raise ValueError("Forbidden SQL keyword detected")
+        raise ValueError(FORBIDDEN_WORD)
     result = spark.sql(statement.rstrip().rstrip(";"))
     return result if "limit" in statement.lower() else result.limit(limit)

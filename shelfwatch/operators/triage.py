@@ -8,10 +8,12 @@ records are compared as counted rows, never collected.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shelfwatch.functions.skew import split_join, union_all
 from shelfwatch.functions.text import (
     base_name,
     contains_any,
@@ -297,8 +299,19 @@ def eval_summary(matches: DataFrame) -> DataFrame:
     )
 
 
-def single_class_match(message: Column, expected_type: Column) -> Column:
-    return error_category(message) == normalized_type(expected_type)
+def single_class_matches(
+    nodes: DataFrame, expected: DataFrame, hot: Sequence[Any] = ()
+) -> DataFrame:
+    """Does the first failure of a run have an expected type?
+
+    ``hot`` names runs that hold a large share of the expected rows.
+    """
+    first = primary_failures(nodes).select("run_id", error_category(F.col("error_message")).alias("category"))
+    wanted = expected.select("run_id", "error_type")
+    matched = F.col("category") == normalized_type(F.col("error_type"))
+    return union_all(split_join(wanted, first, "run_id", "inner", hot)).select(
+        "run_id", "error_type", matched.alias("matched")
+    )
 
 
 def root_cause_file_match(expected_file: Column) -> Column:

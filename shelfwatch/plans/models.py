@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from functools import cached_property
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwatch.config import Settings
@@ -26,6 +26,11 @@ ORDER_COLUMNS = (
     "country_code",
 )
 FACT_COLUMNS = (*ORDER_COLUMNS, "order_revenue", "total_quantity")
+STORED_FACTS = (
+    "order_id bigint, customer_id bigint, store_id bigint, order_timestamp timestamp_ntz, "
+    "order_date date, order_status string, channel string, country_code string, "
+    "order_revenue double, total_quantity bigint, order_month date"
+)
 
 
 # -- staging ---------------------------------------------------------------
@@ -328,3 +333,7 @@ def write_facts(facts: DataFrame, path: str, mode: str = "errorifexists") -> Dat
     """Store order facts by month, so a date range reads only its months."""
     by_month = facts.withColumn("order_month", F.trunc("order_date", "MM"))
     return write_table(by_month, path, partition_by="order_month", mode=mode)
+
+
+def read_facts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(STORED_FACTS).parquet(path)

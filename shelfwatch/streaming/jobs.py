@@ -22,14 +22,22 @@ REPLAY_DELAY = "40 days"
 LATE_EVENTS = "2 days"
 
 
+def utc_instant(wall_clock: Column) -> Column:
+    """Zoned timestamp of a UTC wall-clock time, whatever the session zone is."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), wall_clock).cast("timestamp")
+
+
+def utc_wall_clock(instant: Column) -> Column:
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
+
+
 def read_events(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
-    """Event files as a stream. Watermarks need a zoned timestamp, so ``ts``
-    is cast (the session zone is UTC)."""
+    """Event files as a stream, with ``ts`` as the zoned timestamp that watermarks need."""
     reader = spark.readStream.schema(SCHEMAS["events"]).option("pathGlobFilter", "events*.parquet")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     events = reader.parquet(folder)
-    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return events.withColumn("ts", utc_instant(F.col("ts")))
 
 
 def _drop_copies(key: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -66,9 +74,9 @@ def daily_volume(events: DataFrame, delay: str = LATE_EVENTS) -> DataFrame:
         .groupBy(F.window("ts", "1 day").alias("day_window"))
         .agg(F.count(F.lit(1)).alias("event_count"), F.max("ts").alias("last_seen"))
         .select(
-            F.col("day_window.start").cast("date").alias("day"),
+            utc_wall_clock(F.col("day_window.start")).cast("date").alias("day"),
             "event_count",
-            F.col("last_seen").cast("timestamp_ntz").alias("last_seen"),
+            utc_wall_clock(F.col("last_seen")).alias("last_seen"),
         )
     )
 
@@ -139,7 +147,8 @@ def run_dedup(spark: SparkSession, events: DataFrame) -> DataFrame:
     root = scratch_path(spark, "stream-dedup")
     stream = dedup_stream(events)
     append_to_table(stream, f"{root}/rows", f"{root}/_checkpoint").awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/rows")
+    found = spark.read.schema(stream.schema).parquet(f"{root}/rows")
+    return found.withColumn("ts", utc_wall_clock(F.col("ts")))
 
 
 def run_daily_volume(spark: SparkSession, events: DataFrame) -> DataFrame:
@@ -157,5 +166,5 @@ def run_upsert(spark: SparkSession, events: DataFrame) -> DataFrame:
     root = scratch_path(spark, "stream-upsert")
     newest = lambda: (F.desc("ts"), F.desc("event_id"))
     sink = KeyedUpserts(f"{root}/rows", SCHEMAS["events"], "user_id", newest)
-    rows = events.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    rows = events.withColumn("ts", utc_wall_clock(F.col("ts")))
     return sink.run(rows, f"{root}/_checkpoint")

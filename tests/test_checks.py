@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from shelfwatch.functions.skew import heavy_keys, split_join, union_all
 from shelfwatch.operators import anomalies, checks, history, profile
 from shelfwatch.plans import dashboard
-from shelfwatch.plans.models import FACT_COLUMNS
+from shelfwatch.plans.models import FACT_COLUMNS, read_facts, write_facts
 from shelfwatch.session import scratch_path
 from shelfwatch.sources.tables import save_bucketed
 
@@ -208,3 +208,50 @@ def test_bucketed_tables_join_without_a_shuffle(spark):
     assert joined.count() == 100
     spark.sql("drop table b_orders")
     spark.sql("drop table b_items")
+
+
+def test_merged_snapshot_keeps_the_previous_one(spark):
+    base = scratch_path(spark, "snapshots")
+    old = spark.createDataFrame([fact(1, 1, date(2026, 7, 1), 5.0), fact(2, 2, date(2026, 8, 1))], FACT)
+    write_facts(old, f"{base}/v1")
+    revenue = spark.createDataFrame([fact(1, 1, date(2026, 8, 20), 9.0)], FACT)
+    versions = spark.createDataFrame([version(1, date(2026, 1, 1))], VERSION)
+    new = history.merge_snapshot(f"{base}/v1", f"{base}/v2", revenue, versions, date(2026, 8, 15))
+    expected = [(1, date(2026, 8, 1), 9.0), (2, date(2026, 8, 1), 1.0)]
+    assert rows(new.select("order_id", "order_month", "order_revenue")) == expected
+    assert rows(read_facts(spark, f"{base}/v1").drop("order_month")) == rows(old)
+
+
+def test_adaptive_execution_splits_a_hot_customer(spark):
+    """The temporal join relies on it: both of its sides are plain shuffles."""
+    changed = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k",
+    }
+    before = {key: spark.conf.get(key, None) for key in changed}
+    try:
+        for key, value in changed.items():
+            spark.conf.set(key, value)
+        day = F.lit(date(2026, 8, 20))
+        orders = spark.range(0, 60000, 1, 8).select(
+            F.col("id").alias("order_id"),
+            F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("customer_id"),
+            day.alias("order_date"),
+        )
+        versions = spark.range(20000).select(
+            F.col("id").alias("customer_id"), day.alias("valid_from"), day.alias("valid_to")
+        )
+        joined = history.temporal_join(orders, versions)
+        assert joined.count() == 60000
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)

@@ -90,3 +90,12 @@ def test_batch_and_stream_twins_agree(spark, data):
     stream = jobs.run_dedup(spark, jobs.read_events(spark, data))
     batch = jobs.dedup_batch(spark.read.schema(SCHEMAS["events"]).parquet(f"{data}/events.parquet"))
     assert stream.count() == batch.count() == 1000
+
+
+def test_days_do_not_depend_on_the_session_zone(spark, data):
+    utc = rows(jobs.run_daily_volume(spark, jobs.read_events(spark, data)))
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert rows(jobs.run_daily_volume(spark, jobs.read_events(spark, data))) == utc
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -79,6 +79,19 @@ def test_multisets_differ_in_multiplicity(spark):
     assert rows(triage.eval_summary(found)) == [(3, 1, 1, 1)]
 
 
+def test_single_class_with_hot_runs(spark):
+    nodes = spark.createDataFrame(
+        [(1, 0, "syntax error"), (1, 1, "file locked"), (2, 0, "")], "run_id int, position int, error_message string"
+    )
+    expected = spark.createDataFrame(
+        [(1, "compilation_error"), (1, "infrastructure"), (2, "unknown"), (3, "x")], "run_id int, error_type string"
+    )
+    for hot in ((), (1,)):
+        assert rows(triage.single_class_matches(nodes, expected, hot)) == [
+            (1, "compilation_error", True), (1, "infrastructure", False), (2, "unknown", True)
+        ]
+
+
 def test_plain_text_failure(spark):
     logs = spark.createDataFrame(
         [(1, " \n "), (2, "Compilation Error\nEnv var required but not provided: X"), (3, "in model.shop.a-b (models/a.sql)\n")],
