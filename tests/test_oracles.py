@@ -20,7 +20,10 @@ TYPES = {
     "boolean": "BOOLEAN",
     "timestamp_ntz": "TIMESTAMP",
 }
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+#: Queries of the optional corpus subpackage are tested beside it.
+CORPUS = {} if contract.corpus is None else {**contract.corpus.QUERIES, "pipeline": None}
+QUERIES = {k: v for k, v in contract.queries().items() if k not in CORPUS}
+ORACLES = {k: v for k, v in contract.oracle_sql().items() if k not in CORPUS}
 
 
 @pytest.fixture(scope="module")
