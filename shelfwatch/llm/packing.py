@@ -73,7 +73,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, vocab: str | None = None, end_
     path = vocab or vocabulary()
 
     def cut(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode, end = encoder(path), np.array([end_id], "<u4").tobytes()
         for batch in batches(source, 4_000_000):
             rows: dict[str, list] = {k.split()[0]: [] for k in PIECES.split(", ")}
             for doc, deal, ids in zip(
@@ -82,16 +82,17 @@ def pieces(docs: DataFrame, length: int = LENGTH, vocab: str | None = None, end_
                 encode(batch.column("text").to_pylist()),
                 strict=True,
             ):
-                ids = np.append(ids, np.uint32(end_id))
-                for start in range(0, len(ids), length):
-                    part = ids[start : start + length]
+                ids += end
+                total = len(ids) // 4
+                for start in range(0, total, length):
+                    part = ids[4 * start : 4 * (start + length)]
                     rows["doc_id"].append(doc)
                     rows["start"].append(start)
-                    rows["length"].append(len(part))
-                    rows["ids_crc32"].append(zlib.crc32(part.astype("<u4").tobytes()))
-                    rows["doc_tokens"].append(len(ids))
+                    rows["length"].append(len(part) // 4)
+                    rows["ids_crc32"].append(zlib.crc32(part))
+                    rows["doc_tokens"].append(total)
                     rows["deal"].append(deal)
-                    rows["ids"].append(part.astype(np.int32) if with_ids else None)
+                    rows["ids"].append(np.frombuffer(part, "<i4") if with_ids else None)
             kinds = [pa.int64()] * 6 + [pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], list(rows))
 

@@ -37,54 +37,37 @@ class WordEncoder:
         self.mark = self._encode(_BETWEEN)
         if len(self.mark) != 1:
             raise ValueError("the vocabulary cuts the word used between words")
-        self.reset()
-
-    def reset(self) -> None:
-        self.memo: dict[bytes, int] = {}
-        self.lengths, self.starts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        #: Little-endian ids of each word met.
+        self.memo: dict[bytes, bytes] = {}
 
     def _encode(self, text: bytes) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4")
 
     def _learn(self, words: list[bytes]) -> None:
-        odd = [w for w in words if b"<|" in w or _BETWEEN in w]
         plain = [w for w in words if b"<|" not in w and _BETWEEN not in w]
-        found, lengths = [], []
         for at in range(0, len(plain), 5_000):
             part = plain[at : at + 5_000]
             ids = self._encode((b" " + _BETWEEN + b" ").join(part))
             cuts = np.flatnonzero(ids == self.mark[0])
             if len(cuts) != len(part) - 1:
                 raise ValueError("the vocabulary does not keep words apart")
-            lengths.append(np.diff(np.concatenate(([-1], cuts, [len(ids)]))) - 1)
-            found.append(ids[ids != self.mark[0]])
-        for w in odd:
-            found.append(self._encode(w))
-            lengths.append(np.array([len(found[-1])]))
-        first = len(self.lengths)
-        self.memo.update(zip([*plain, *odd], range(first, first + len(words)), strict=True))
-        new = np.concatenate(lengths)
-        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(new) - new))
-        self.lengths = np.concatenate((self.lengths, new))
-        self.ids = np.concatenate((self.ids, *found))
-
-    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        """An array of uint32 ids for each UTF-8 text."""
+            whole, starts, ends = ids.tobytes(), [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
+            self.memo.update((w, whole[i:j]) for w, i, j in zip(part, starts, ends, strict=True))
+        for w in words:
+            if b"<|" in w or _BETWEEN in w:
+                self.memo[w] = self._encode(w).tobytes()
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        """The little-endian 32-bit ids of each UTF-8 text."""
         if len(self.memo) > MEMO_WORDS:
-            self.reset()
+            self.memo = {}
         split = [(t if b"<|" in t else _CUT.sub(rb"\1 \2", t.lower())).split() for t in texts]
-        known = [list(map(self.memo.get, words)) for words in split]
-        unknown = {w for words, at in zip(split, known, strict=True) if None in at for w, i in zip(words, at, strict=True) if i is None}
-        if unknown:
-            self._learn(list(unknown))
-        out = []
-        for words, at in zip(split, known, strict=True):
-            at = np.array(list(map(self.memo.__getitem__, words)) if None in at else at, np.int64)
-            lengths = self.lengths[at]
-            shift = np.repeat(self.starts[at] - (np.cumsum(lengths) - lengths), lengths)
-            out.append(self.ids[shift + np.arange(len(shift))])
-        return out
+        found = [list(map(self.memo.get, words)) for words in split]
+        new = {w for words, ids in zip(split, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
+        if new:
+            self._learn(list(new))
+            found = [list(map(self.memo.__getitem__, words)) if None in ids else ids for words, ids in zip(split, found, strict=True)]
+        return list(map(b"".join, found))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
