@@ -20,13 +20,17 @@ and ``n_dropped`` are replaced. Empty tables give empty results.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.llm.common import SPACE, written
+from shelfwatch.llm.common import batches, text_bytes, written
 
 LEAST_TOKENS = 4
 LEADING = 3
@@ -34,54 +38,110 @@ LEADING = 3
 FIXED = 0.7
 #: Different texts that make a leaf, a fixed token or a template recur.
 TEXTS = 3
-FIELD = "<*>"
+FIELD = b"<*>"
 
 
-def _masked(tokens: Column) -> Column:
-    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
+#: Bits of the filter that spares lines alone at their leaf (8 MB); a fuller filter lets more through.
+FILTER_BITS = 1 << 26
 
+_DIGIT = re.compile(rb"[0-9]")
+_LINES = "text_key binary, doc_id long, line_no int, leaf long, line_hash long, line string"
+
+
+def _key() -> Column:
+    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(text_key, doc_id, line_no, leaf, line) of each line that enters the tree; ``line`` is masked."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    split = docs.select(
-        F.md5(text).alias("text_key"), F.col("doc_id").cast("long"), F.posexplode(F.split(text, "\n")).alias("line_no", "raw")
-    )
-    inner = F.regexp_replace("raw", f"^[{SPACE}]+|[{SPACE}]+$", "")
-    tokens = split.withColumn("tokens", _masked(F.split(inner, f"[{SPACE}]+"))).where(F.size("tokens") >= LEAST_TOKENS)
-    leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEADING))
-    return tokens.select("text_key", "doc_id", "line_no", leaf.alias("leaf"), F.array_join("tokens", " ").alias("line"))
 
+def _long(data: bytes) -> int:
+    value = xxhash.xxh3_64_intdigest(data)
+    return value - (1 << 64) if value >> 63 else value
 
-def _shared(rows: DataFrame, key: list[str], texts: int) -> DataFrame:
+
+def lines(docs: DataFrame) -> DataFrame:
+    """Rows of ``_LINES``: each line that enters the tree, with fields masked and white space evened."""
+
+    def parse(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(source):
+            rows: list[tuple] = []
+            for key, doc, text in zip(*(batch.column(c).to_pylist() for c in ("text_key", "doc_id", "text")), strict=True):
+                for number, raw in enumerate(text.split(b"\n")):
+                    tokens = raw.split()
+                    if len(tokens) >= LEAST_TOKENS:
+                        if _DIGIT.search(raw):
+                            tokens = [FIELD if _DIGIT.search(t) else t for t in tokens]
+                        line = b" ".join(tokens)
+                        leaf = _long(b" ".join([b"%d" % len(tokens), *tokens[:LEADING]]))
+                        rows.append((key, doc, number, leaf, _long(line), line))
+            kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+            columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+            arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in _LINES.split(", ")])
+
+    given = docs.select(_key().alias("text_key"), F.col("doc_id").cast("long"), text_bytes().alias("text"))
+    return given.mapInArrow(parse, _LINES)
+
+
+def _shared(rows: DataFrame, key: str, texts: int) -> DataFrame:
     """Keys that at least ``texts`` different texts have."""
-    return rows.select(*key, "text_key").distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= texts)
+    held = rows.select(key, "text_key").distinct().groupBy(key).agg(F.count(F.lit(1)).alias("texts"))
+    return held.where(F.col("texts") >= texts).select(key)
+
+
+def _at_leaves(every: DataFrame, leaves: DataFrame) -> DataFrame:
+    """Rows whose leaf may be among ``leaves``: none of those is missed, some others pass.
+
+    Only the filter's words travel, so its size is bounded whatever the number of leaves.
+    """
+    spark = every.sparkSession
+    bit = F.pmod("leaf", F.lit(FILTER_BITS))
+    words = leaves.select((bit / 64).cast("int").alias("word"), (bit % 64).cast("int").alias("bit"))
+    filled = words.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit)) AS bits")).toPandas()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[filled["word"].to_numpy(np.int64)] = filled["bits"].to_numpy(np.int64)
+    shared = spark.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def maybe(leaf: pd.Series) -> pd.Series:
+        at = leaf.to_numpy(np.int64) % FILTER_BITS
+        return pd.Series((shared.value[at // 64] >> (at % 64)) & 1 == 1)
+
+    return every.where(maybe("leaf"))
 
 
 def recurring(docs: DataFrame, texts: int = TEXTS) -> DataFrame:
     """(text_key, line_no) of the lines to drop, each once."""
     every = written(lines(docs), "lines")
-    leaves = _shared(every, ["leaf"], texts).select("leaf")
-    near = written(every.join(leaves, "leaf"), "leaf-lines")
+    near = written(_at_leaves(every, _shared(every, "leaf", texts)), "leaf-lines")
+    line = ["leaf", "line_hash"]
     # One row per different line; a line that most texts hold is summed before the shuffle.
-    distinct = near.select("leaf", "line", "text_key").distinct().groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("uses"))
-    tokens = distinct.select("leaf", "line", "uses", F.posexplode(F.split("line", " ")).alias("place", "token"))
+    uses = near.select(*line, "text_key").distinct().groupBy(*line).agg(F.count(F.lit(1)).alias("uses"))
+    distinct = near.groupBy(*line).agg(F.min("line").alias("line")).join(uses, line)
+    tokens = written(
+        distinct.select(*line, "uses", F.posexplode(F.split("line", " ")).alias("place", "token"))
+        .withColumn("token", F.xxhash64("token")),
+        "tokens",
+    )
+    field = F.xxhash64(F.lit(FIELD.decode()))
     fixed = (
-        tokens.groupBy("leaf", "place", "token").agg(F.sum("uses").alias("support"))
-        .where((F.col("support") >= texts) & (F.col("token") != FIELD))
-        .drop("support")
+        tokens.where(F.col("token") != field)
+        .groupBy("leaf", "place", "token").agg(F.sum("uses").alias("support"))
+        .where(F.col("support") >= texts)
+        .select("leaf", "place", "token", F.col("token").alias("fixed"))
+    )
+    kept = tokens.join(fixed, ["leaf", "place", "token"], "left")
+    # A group is one line. Places are unique in it, so two sums of hashes of (place, token) name the template.
+    parsed = kept.groupBy(*line).agg(
+        *[F.bit_xor(F.when(F.col("fixed").isNotNull(), F.xxhash64(F.lit(seed), "place", "fixed"))).alias(f"t{seed}") for seed in (1, 2)],
+        F.count("fixed").alias("n_fixed"),
+        F.count(F.lit(1)).alias("n"),
     )
-    kept = tokens.join(fixed.withColumn("fixed", F.lit(True)), ["leaf", "place", "token"], "left")
-    field = F.struct("place", F.when(F.col("fixed"), F.col("token")).otherwise(FIELD).alias("token"))
-    # A group is one line: its places.
-    parsed = kept.groupBy("leaf", "line").agg(
-        F.sort_array(F.collect_list(field)).alias("fields"), F.count("fixed").alias("n_fixed"), F.count(F.lit(1)).alias("n")
+    strong = parsed.where((F.col("n_fixed") >= LEAST_TOKENS) & (F.col("n_fixed") >= FIXED * F.col("n")))
+    template = F.xxhash64("leaf", "n", "t1", "t2")
+    held = written(
+        near.drop("line").join(strong.select(*line, template.alias("template")), line), "templates"
     )
-    strong = parsed.where((F.col("n_fixed") >= F.lit(LEAST_TOKENS)) & (F.col("n_fixed") >= FIXED * F.col("n")))
-    template = F.xxhash64("leaf", F.col("fields.token"))
-    held = written(near.join(strong.select("leaf", "line", template.alias("template")), ["leaf", "line"]), "templates")
     first = held.groupBy("template").agg(F.min(F.struct("doc_id", "text_key"))["text_key"].alias("first_key"))
-    again = _shared(held, ["template"], texts).select("template").join(first, "template")
+    again = _shared(held, "template", texts).join(first, "template")
     return held.join(again, "template").where("text_key <> first_key").select("text_key", "line_no").distinct()
 
 
@@ -90,7 +150,7 @@ def without_recurring(docs: DataFrame, texts: int = TEXTS) -> DataFrame:
     plain = docs.drop("n_lines", "n_dropped")
     gone = recurring(docs, texts).groupBy("text_key").agg(F.collect_list("line_no").alias("__gone"))
     gone = written(gone, "dropped-lines").withColumnRenamed("text_key", "__key")
-    marked = plain.withColumn("__key", F.md5(F.coalesce("text", F.lit("")))).join(gone, "__key", "left")
+    marked = plain.withColumn("__key", _key()).join(gone, "__key", "left")
 
     @F.pandas_udf("string")
     def rest(source: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
