@@ -7,11 +7,11 @@ comparison, and stitches documents that cross blocks by a prefix scan over one r
 before a block give the running number of its first document, the last end before it gives the ids
 that this document already has. Blocks carry counts only, never ids.
 
-Files are bounded at writing by ``FILE_BYTES`` of text on average; a file read by ``scan`` must fit
-Spark's limit for one binary value (2 GB). Ids after the last end of a file are a document that
+A written file holds ``FILE_DOCS`` documents at most; a file read by ``scan`` must fit Spark's
+limit for one binary value (2 GB). Ids after the last end of a file are a document that
 is not closed: it is counted with ``closed`` false. Empty files have no documents.
 
-``counts`` numbers documents in a file by id, then digest of the text. Null texts are empty: no ids
+Null texts are empty: no ids
 but the end. Rows that share an id are documents of their own. Extra columns are not read.
 """
 
@@ -25,14 +25,14 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfwatch.llm.common import batches
+from shelfwatch.llm.common import batches, written
 from shelfwatch.llm.tokens import vocabulary
 from shelfwatch.session import scratch_path
 
 #: Ids of one block.
 BLOCK = 1 << 17
-#: Text bytes that make one file on average.
-FILE_BYTES = 16_000_000
+#: Documents of one file at most.
+FILE_DOCS = 10_000
 END_ID = 2
 
 _PROCESSORS: dict[str, sentencepiece.SentencePieceProcessor] = {}
@@ -44,23 +44,8 @@ def _processor(path: str) -> sentencepiece.SentencePieceProcessor:
     return _PROCESSORS[path]
 
 
-def _dealt(docs: DataFrame, files: int) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(
-        F.pmod(F.xxhash64("doc_id", text), F.lit(files)).cast("int").alias("file"),
-        F.col("doc_id").cast("long"),
-        F.md5(text).alias("digest"),
-        text.alias("text"),
-    )
-
-
-def file_count(docs: DataFrame, file_bytes: int = FILE_BYTES) -> int:
-    whole = docs.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 8)).first()[0] or 0
-    return max(1, whole // file_bytes)
-
-
-def export(docs: DataFrame, folder: str, files: int, vocab: str | None = None, end_id: int = END_ID) -> None:
-    """Write token files ``folder/file=<n>/...``, documents in order of id and digest."""
+def export(docs: DataFrame, folder: str, vocab: str | None = None, end_id: int = END_ID, file_docs: int = FILE_DOCS) -> None:
+    """Write token files below ``folder``, documents in the order of ``docs``, without a shuffle."""
     path = vocab or vocabulary("piece_bpe_32k.model")
 
     def encode(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,17 +57,14 @@ def export(docs: DataFrame, folder: str, files: int, vocab: str | None = None, e
                 if (array == end_id).any():
                     raise ValueError("a text contains the end id")
                 found.append(array.tobytes())
-            rest = [batch.column(c) for c in ("file", "doc_id", "digest")]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(found, pa.binary())], names=["file", "doc_id", "digest", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["ids"])
 
-    rows = _dealt(docs, files).mapInArrow(encode, "file int, doc_id long, digest string, ids binary")
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(encode, "ids binary")
     # The text writer puts out a value's bytes as they are and then the separator: here, the end id.
     (
-        rows.repartition(files, "file")
-        .sortWithinPartitions("file", "doc_id", "digest")
-        .select("file", F.col("ids").cast("string").alias("value"))
-        .write.partitionBy("file")
-        .option("lineSep", end_id.to_bytes(2, "little").decode())
+        rows.select(F.col("ids").cast("string").alias("value"))
+        .write.option("lineSep", end_id.to_bytes(2, "little").decode())
+        .option("maxRecordsPerFile", file_docs)
         .text(folder)
     )
 
@@ -141,12 +123,28 @@ def scan(spark: SparkSession, folder: str, end_id: int = END_ID, block: int = BL
     )
 
 
-def counts(docs: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """(doc_id, file, ordinal, start, n_tokens): documents exported to token files and counted there."""
-    spark = docs.sparkSession
-    folder, files = scratch_path(spark, "token-files"), file_count(docs, file_bytes)
-    export(docs, folder, files)
-    found = scan(spark, folder).withColumn("file", F.regexp_extract("path", "/file=(\\d+)/", 1).cast("int"))
-    order = Window.partitionBy("file").orderBy("doc_id", "digest")
-    named = _dealt(docs, files).select("file", "doc_id", (F.row_number().over(order) - 1).cast("long").alias("ordinal"))
-    return named.join(found, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
+def counts(docs: DataFrame, stored: bool = True, file_docs: int = FILE_DOCS) -> DataFrame:
+    """(doc_id, file, ordinal, start, n_tokens): documents exported to token files and counted there.
+
+    A document's file and place follow from its place in ``docs``, which must therefore be a plain
+    read of stored files; anything else is written first, with ``stored`` false. Should the files
+    hold other numbers of documents than ``docs``, it is an error.
+    """
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = docs if stored else written(docs, "token-docs")
+    folder = scratch_path(docs.sparkSession, "token-files")
+    export(docs, folder, file_docs=file_docs)
+    # part-<partition>-<unique id>-c<number of the file in this partition>
+    part = lambda pattern: F.regexp_extract("path", pattern, 1).cast("long")
+    file = part("/part-(\\d+)-") * (1 << 31) + part("-c(\\d+)\\.[^/]*$")
+    found = scan(docs.sparkSession, folder).withColumn("file", file)
+    place = F.monotonically_increasing_id() % (1 << 33)
+    named = docs.select(
+        "doc_id",
+        (F.spark_partition_id().cast("long") * (1 << 31) + F.floor(place / file_docs)).alias("file"),
+        (place % file_docs).alias("ordinal"),
+    )
+    both = named.join(found, ["file", "ordinal"], "full")
+    exact = F.when(F.col("n_tokens").isNotNull() & F.col("closed"), F.col("n_tokens"))
+    lost = F.raise_error(F.lit("token files and documents differ")).cast("long")
+    return both.select("doc_id", "file", "ordinal", "start", F.coalesce(exact, lost).alias("n_tokens"))
