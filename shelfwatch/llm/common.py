@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +18,8 @@ from shelfwatch.session import scratch_path
 SPACE = "\\x20\\x09-\\x0D"
 #: Words kept by one worker's memo before it starts anew; bounds its memory, changes no result.
 MEMO_WORDS = 400_000
+#: Bits of a filter that spares rows a shuffle (8 MB).
+FILTER_BITS = 1 << 26
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,13 +69,34 @@ class WordHashes:
     def __init__(self, seed: int = 0) -> None:
         self.seed, self.memo = seed, {}
 
-    def __call__(self, words: list[bytes]) -> list[int]:
-        memo, seed, hashed = self.memo, self.seed, xxhash.xxh3_64_intdigest
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        memo, seed, hashed = self.memo, self.seed, xxhash.xxh3_64_digest
         if len(memo) > MEMO_WORDS:
             memo.clear()
-        out = list(map(memo.get, words))
-        if None in out:
-            for i, value in enumerate(out):
+        found = list(map(memo.get, words))
+        if None in found:
+            for i, value in enumerate(found):
                 if value is None:
-                    out[i] = memo.setdefault(words[i], hashed(words[i], seed))
-        return out
+                    found[i] = memo.setdefault(words[i], hashed(words[i], seed))
+        return np.frombuffer(b"".join(found), "<u8")
+
+
+def maybe_in(rows: DataFrame, column: str, keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows whose long ``column`` may be among ``keys`` (one column of that name): none is missed.
+
+    A one-hash bit filter. Only its words travel (``bits / 8`` bytes at most), so its size is
+    bounded whatever the number of keys; a fuller filter lets more other rows through.
+    """
+    bit = F.pmod(column, F.lit(bits))
+    words = keys.select((bit / 64).cast("int").alias("word"), (bit % 64).cast("int").alias("bit"))
+    filled = words.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit)) AS bits")).toPandas()
+    table = np.zeros(bits // 64, np.int64)
+    table[filled["word"].to_numpy(np.int64)] = filled["bits"].to_numpy(np.int64)
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def maybe(value: pd.Series) -> pd.Series:
+        at = value.to_numpy(np.int64) % bits
+        return pd.Series((shared.value[at // 64] >> (at % 64)) & 1 == 1)
+
+    return rows.where(maybe(column))

@@ -23,14 +23,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.llm.common import batches, text_bytes, written
+from shelfwatch.llm.common import batches, maybe_in, text_bytes, written
 
 LEAST_TOKENS = 4
 LEADING = 3
@@ -41,9 +40,6 @@ TEXTS = 3
 FIELD = b"<*>"
 
 
-#: Bits of the filter that spares lines alone at their leaf (8 MB); a fuller filter lets more through.
-FILTER_BITS = 1 << 26
-
 _DIGIT = re.compile(rb"[0-9]")
 _LINES = "text_key binary, doc_id long, line_no int, leaf long, line_hash long, line string"
 
@@ -87,31 +83,11 @@ def _shared(rows: DataFrame, key: str, texts: int) -> DataFrame:
     return held.where(F.col("texts") >= texts).select(key)
 
 
-def _at_leaves(every: DataFrame, leaves: DataFrame) -> DataFrame:
-    """Rows whose leaf may be among ``leaves``: none of those is missed, some others pass.
-
-    Only the filter's words travel, so its size is bounded whatever the number of leaves.
-    """
-    spark = every.sparkSession
-    bit = F.pmod("leaf", F.lit(FILTER_BITS))
-    words = leaves.select((bit / 64).cast("int").alias("word"), (bit % 64).cast("int").alias("bit"))
-    filled = words.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit)) AS bits")).toPandas()
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    bits[filled["word"].to_numpy(np.int64)] = filled["bits"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(bits)
-
-    @F.pandas_udf("boolean")
-    def maybe(leaf: pd.Series) -> pd.Series:
-        at = leaf.to_numpy(np.int64) % FILTER_BITS
-        return pd.Series((shared.value[at // 64] >> (at % 64)) & 1 == 1)
-
-    return every.where(maybe("leaf"))
-
-
 def recurring(docs: DataFrame, texts: int = TEXTS) -> DataFrame:
     """(text_key, line_no) of the lines to drop, each once."""
     every = written(lines(docs), "lines")
-    near = written(_at_leaves(every, _shared(every, "leaf", texts)), "leaf-lines")
+    # The filter spares lines alone at their leaf; the few it lets through make no recurring template.
+    near = written(maybe_in(every, "leaf", _shared(every, "leaf", texts)), "leaf-lines")
     line = ["leaf", "line_hash"]
     # One row per different line; a line that most texts hold is summed before the shuffle.
     uses = near.select(*line, "text_key").distinct().groupBy(*line).agg(F.count(F.lit(1)).alias("uses"))
