@@ -2,8 +2,8 @@
 
 Of every permutation both the smallest and the largest value are kept, so ``PERMUTATIONS`` hash
 evaluations per shingle give twice as many signature values. ``BANDS`` bands of ``ROWS`` values
-propose pairs: at the threshold of 0.75 a pair shares no band with a probability of 4e-10, and fewer
-than two with one of 1e-8. Proposed pairs are confirmed by the exact Jaccard similarity of their sets
+propose pairs: at the threshold of 0.75 a pair shares no band with a probability of 3e-8, and fewer
+than two with one of 6e-7; at 0.8 these are 9e-12 and 3e-10. Proposed pairs are confirmed by the exact Jaccard similarity of their sets
 of 64-bit shingle hashes.
 
 Documents with equal sets form one class and only classes are compared. Within a band, classes are first held
@@ -33,7 +33,7 @@ from shelfwatch.llm.components import connected
 
 SHINGLE = 5
 SIMILAR = 75  # percent
-PERMUTATIONS = 200
+PERMUTATIONS = 160
 ROWS = 5
 BANDS = 2 * PERMUTATIONS // ROWS
 #: Shingles hashed at once: keeps the working set in a core's cache.
@@ -121,38 +121,32 @@ def text_key() -> Column:
     return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cid, shingles) of the classes ``wanted`` (cid, doc_id, text_key): packed 64-bit hashes."""
-    given = docs.select(F.col("doc_id").cast("long"), "text")
-    near = maybe_in(given.withColumn("id", F.coalesce("doc_id", F.lit(0))), "id", wanted.select(F.coalesce("doc_id", F.lit(0)).alias("id")))
-    keyed = near.withColumn("text_key", text_key()).join(
-        wanted.select("cid", F.coalesce("doc_id", F.lit(0)).alias("id"), "text_key"), ["id", "text_key"]
-    )
-
-    def pack(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(source, 4_000_000):
-            packed = [shingles(text).tobytes() for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(packed, pa.binary())], names=["cid", "shingles"])
-
-    once = keyed.select("cid", text_bytes().alias("text")).dropDuplicates(["cid"])
-    return once.mapInArrow(pack, "cid long, shingles binary")
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cid, text) of the classes ``wanted`` (cid, doc_id, text_key); texts pack tighter than their sets."""
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id")
+    near = maybe_in(docs.select(id_, "text"), "id", wanted.select(id_))
+    keyed = near.withColumn("text_key", text_key()).join(wanted.select("cid", id_, "text_key"), ["id", "text_key"])
+    return keyed.select("cid", text_bytes().alias("text")).dropDuplicates(["cid"])
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets are similar enough."""
-    left = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("of_a"))
-    right = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("of_b"))
+def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose whole shingle sets are similar enough."""
+    of_a = maybe_in(texts, "cid", pairs.select(F.col("a").alias("cid"))).select(F.col("cid").alias("a"), F.col("text").alias("of_a"))
+    of_b = maybe_in(texts, "cid", pairs.select(F.col("b").alias("cid"))).select(F.col("cid").alias("b"), F.col("text").alias("of_b"))
 
     def compare(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        hub, of_hub = None, None  # rows come sorted by b
+        for batch in batches(source, 8_000_000, "of_a"):
             good = []
-            for x, y in zip(batch.column("of_a"), batch.column("of_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= SIMILAR * (len(x) + len(y) - both))
+            for b, x, y in zip(batch.column("b").to_pylist(), batch.column("of_a"), batch.column("of_b"), strict=True):
+                if b != hub:
+                    hub, of_hub = b, shingles(y.as_py())
+                x = shingles(x.as_py())
+                both = len(np.intersect1d(x, of_hub, assume_unique=True))
+                good.append(100 * both >= SIMILAR * (len(x) + len(of_hub) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(compare, "a long, b long")
+    return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "of_a", "of_b").mapInArrow(compare, "a long, b long")
 
 
 def _alike(n: str, m: str) -> Column:
@@ -186,13 +180,13 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     shared = bands.groupBy("band").agg(F.min("cid").alias("hub"), F.max("cid").alias("top")).where("hub < top")
     near = written(maybe_in(bands, "band", shared.select("band")), "bands")
     wanted = classes.join(near.select("cid").distinct(), "cid")
-    sets = written(_sets(docs, wanted), "shingles")
+    texts = written(_texts(docs, wanted), "class-texts")
 
     # First hub: the smallest class of a band; a class is held against the smallest of its hubs.
     first = near.groupBy("band").agg(F.min(F.struct("cid", "n")).alias("hub"), F.max("cid").alias("top")).where("hub.cid < top")
     tried = near.join(first, "band").where((F.col("cid") > F.col("hub.cid")) & _alike("n", "hub.n"))
     tried = written(tried.groupBy("cid").agg(F.min("hub.cid").alias("b")).withColumnRenamed("cid", "a"), "pairs")
-    links = written(_confirmed(tried, sets), "confirmed")
+    links = written(_confirmed(tried, texts), "confirmed")
 
     # Second hub: the largest member of the band's smallest component, for those outside it.
     apart = _still_apart(near, links)
@@ -200,15 +194,15 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     second = second.select("band", F.col("hub.root").alias("hub_root"), (-F.col("hub.minus")).alias("hub"), F.col("hub.n").alias("hub_n"))
     more = apart.join(second, "band").where((F.col("root") != F.col("hub_root")) & _alike("n", "hub_n"))
     more = more.groupBy(F.col("cid").alias("a")).agg(F.min("hub").alias("b")).join(tried, ["a", "b"], "left_anti")
-    links = written(links.union(_confirmed(written(more, "pairs"), sets)), "confirmed")
+    links = written(links.union(_confirmed(written(more, "pairs"), texts)), "confirmed")
 
     # Whatever is still apart: all pairs of a band across components that share a second band.
     apart = _still_apart(near, links)
     other = apart.select("band", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
     rest = apart.withColumnRenamed("cid", "a").join(other, "band")
     rest = rest.where((F.col("a") < F.col("b")) & (F.col("root") != F.col("other")) & _alike("n", "m"))
-    rest = rest.groupBy("a", "b").agg(F.count(F.lit(1)).alias("bands")).where("bands > 1").select("a", "b")
-    return signatures, classes, written(links.union(_confirmed(rest, sets)), "confirmed")
+    rest = written(rest.groupBy("a", "b").agg(F.count(F.lit(1)).alias("bands")).where("bands > 1").select("a", "b"), "pairs")
+    return signatures, classes, written(links.union(_confirmed(rest, texts)), "confirmed")
 
 
 def grouped(docs: DataFrame) -> DataFrame:
