@@ -2,15 +2,14 @@
 
 Of every permutation both the smallest and the largest value are kept, so ``PERMUTATIONS`` hash
 evaluations per shingle give twice as many signature values. ``BANDS`` bands of ``ROWS`` values
-propose pairs: at the threshold of 0.75 a pair shares no band with a probability of 3e-8, and fewer
-than two with one of 6e-7; at 0.8 these are 9e-12 and 3e-10. Proposed pairs are confirmed by the exact Jaccard similarity of their sets
-of 64-bit shingle hashes.
+propose pairs: at the threshold of 0.75 a pair shares no band with a probability of 3e-8, at 0.8 of 9e-12. Proposed pairs are confirmed by the exact Jaccard
+similarity of their sets of 64-bit shingle hashes.
 
 Documents with equal sets form one class and only classes are compared. Within a band, classes are first held
 against one hub (one confirmed link per member is enough to join it), then against a second one.
-What is then still in different components is paired within the bands, by a join of bands with
-themselves that drops pairs of one component, of unlike sizes, or of a single shared band. So large
-groups cost a number of pairs that grows with their size, and no link between components is lost.
+What still shares a band across components is paired by an exact filter: similar sets share one of
+their rarest shingles. So large groups cost a number of pairs that grows with their size, and no link
+between components is lost.
 
 Words are lower-cased for A-Z only and parted by ASCII white space; shingles are five words, a
 shorter document is one shingle, a document without words has none and stays alone. Null texts have
@@ -38,6 +37,8 @@ ROWS = 5
 BANDS = 2 * PERMUTATIONS // ROWS
 #: Shingles hashed at once: keeps the working set in a core's cache.
 STEP = 1024
+#: Counters of the shingle frequencies that order prefixes (8 MB).
+FREQUENCY_CELLS = 1 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _RANDOM = np.random.RandomState(20240229)
@@ -196,15 +197,52 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     more = more.groupBy(F.col("cid").alias("a")).agg(F.min("hub").alias("b")).join(tried, ["a", "b"], "left_anti")
     links = written(links.union(_confirmed(written(more, "pairs"), texts)), "confirmed")
 
-    # Whatever is still apart: all pairs of a band across components that share a second band.
-    apart = _still_apart(near, links)
-    other = apart.select("band", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-    rest = apart.withColumnRenamed("cid", "a").join(other, "band")
-    rest = rest.where((F.col("a") < F.col("b")) & (F.col("root") != F.col("other")) & _alike("n", "m"))
-    rest = written(rest.groupBy("a", "b").agg(F.count(F.lit(1)).alias("bands")).where("bands > 1").select("a", "b"), "pairs")
+    # Whatever is still apart goes through an exact filter on its sets.
+    apart = _still_apart(near, links).groupBy("cid").agg(F.first("root").alias("root"))
+    rest = written(_prefix_pairs(texts, written(apart, "apart")), "pairs")
     return signatures, classes, written(links.union(_confirmed(rest, texts)), "confirmed")
 
 
+def _prefix_pairs(texts: DataFrame, apart: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components of ``apart`` (cid, root) that may be similar: none is missed.
+
+    In any fixed order of all shingles, similar sets share one among their first quarters. The order
+    here is from rare to frequent, so groups that share long passages without being similar make no pairs.
+    Frequencies are counted in ``FREQUENCY_CELLS`` cells; a coarse count changes the order only.
+    """
+    held = written(maybe_in(texts, "cid", apart.select("cid")).join(apart, "cid"), "apart-texts")
+
+    def tally(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(FREQUENCY_CELLS, np.int64)
+        for batch in batches(source, 4_000_000):
+            for text in batch.column("text").to_pylist():
+                cells += np.bincount((shingles(text) % np.uint64(FREQUENCY_CELLS)).astype(np.int64), minlength=FREQUENCY_CELLS)
+        used = np.flatnonzero(cells)
+        for at in range(0, len(used), 100_000):
+            part = used[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(cells[part])], names=["cell", "n"])
+
+    counts = held.select("text").mapInArrow(tally, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    table = np.zeros(FREQUENCY_CELLS, np.int64)
+    table[counts["cell"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+    frequency = texts.sparkSession.sparkContext.broadcast(table)
+
+    def prefixes(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(source, 4_000_000):
+            for cid, root, text in zip(*(batch.column(c).to_pylist() for c in ("cid", "root", "text")), strict=True):
+                own = shingles(text)
+                often = frequency.value[(own % np.uint64(FREQUENCY_CELLS)).astype(np.int64)]
+                length = len(own) - -(-SIMILAR * len(own) // 100) + 1
+                first = own[np.lexsort((own, often))[:length]].view(np.int64)
+                columns = [np.full(length, x, np.int64) for x in (cid, root, len(own))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, first)], names=["cid", "root", "n", "shingle"])
+
+    rows = written(held.mapInArrow(prefixes, "cid long, root long, n long, shingle long"), "prefixes")
+    other = rows.select("shingle", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
+    pairs = rows.withColumnRenamed("cid", "a").join(other, "shingle")
+    return pairs.where((F.col("a") < F.col("b")) & (F.col("root") != F.col("other")) & _alike("n", "m")).select("a", "b").distinct()
+
+
 def grouped(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id, kept) per document."""
     signatures, classes, links = linked(docs)
