@@ -216,7 +216,7 @@ def _prefix_pairs(texts: DataFrame, apart: DataFrame) -> DataFrame:
         cells = np.zeros(FREQUENCY_CELLS, np.int64)
         for batch in batches(source, 4_000_000):
             for text in batch.column("text").to_pylist():
-                cells += np.bincount((shingles(text) % np.uint64(FREQUENCY_CELLS)).astype(np.int64), minlength=FREQUENCY_CELLS)
+                np.add.at(cells, (shingles(text) % np.uint64(FREQUENCY_CELLS)).astype(np.int64), 1)
         used = np.flatnonzero(cells)
         for at in range(0, len(used), 100_000):
             part = used[at : at + 100_000]
