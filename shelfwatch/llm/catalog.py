@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwatch.llm import mixing, near_duplicates, nearest, packing, quality, secrets, templates, token_files
+from shelfwatch.llm import language_model, mixing, near_duplicates, nearest, packing, quality, secrets, templates, token_files
 from shelfwatch.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,11 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+@query
+def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scored(documents(spark, sf_dir))
+
+
 @query
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.grouped(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
