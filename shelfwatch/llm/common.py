@@ -82,7 +82,12 @@ class WordHashes:
 
 
 def maybe_in(rows: DataFrame, column: str, keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """Rows whose long ``column`` may be among ``keys`` (one column of that name): none is missed.
+    """Rows whose long ``column`` may be among ``keys`` (one column of that name): none is missed."""
+    return rows.where(may_be(keys, column, bits)(column))
+
+
+def may_be(keys: DataFrame, column: str, bits: int = FILTER_BITS) -> Callable[[str], Column]:
+    """A test of a long column for being perhaps among ``keys``.
 
     A one-hash bit filter. Only its words travel (``bits / 8`` bytes at most), so its size is
     bounded whatever the number of keys; a fuller filter lets more other rows through.
@@ -92,11 +97,11 @@ def maybe_in(rows: DataFrame, column: str, keys: DataFrame, bits: int = FILTER_B
     filled = words.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit)) AS bits")).toPandas()
     table = np.zeros(bits // 64, np.int64)
     table[filled["word"].to_numpy(np.int64)] = filled["bits"].to_numpy(np.int64)
-    shared = rows.sparkSession.sparkContext.broadcast(table)
+    shared = keys.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf("boolean")
     def maybe(value: pd.Series) -> pd.Series:
         at = value.to_numpy(np.int64) % bits
         return pd.Series((shared.value[at // 64] >> (at % 64)) & 1 == 1)
 
-    return rows.where(maybe(column))
+    return maybe
