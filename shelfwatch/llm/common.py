@@ -81,6 +81,22 @@ class WordHashes:
         return np.frombuffer(b"".join(found), "<u8")
 
 
+def dense(cells: DataFrame, size: int) -> np.ndarray:
+    """An array of ``size`` longs from rows (cell, value): sent to the driver as packed chunks, not as rows."""
+    chunk = 4096
+
+    def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        values = np.zeros(chunk, np.int64)
+        values[part["cell"].to_numpy() % chunk] = part["value"].to_numpy()
+        return pd.DataFrame({"chunk": [key[0]], "data": [values.tobytes()]})
+
+    grouped = cells.withColumn("chunk", F.floor(F.col("cell") / chunk).cast("int")).groupBy("chunk")
+    table = np.zeros(-(-size // chunk) * chunk, np.int64)
+    for row in grouped.applyInPandas(pack, "chunk int, data binary").collect():
+        table[row["chunk"] * chunk :][:chunk] = np.frombuffer(row["data"], np.int64)
+    return table[:size]
+
+
 def maybe_in(rows: DataFrame, column: str, keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """Rows whose long ``column`` may be among ``keys`` (one column of that name): none is missed."""
     return rows.where(may_be(keys, column, bits)(column))
@@ -94,9 +110,8 @@ def may_be(keys: DataFrame, column: str, bits: int = FILTER_BITS) -> Callable[[s
     """
     bit = F.pmod(column, F.lit(bits))
     words = keys.select((bit / 64).cast("int").alias("word"), (bit % 64).cast("int").alias("bit"))
-    filled = words.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit)) AS bits")).toPandas()
-    table = np.zeros(bits // 64, np.int64)
-    table[filled["word"].to_numpy(np.int64)] = filled["bits"].to_numpy(np.int64)
+    filled = words.groupBy(F.col("word").alias("cell")).agg(F.expr("bit_or(shiftleft(1L, bit)) AS value"))
+    table = dense(filled, bits // 64)
     shared = keys.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf("boolean")

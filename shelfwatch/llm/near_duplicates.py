@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.llm.common import WordHashes, batches, maybe_in, text_bytes, written
+from shelfwatch.llm.common import WordHashes, batches, dense, maybe_in, text_bytes, written
 from shelfwatch.llm.components import connected
 
 SHINGLE = 5
@@ -222,9 +222,8 @@ def _prefix_pairs(texts: DataFrame, apart: DataFrame) -> DataFrame:
             part = used[at : at + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(cells[part])], names=["cell", "n"])
 
-    counts = held.select("text").mapInArrow(tally, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros(FREQUENCY_CELLS, np.int64)
-    table[counts["cell"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+    counts = held.select("text").mapInArrow(tally, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("value"))
+    table = dense(counts, FREQUENCY_CELLS)
     frequency = texts.sparkSession.sparkContext.broadcast(table)
 
     def prefixes(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
