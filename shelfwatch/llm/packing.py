@@ -32,7 +32,7 @@ END_ID = 2
 #: Pieces that one group holds on average.
 GROUP = 8_000
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long, ids array<int>"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long, ids binary"
 
 
 class TournamentTree:
@@ -69,12 +69,12 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 
 
 def pieces(docs: DataFrame, length: int = LENGTH, vocab: str | None = None, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
-    """Rows of ``PIECES``: every id of every document in exactly one piece of at most ``length``."""
+    """Rows of ``PIECES``, ``ids`` as little-endian 32-bit numbers: every id of every document in exactly one piece of at most ``length``."""
     path = vocab or vocabulary()
 
     def cut(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(path), np.array([end_id], "<u4").tobytes()
-        for batch in batches(source, 4_000_000):
+        for batch in batches(source, 2_000_000):
             rows: dict[str, list] = {k.split()[0]: [] for k in PIECES.split(", ")}
             for doc, deal, ids in zip(
                 batch.column("doc_id").to_pylist(),
@@ -92,8 +92,8 @@ def pieces(docs: DataFrame, length: int = LENGTH, vocab: str | None = None, end_
                     rows["ids_crc32"].append(zlib.crc32(part))
                     rows["doc_tokens"].append(total)
                     rows["deal"].append(deal)
-                    rows["ids"].append(np.frombuffer(part, "<i4") if with_ids else None)
-            kinds = [pa.int64()] * 6 + [pa.list_(pa.int32())]
+                    rows["ids"].append(part if with_ids else None)
+            kinds = [pa.int64()] * 6 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], list(rows))
 
     text = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text"))

@@ -9,7 +9,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 #: Words kept in a worker's memo before it starts anew; bounds its memory, changes no result.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 700_000
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
