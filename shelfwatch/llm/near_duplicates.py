@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.llm.common import WordHashes, batches, dense, maybe_in, text_bytes, written
+from shelfwatch.llm.common import WordHashes, batches, dense, may_be, maybe_in, text_bytes, written
 from shelfwatch.llm.components import connected
 
 SHINGLE = 5
@@ -258,7 +258,14 @@ def grouped(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest id. Of equal rows one stays."""
-    kept = grouped(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    keyed = docs.withColumn("__text_key", text_key())
-    joined = keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")))
-    return joined.dropDuplicates(["__id", "__key"]).select(*docs.columns)
+    decided = written(grouped(docs).groupBy("doc_id", "text_key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")), "decisions")
+    hashed = lambda id_, key: F.xxhash64(F.coalesce(id_.cast("long"), F.lit(0)), key)
+    # Only rows that may be dropped or repeated meet their decision; all others pass where they are.
+    touched = decided.where("not kept or rows > 1").select(hashed(F.col("doc_id"), F.col("text_key")).alias("k"))
+    maybe = may_be(touched, "k")
+    keyed = docs.withColumn("__key", text_key()).withColumn("__k", hashed(F.col("doc_id"), F.col("__key")))
+    marked = keyed.withColumn("__maybe", maybe("__k"))
+    kept = decided.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text_key"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text_key"))
+    once = marked.where("__maybe").join(kept, same).dropDuplicates(["__id", "__text_key"])
+    return marked.where("not __maybe").select(*docs.columns).unionByName(once.select(*docs.columns))
