@@ -513,10 +513,12 @@ BODIES = {
             count(*) filter (classifications_match and failure_count_match) as passed,
             count(*) filter (failure_count_match) as count_matches,
             count(*) filter (classifications_match) as class_matches from matches""",
-    "single_class_match": f"""select f.run_id, e.error_type,
-            {_category('f.error_message')} = {_normal('e.error_type')} as matched
-        from (select *, row_number() over (partition by run_id order by position) as pick from failures) f
-        join expected e on e.run_id = f.run_id where f.pick = 1""",
+    "single_class_match": f"""select e.run_id, e.error_type,
+            coalesce(case when f.run_id is not null then {_category('f.error_message')} end, 'unknown')
+                = {_normal('e.error_type')} as matched
+        from expected e left join (
+            select * from (select *, row_number() over (partition by run_id order by position) as pick from failures)
+            where pick = 1) f on e.run_id = f.run_id""",
     "message_file_paths": f"""select event_id, regexp_extract(
             {_list(artefacts.MESSAGES)}[event_id % 10 + 1], {_quote(FILE_PATTERN)}, 1) as file_path from events""",
     "normalized_error_types": f"""select error_type, {_normal('error_type')} as category, count(*) as failures

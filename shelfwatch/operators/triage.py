@@ -273,7 +273,7 @@ def classifications_match(nodes: DataFrame, expected: DataFrame) -> DataFrame:
     seen = classified(nodes).select("run_id", F.col("error_category").alias("category"), F.lit(1).alias("n"))
     wanted = expected.select(
         "run_id", normalized_type(F.col("error_type")).alias("category"), F.lit(-1).alias("n")
-    ).where(F.coalesce("category", F.lit("")) != "")
+    )
     sides = seen.unionByName(wanted)
     per_category = sides.groupBy("run_id", "category").agg(
         F.sum("n").alias("balance"),
@@ -283,7 +283,10 @@ def classifications_match(nodes: DataFrame, expected: DataFrame) -> DataFrame:
     return per_category.groupBy("run_id").agg(
         F.sum("observed").alias("observed_failures"),
         F.sum("expected").alias("expected_failures"),
-        F.bool_and(F.col("balance") == 0).alias("classifications_match"),
+        # Expectations without a type count as failures, but name no class.
+        F.coalesce(
+            F.bool_and(F.when(F.coalesce("category", F.lit("")) != "", F.col("balance") == 0)), F.lit(True)
+        ).alias("classifications_match"),
         (F.sum("observed") == F.sum("expected")).alias("failure_count_match"),
     )
 
@@ -304,12 +307,13 @@ def single_class_matches(
 ) -> DataFrame:
     """Does the first failure of a run have an expected type?
 
+    Every expectation gets an answer: a run without a failed node counts as unknown.
     ``hot`` names runs that hold a large share of the expected rows.
     """
     first = primary_failures(nodes).select("run_id", error_category(F.col("error_message")).alias("category"))
     wanted = expected.select("run_id", "error_type")
-    matched = F.col("category") == normalized_type(F.col("error_type"))
-    return union_all(split_join(wanted, first, "run_id", "inner", hot)).select(
+    matched = F.coalesce("category", F.lit("unknown")) == normalized_type(F.col("error_type"))
+    return union_all(split_join(wanted, first, "run_id", "left", hot)).select(
         "run_id", "error_type", matched.alias("matched")
     )
 

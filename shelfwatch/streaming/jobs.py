@@ -32,11 +32,19 @@ def utc_wall_clock(instant: Column) -> Column:
 
 
 def read_events(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
-    """Event files as a stream, with ``ts`` as the zoned timestamp that watermarks need."""
-    reader = spark.readStream.schema(SCHEMAS["events"]).option("pathGlobFilter", "events*.parquet")
+    """Event files as a stream, with ``ts`` as the zoned timestamp that watermarks need.
+
+    ``events.parquet`` may be a folder of part files; otherwise files named ``events*.parquet`` are read.
+    """
+    reader = spark.readStream.schema(SCHEMAS["events"])
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    events = reader.parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/events.parquet")
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(path) and store.getFileStatus(path).isDirectory():
+        events = reader.parquet(path.toString())
+    else:
+        events = reader.option("pathGlobFilter", "events*.parquet").parquet(folder)
     return events.withColumn("ts", utc_instant(F.col("ts")))
 
 

@@ -147,7 +147,8 @@ def test_dashboard_defaults_and_allow_list(spark):
 def test_read_only_statements(spark):
     spark.range(200).createOrReplaceTempView("numbers")
     assert profile.run_read_only(spark, "SELECT id FROM numbers;").count() == 100
-    assert profile.run_read_only(spark, "with x as (select * from numbers) select * from x limit 150").count() == 150
+    assert profile.run_read_only(spark, "with x as (select * from numbers) select * from x limit 150").count() == 100
+    assert profile.run_read_only(spark, "select id as limit_id from numbers").count() == 100
     for statement in ("INSERT INTO numbers VALUES (1)", "select 1; drop table numbers", "selection"):
         with pytest.raises(ValueError):
             profile.run_read_only(spark, statement)

@@ -99,3 +99,10 @@ def test_days_do_not_depend_on_the_session_zone(spark, data):
         assert rows(jobs.run_daily_volume(spark, jobs.read_events(spark, data))) == utc
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_folder_table_is_read(spark, tmp_path):
+    table = tmp_path / "in" / "events.parquet"
+    spark.createDataFrame([event(1, 0), event(2, 5), event(2, 5)], SCHEMAS["events"]).repartition(2).write.parquet(str(table))
+    found = jobs.run_dedup(spark, jobs.read_events(spark, str(tmp_path / "in")))
+    assert rows(found.select("event_id")) == [(1,), (2,)]

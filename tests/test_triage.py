@@ -79,6 +79,13 @@ def test_multisets_differ_in_multiplicity(spark):
     assert rows(triage.eval_summary(found)) == [(3, 1, 1, 1)]
 
 
+def test_untyped_expectations_count_but_name_no_class(spark):
+    nodes = spark.createDataFrame([(1, "syntax error")], "run_id int, error_message string")
+    expected = spark.createDataFrame([(1, "compilation_error"), (1, None)], "run_id int, error_type string")
+    found = triage.classifications_match(nodes, expected).first()
+    assert found["classifications_match"] and not found["failure_count_match"]
+
+
 def test_single_class_with_hot_runs(spark):
     nodes = spark.createDataFrame(
         [(1, 0, "syntax error"), (1, 1, "file locked"), (2, 0, "")], "run_id int, position int, error_message string"
@@ -88,7 +95,7 @@ def test_single_class_with_hot_runs(spark):
     )
     for hot in ((), (1,)):
         assert rows(triage.single_class_matches(nodes, expected, hot)) == [
-            (1, "compilation_error", True), (1, "infrastructure", False), (2, "unknown", True)
+            (1, "compilation_error", True), (1, "infrastructure", False), (2, "unknown", True), (3, "x", False)
         ]
 
 
