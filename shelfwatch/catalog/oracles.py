@@ -221,7 +221,11 @@ FRAGMENTS = {
         from customer""",
     "edges": """select c.unique_id as child, p.unique_id as parent
         from nodes c join nodes p on p.num = c.num // 2 where c.num > 0""",
+    "all_edges": """select child, parent from edges
+        union all select unique_id, 'node.' || (num + 1000000000) from nodes where num % 10 = 0""",
     "failed_ids": "select unique_id from nodes where balance < -800",
+    "near": """select unique_id as origin, unique_id, 0 as distance from failed_ids
+        union select near.origin, e.parent, near.distance + 1 from near join all_edges e on e.child = near.unique_id""",
     "up": """select unique_id as origin, unique_id, 0 as distance from failed_ids
         union select up.origin, e.parent, up.distance + 1 from up join edges e on e.child = up.unique_id""",
     "down": """select unique_id as origin, unique_id, 0 as distance from failed_ids
@@ -503,11 +507,21 @@ BODIES = {
         from prioritised order by run_id, sort_priority, unique_id, position""",
     "error_categories": f"""select {_category('error_message')} as error_category, count(*) as node_count
         from failures group by 1""",
-    "auto_fixable": f"""select run_id, unique_id, error_category,
-            error_category not in ('infrastructure', 'config_error') as auto_fixable
-        from (select *, {_category('error_message')} as error_category, row_number() over (
-                partition by run_id order by sort_priority, unique_id, position) as pick from prioritised)
-        where pick = 1""",
+    "auto_fixable": f"""select event_id as run_id, unique_id, coalesce(error_category, 'unknown') as error_category,
+            coalesce(error_category, 'unknown') not in ('infrastructure', 'config_error') as auto_fixable
+        from events left join (
+            select *, {_category('error_message')} as error_category, row_number() over (
+                partition by run_id order by sort_priority, unique_id, position) as pick from prioritised) f
+          on event_id = f.run_id and pick = 1""",
+    "run_evaluation": f"""select m.run_id, coalesce(f.category, 'unknown') as error_category, m.failure_count_match,
+            case when m.expected_failures > 1 then m.classifications_match
+                 else coalesce(f.category, 'unknown') = e.single end as classification_match
+        from matches m join (select run_id, min({_normal('error_type')}) as single from expected group by run_id) e
+            on m.run_id = e.run_id
+        left join (select run_id, {_category('error_message')} as category from (
+            select *, row_number() over (partition by run_id order by position) as pick from failures)
+            where pick = 1) f on m.run_id = f.run_id""",
+    "message_categories": f"select conv_id, turn, {_category('text')} as error_category from conversations",
     "classifications_match": "select * from matches",
     "eval_summary": """select count(*) as runs,
             count(*) filter (classifications_match and failure_count_match) as passed,
@@ -577,7 +591,9 @@ BODIES = {
               union all select unique_id, 'downstream' from downstream) join nodes using (unique_id)
         group by part""",
     "lineage_depth3": """select origin as root_id, unique_id, name, cast(distance as integer) as level
-        from up join nodes using (unique_id) where distance <= 3""",
+        from near left join nodes using (unique_id) where distance <= 3""",
+    "lineage_selected_nodes": """select unique_id, resource_type, name from nodes
+        where unique_id in (select unique_id from up union select unique_id from down)""",
     "lineage_tests": """select e.parent as model_id, t.unique_id as test_id, t.name
         from edges e join nodes t on t.unique_id = e.child join nodes m on m.unique_id = e.parent
         where t.resource_type = 'test' and m.resource_type = 'model'""",
@@ -604,15 +620,14 @@ _DETECTED = {
     "outliers": BODIES["anomaly_outliers"],
     "referential_integrity": BODIES["anomaly_orphan_rate"],
     "dbt_transformation_error": BODIES["anomaly_missing_status"],
-    "late_signup": "select 1 from faulty_all where event_type = 'signup'",
+    "freshness_gap": BODIES["anomaly_freshness_gap"],
 }
 _FAULTY = re.compile(r"\bfaulty_(volume|null|replay|share|missing|outlier)\b")
 BODIES["detection_scores"] = f"""select tp / (tp + fp) as precision, tp / (tp + fn) as recall,
             2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)) as f1,
             cast(tp as bigint) as tp, cast(fp as bigint) as fp, cast(fn as bigint) as fn
-        from (select count(*) filter (name <> 'late_signup' and hits > 0)::double as tp,
-                count(*) filter (name = 'late_signup' and hits > 0)::double as fp,
-                10::double - count(*) filter (name <> 'late_signup' and hits > 0)::double as fn
+        from (select count(*) filter (hits > 0)::double as tp, 0::double as fp,
+                10::double - count(*) filter (hits > 0)::double as fn
               from ({' union all '.join(
                   f"select '{name}' as name, count(*) as hits from ({_FAULTY.sub('faulty_all', body)})"
                   for name, body in _DETECTED.items())}))"""

@@ -113,15 +113,16 @@ class Tables:
         return artefacts.failed_lineage_nodes(self.table("customer"))
 
 
-_OPEN: dict[tuple[str, str], Tables] = {}
+_OPEN: dict[tuple[str, str], tuple[list, Tables]] = {}
 
 
 def tables(spark: SparkSession, folder: str) -> Tables:
-    """Tables of a folder, shared by the queries of one Spark application."""
+    """Tables of a folder, shared by the queries of one Spark application until a file changes."""
     key = (spark.sparkContext.applicationId, folder)
-    if key not in _OPEN:
-        _OPEN[key] = Tables(spark, folder)
-    return _OPEN[key]
+    state = [storage.table_state(spark, folder, name) for name in storage.SCHEMAS]
+    if key not in _OPEN or _OPEN[key][0] != state:
+        _OPEN[key] = state, Tables(spark, folder)
+    return _OPEN[key][1]
 
 
 Query = Callable[[Tables], DataFrame]
@@ -161,7 +162,7 @@ def int_order_revenue_duplicates(t: Tables) -> DataFrame:
 @query
 def order_revenue_positive(t: Tables) -> DataFrame:
     base = t.warehouse()
-    return models.order_revenue_positive(base.stg_orders, base.stg_order_items, SETTINGS)
+    return models.order_revenue_positive(base.stg_orders, base.stg_order_items, SETTINGS, t.hot_orders)
 
 
 @query
@@ -317,7 +318,7 @@ def top_stores(t: Tables) -> DataFrame:
 
 @query
 def filter_bounds(t: Tables) -> DataFrame:
-    return dashboard.filter_bounds(t.marts.fct_orders)
+    return dashboard.filter_bounds(t.marts.fct_orders, t.marts.fct_daily_sales)
 
 
 @query
@@ -558,7 +559,7 @@ def anomaly_missing_status(t: Tables) -> DataFrame:
 
 @query
 def detection_scores(t: Tables) -> DataFrame:
-    """All detectors except freshness on one faulty load; no row is left out."""
+    """All detectors on one faulty load, freshness on the load that stopped; no row is left out."""
     faulty = faults.all_event_faults(t.events)
     findings = {
         "volume_drop": anomalies.volume_drop(faulty),
@@ -570,7 +571,7 @@ def detection_scores(t: Tables) -> DataFrame:
         "outliers": anomalies.outliers(faulty, "value", OUTLIER_LIMIT, ["event_id"]),
         "referential_integrity": anomaly_orphan_rate(t),
         "dbt_transformation_error": anomaly_missing_status(t),
-        "late_signup": faulty.where(F.col("event_type") == "signup").select("event_id"),
+        "freshness_gap": anomaly_freshness_gap(t),
     }
     truth = t.spark.createDataFrame([(name,) for name in anomalies.ANOMALY_TYPES], "anomaly_type string")
     return anomalies.detection_scores(anomalies.detected_types(findings), truth)
@@ -587,9 +588,7 @@ def failed_nodes(t: Tables) -> DataFrame:
 @query
 def failed_nodes_from_json(t: Tables) -> DataFrame:
     """Run results that arrive as JSON text."""
-    documents = artefacts.run_results_json(t.events)
-    parsed = documents.select(F.from_json("document", triage.RUN_RESULTS).alias("d")).select("d.*")
-    return triage.failed_nodes(parsed)
+    return triage.failed_nodes(triage.parsed_runs(artefacts.run_results_json(t.events), "document"))
 
 
 @query
@@ -611,12 +610,8 @@ def error_categories(t: Tables) -> DataFrame:
 
 @query
 def auto_fixable(t: Tables) -> DataFrame:
-    """Category of the first failure per run, and whether a fix can be automatic."""
-    first = triage.classified(triage.primary_failures(t.failures, artefacts.PATCHED_FILES))
-    return first.select(
-        "run_id", "unique_id", "error_category",
-        triage.auto_fixable(F.col("error_category")).alias("auto_fixable"),
-    )
+    """Category of the first failure of every run, and whether a fix can be automatic."""
+    return triage.run_categories(artefacts.run_results(t.events), t.failures, artefacts.PATCHED_FILES)
 
 
 @query
@@ -635,6 +630,18 @@ def single_class_match(t: Tables) -> DataFrame:
     return triage.single_class_matches(t.failures, wanted, t.hot("events", "event_id"))
 
 
+@query
+def run_evaluation(t: Tables) -> DataFrame:
+    return triage.run_evaluation(t.failures, artefacts.expected_failures(t.events))
+
+
+@query
+def message_categories(t: Tables) -> DataFrame:
+    """Categories of whole conversation turns."""
+    turns = t.table("conversations").select("conv_id", "turn", F.col("text").alias("error_message"))
+    return triage.classified(turns).select("conv_id", "turn", "error_category")
+
+
 @query
 def message_file_paths(t: Tables) -> DataFrame:
     message = artefacts.message_at(F.col("event_id"))
@@ -721,12 +728,12 @@ def lineage_edges(t: Tables) -> DataFrame:
 
 @query
 def lineage_upstream(t: Tables) -> DataFrame:
-    return lineage.closure(t.spark, lineage.edges(t.nodes), t.failed_ids, "upstream")
+    return lineage.closure(t.spark, lineage.edges(t.nodes), t.failed_ids, "upstream", t.nodes)
 
 
 @query
 def lineage_downstream(t: Tables) -> DataFrame:
-    return lineage.closure(t.spark, lineage.edges(t.nodes), t.failed_ids, "downstream")
+    return lineage.closure(t.spark, lineage.edges(t.nodes), t.failed_ids, "downstream", t.nodes)
 
 
 @query
@@ -741,7 +748,15 @@ def lineage_summary(t: Tables) -> DataFrame:
 
 @query
 def lineage_depth3(t: Tables) -> DataFrame:
-    return lineage.upstream_within(t.spark, lineage.edges(t.nodes), t.failed_ids, t.nodes)
+    every = lineage.edges(t.nodes, known_only=False)
+    return lineage.upstream_within(t.spark, every, t.failed_ids, t.nodes)
+
+
+@query
+def lineage_selected_nodes(t: Tables) -> DataFrame:
+    """Failed nodes and all around them, one row per node."""
+    chosen = lineage.selected_nodes(t.spark, lineage.edges(t.nodes), t.failed_ids, t.nodes)
+    return chosen.select("unique_id", "resource_type", "name")
 
 
 @query

@@ -21,14 +21,10 @@ from pyspark.sql import functions as F
 MAX_KEYS = 200
 #: Counters kept by the frequent-items sketch.
 SKETCH_SIZE = 10_000
-#: Tables with fewer rows than this are not worth splitting.
-MIN_ROWS = 20_000_000
 
 
-def heavy_keys(
-    df: DataFrame, key: str, share: float = 1 / MAX_KEYS, min_rows: int = MIN_ROWS
-) -> list[Any]:
-    """Values of ``key`` that hold more than ``share`` of all rows.
+def heavy_keys(df: DataFrame, key: str, share: float = 1 / MAX_KEYS) -> list[Any]:
+    """Values of ``key`` that hold more than ``share`` of all rows, whatever the number of rows.
 
     One pass over one column with map-side sketches: no shuffle by key. NULL is
     reported as ``None``. The result has at most ``MAX_KEYS + 1`` entries.
@@ -38,8 +34,6 @@ def heavy_keys(
         F.count_if(F.col(key).isNull()).alias("null_count"),
         F.expr(f"approx_top_k(`{key}`, {MAX_KEYS}, {SKETCH_SIZE})").alias("top"),
     ).first()
-    if stats["row_count"] < min_rows:
-        return []
     limit = max(1, stats["row_count"] * share)
     keys: list[Any] = [entry["item"] for entry in stats["top"] if entry["count"] > limit]
     if stats["null_count"] > limit:

@@ -42,9 +42,11 @@ def manifest_nodes(manifests: DataFrame) -> DataFrame:
     )
 
 
-def edges(nodes: DataFrame) -> DataFrame:
-    """(child, parent) pairs whose parent is a known node."""
+def edges(nodes: DataFrame, known_only: bool = True) -> DataFrame:
+    """(child, parent) pairs whose parent is a known node, or all of them."""
     pairs = nodes.select(F.col("unique_id").alias("child"), F.explode("parents").alias("parent")).distinct()
+    if not known_only:
+        return pairs
     # A plain scan on the right keeps both sides bare shuffles, so adaptive
     # execution can split a parent that has very many children.
     known = nodes.select(F.col("unique_id").alias("parent"))
@@ -137,18 +139,23 @@ def _reached(
 
 
 def closure(
-    spark: SparkSession, edge_table: DataFrame, failed: DataFrame, direction: str
+    spark: SparkSession, edge_table: DataFrame, failed: DataFrame, direction: str, nodes: DataFrame
 ) -> DataFrame:
     """All nodes up- or downstream of the failed set, with their distance."""
+    require_known(failed, nodes)
     return _reached(spark, edge_table, failed, [direction]).select("unique_id", "distance")
 
 
 def distances(
-    spark: SparkSession, edge_table: DataFrame, failed: DataFrame, nodes: DataFrame
+    spark: SparkSession, edge_table: DataFrame, failed: DataFrame, nodes: DataFrame, max_depth: int | None = None
 ) -> DataFrame:
-    """Signed distance of every model to every failure: upstream negative."""
+    """Signed distance of every model to every failure: upstream negative.
+
+    The result has a row per failure and model in reach; ``max_depth`` bounds the reach.
+    """
+    require_known(failed, nodes)
     start = failed.select(F.col("unique_id").alias("origin"), "unique_id")
-    reached = walk(spark, edge_table, start, DIRECTIONS).where(F.col("distance") > 0)
+    reached = walk(spark, edge_table, start, DIRECTIONS, max_depth).where(F.col("distance") > 0)
     models = nodes.where(F.col("resource_type") == "model").select("unique_id")
     signed = F.when(F.col("direction") == "upstream", -F.col("distance")).otherwise(F.col("distance"))
     return reached.join(models, "unique_id", "left_semi").select(
@@ -164,6 +171,7 @@ def summary(
     The lists behind the counts are the closure tables themselves; as one list
     in one row they would not scale.
     """
+    require_known(failed, nodes)
     around = _reached(spark, edge_table, failed, DIRECTIONS).select(
         "unique_id", F.col("direction").alias("part")
     )
@@ -178,6 +186,15 @@ def summary(
     )
 
 
+def selected_nodes(
+    spark: SparkSession, edge_table: DataFrame, failed: DataFrame, nodes: DataFrame
+) -> DataFrame:
+    """The rows of ``nodes`` that failed or lie up- or downstream of a failure, with all their fields."""
+    require_known(failed, nodes)
+    around = _reached(spark, edge_table, failed, DIRECTIONS).select("unique_id")
+    return nodes.join(failed.select("unique_id").unionByName(around), "unique_id", "left_semi")
+
+
 def upstream_within(
     spark: SparkSession,
     edge_table: DataFrame,
@@ -188,8 +205,10 @@ def upstream_within(
 ) -> DataFrame:
     """Roots and their ancestors up to a depth, with the shortest level.
 
-    Any other direction than upstream returns only the roots.
+    Edges to unknown parents (see ``edges``) end in rows without a name. Any other
+    direction than upstream returns only the roots.
     """
+    require_known(roots, nodes)
     start = roots.select(F.col("unique_id").alias("origin"), "unique_id").distinct()
     if direction == "upstream":
         reached = walk(spark, edge_table, start, ["upstream"], depth)

@@ -135,8 +135,13 @@ DEFAULT_INTENT = ("data_exploration", ("run_sql", "get_schema"))
 
 
 def read_json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON artefacts, one document per file, with a declared schema."""
-    return spark.read.schema(schema).json(path, multiLine=True)
+    """JSON artefacts, one document per file, with a declared schema; a malformed one is an error."""
+    return spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST")
+
+
+def parsed_runs(documents: DataFrame, column: str) -> DataFrame:
+    """Run results from JSON texts; a malformed one is an error."""
+    return documents.select(F.from_json(column, RUN_RESULTS, {"mode": "FAILFAST"}).alias("d")).select("d.*")
 
 
 # -- failed nodes ----------------------------------------------------------
@@ -219,9 +224,12 @@ def primary_failures(nodes: DataFrame, patched_files: Sequence[str] | None = Non
 # -- classification --------------------------------------------------------
 
 
-def error_category(message: Column) -> Column:
-    """Category of a message: ordered rules, the first match decides."""
-    text = F.lower(message)
+def error_category(message: Column, lowered: Column | None = None) -> Column:
+    """Category of a message: ordered rules, the first match decides.
+
+    ``lowered`` is the message in lower case, where it is a column already.
+    """
+    text = F.lower(message) if lowered is None else lowered
 
     def has(word: str) -> Column:
         return F.contains(text, F.lit(word))
@@ -253,7 +261,23 @@ def auto_fixable(category: Column) -> Column:
 
 
 def classified(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("error_category", error_category(F.col("error_message")))
+    lowered = nodes.withColumn("__lowered", F.lower("error_message"))
+    category = error_category(F.col("error_message"), F.col("__lowered"))
+    return lowered.withColumn("error_category", category).drop("__lowered")
+
+
+def run_categories(runs: DataFrame, nodes: DataFrame, patched_files: Sequence[str] | None = None) -> DataFrame:
+    """Category of the first failure of every run, and whether a fix can be automatic.
+
+    A run without a failed node is unknown and fixable.
+    """
+    first = classified(primary_failures(nodes, patched_files)).select("run_id", "unique_id", "error_category")
+    category = F.coalesce("error_category", F.lit(UNKNOWN))
+    return (
+        runs.select("run_id")
+        .join(first, "run_id", "left")
+        .select("run_id", "unique_id", category.alias("error_category"), auto_fixable(category).alias("auto_fixable"))
+    )
 
 
 def category_counts(nodes: DataFrame) -> DataFrame:
@@ -310,14 +334,33 @@ def single_class_matches(
     Every expectation gets an answer: a run without a failed node counts as unknown.
     ``hot`` names runs that hold a large share of the expected rows.
     """
-    first = primary_failures(nodes).select("run_id", error_category(F.col("error_message")).alias("category"))
+    first = classified(primary_failures(nodes)).select("run_id", F.col("error_category").alias("category"))
     wanted = expected.select("run_id", "error_type")
-    matched = F.coalesce("category", F.lit("unknown")) == normalized_type(F.col("error_type"))
+    matched = F.coalesce("category", F.lit(UNKNOWN)) == normalized_type(F.col("error_type"))
     return union_all(split_join(wanted, first, "run_id", "left", hot)).select(
         "run_id", "error_type", matched.alias("matched")
     )
 
 
+def run_evaluation(nodes: DataFrame, expected: DataFrame) -> DataFrame:
+    """One row per expected run: category of its first failure, count test and class test.
+
+    Several expected failures are compared as a multiset, a single one with the first failure.
+    """
+    first = classified(primary_failures(nodes)).select("run_id", "error_category")
+    single = expected.groupBy("run_id").agg(F.min(normalized_type(F.col("error_type"))).alias("single"))
+    category = F.coalesce("error_category", F.lit(UNKNOWN))
+    several = F.col("expected_failures") > 1
+    match = F.when(several, F.col("classifications_match")).otherwise(category == F.coalesce("single", F.lit("")))
+    return (
+        classifications_match(nodes, expected)
+        .where("expected_failures > 0")
+        .join(single, "run_id")
+        .join(first, "run_id", "left")
+        .select("run_id", category.alias("error_category"), "failure_count_match", match.alias("classification_match"))
+    )
+
+
 def root_cause_file_match(expected_file: Column) -> Column:
     """Does the first available of patch path, proposed fix and report name it?"""
     patch, fix = F.col("patch.file_path"), F.col("rca.proposed_fix")

@@ -61,16 +61,10 @@ def with_default_dates(
     return Filters(start, end, tuple(countries), tuple(channels))
 
 
-def filter_bounds(facts: DataFrame) -> DataFrame:
-    """First and last day, and the refresh day (last day of the daily mart).
-
-    The daily mart holds exactly the days of the facts, so one scan gives all.
-    """
-    return facts.agg(
-        F.min("order_date").alias("min_date"),
-        F.max("order_date").alias("max_date"),
-        F.max("order_date").alias("data_refresh_date"),
-    )
+def filter_bounds(facts: DataFrame, daily_sales: DataFrame) -> DataFrame:
+    """First and last day of the facts, and the refresh day: the last one of the daily mart, which may lag."""
+    days = facts.agg(F.min("order_date").alias("min_date"), F.max("order_date").alias("max_date"))
+    return days.withColumn("data_refresh_date", daily_sales.agg(F.max("order_date")).scalar())
 
 
 def filter_values(facts: DataFrame, column: str) -> DataFrame:

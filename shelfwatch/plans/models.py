@@ -206,9 +206,11 @@ def fct_daily_sales(facts: DataFrame) -> DataFrame:
     )
 
 
-def order_revenue_positive(orders: DataFrame, items: DataFrame, settings: Settings) -> DataFrame:
+def order_revenue_positive(
+    orders: DataFrame, items: DataFrame, settings: Settings, hot_order_ids: Sequence[Any] = ()
+) -> DataFrame:
     """Revenue rows whose order amount is above zero."""
-    return int_order_revenue(orders, items, settings).where(F.col("order_revenue") > 0)
+    return int_order_revenue(orders, items, settings, hot_order_ids).where(F.col("order_revenue") > 0)
 
 
 def revenue_expression(amount: Column, quantity: Column) -> Column:

@@ -32,6 +32,16 @@ SCHEMAS = {
 }
 
 
+def table_state(spark: SparkSession, folder: str, name: str) -> tuple[int, int, int] | None:
+    """Time of change, bytes and files of a table; None where there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        return None
+    held = store.getContentSummary(path)
+    return store.getFileStatus(path).getModificationTime(), held.getLength(), held.getFileCount()
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 

@@ -101,6 +101,40 @@ def append_to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQ
     )
 
 
+def read_batches(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """Rows of all batch folders below ``root`` with their batch; none where no batch was written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], f"{schema}, batch bigint")
+    return spark.read.schema(f"{schema}, batch bigint").parquet(root)
+
+
+class DailyCounts:
+    """Daily volume as a table of counts, one folder per batch, that its reader adds up.
+
+    No state and no watermark: an event counts for its day however late it comes, and a
+    repeated batch replaces itself.
+    """
+
+    SCHEMA = "day date, event_count bigint, last_seen timestamp_ntz"
+
+    def __init__(self, root: str) -> None:
+        self.root = root
+
+    def merge(self, batch: DataFrame, batch_id: int) -> None:
+        seen = utc_wall_clock(F.col("ts"))
+        counts = batch.groupBy(seen.cast("date").alias("day")).agg(
+            F.count(F.lit(1)).alias("event_count"), F.max(seen).alias("last_seen")
+        )
+        counts.write.mode("overwrite").parquet(f"{self.root}/batch={batch_id}")
+
+    def total(self, spark: SparkSession) -> DataFrame:
+        counts = read_batches(spark, self.root, self.SCHEMA)
+        return counts.groupBy("day").agg(
+            F.sum("event_count").alias("event_count"), F.max("last_seen").alias("last_seen")
+        )
+
+
 class KeyedUpserts:
     """Upsert micro-batches into a table of changes, one folder per batch.
 
@@ -108,7 +142,8 @@ class KeyedUpserts:
     id, so its cost does not grow with the table and a repeated batch replaces
     itself. :meth:`latest` reads the newest row of every key; :meth:`compact`
     starts a new table from it when the changes have piled up.
-    ``newest_first`` decides which row of a key wins within one batch.
+    ``newest_first`` decides which row of a key wins, in one batch and between batches,
+    so the result does not depend on how rows are cut into batches.
     """
 
     def __init__(
@@ -127,8 +162,9 @@ class KeyedUpserts:
         rows.write.mode("overwrite").parquet(f"{self.root}/batch={batch_id}")
 
     def latest(self, spark: SparkSession) -> DataFrame:
-        changes = spark.read.schema(f"{self.schema}, batch bigint").parquet(self.root)
-        return self._first_per_key(changes, F.desc("batch")).drop("batch")
+        """The winning row of every key over all batches: ``newest_first``, then the later batch."""
+        order = self.newest_first() if self.newest_first else ()
+        return self._first_per_key(read_batches(spark, self.root, self.schema), *order, F.desc("batch")).drop("batch")
 
     def compact(self, spark: SparkSession, root: str) -> KeyedUpserts:
         """Copy the newest rows into a new table, as its batch -1."""
@@ -150,23 +186,34 @@ class KeyedUpserts:
         return self.latest(stream.sparkSession)
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that the reported batches of a query dropped as too late."""
+    return sum(state.numRowsDroppedByWatermark for batch in query.recentProgress for state in batch.stateOperators)
+
+
 def run_dedup(spark: SparkSession, events: DataFrame) -> DataFrame:
-    """Deduplicate everything available now and read the result back."""
+    """Deduplicate everything available now and read the result back.
+
+    Events later than the delay cannot be told from replays; if there are any, this is an error.
+    """
     root = scratch_path(spark, "stream-dedup")
     stream = dedup_stream(events)
-    append_to_table(stream, f"{root}/rows", f"{root}/_checkpoint").awaitTermination()
+    query = append_to_table(stream, f"{root}/rows", f"{root}/_checkpoint")
+    query.awaitTermination()
+    late = late_rows(query)
+    if late:
+        raise ValueError(f"{late} events came more than {REPLAY_DELAY} late")
     found = spark.read.schema(stream.schema).parquet(f"{root}/rows")
     return found.withColumn("ts", utc_wall_clock(F.col("ts")))
 
 
 def run_daily_volume(spark: SparkSession, events: DataFrame) -> DataFrame:
-    """Daily volume including the days whose window is still open.
-
-    Update mode emits every changed day; the upsert keeps its latest state.
-    """
+    """Daily volume of everything available now, late events included."""
     root = scratch_path(spark, "stream-volume")
-    sink = KeyedUpserts(f"{root}/rows", "day date, event_count bigint, last_seen timestamp_ntz", "day")
-    return sink.run(daily_volume(events), f"{root}/_checkpoint", "update")
+    counts = DailyCounts(f"{root}/rows")
+    writer = events.writeStream.foreachBatch(counts.merge).option("checkpointLocation", f"{root}/_checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return counts.total(spark)
 
 
 def run_upsert(spark: SparkSession, events: DataFrame) -> DataFrame:

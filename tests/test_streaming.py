@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -42,6 +43,30 @@ def test_daily_volume_includes_open_days(spark, tmp_path):
     assert [(str(d), n) for d, n, _ in rows(found)] == [("2024-01-01", 3), ("2024-01-02", 1)]
 
 
+def test_batches_out_of_order_change_nothing(spark, tmp_path):
+    batches = [event(3, 24 * 9)], [event(1, 2)], [event(2, 1)]
+    folder = folder_with(spark, tmp_path, *batches)
+    for per_batch in (None, 1):
+        volume = jobs.run_daily_volume(spark, jobs.read_events(spark, folder, per_batch))
+        assert [(str(d), n) for d, n, _ in rows(volume)] == [("2024-01-01", 2), ("2024-01-10", 1)]
+        latest = jobs.run_upsert(spark, jobs.read_events(spark, folder, per_batch))
+        assert rows(latest.select("event_id")) == [(3,)]
+        assert jobs.run_dedup(spark, jobs.read_events(spark, folder, per_batch)).count() == 3
+
+
+def test_events_later_than_the_delay_are_refused(spark, tmp_path):
+    folder = folder_with(spark, tmp_path, [event(1, 24 * 90)], [event(2, 24 * 91)], [event(3, 0)])
+    with pytest.raises(ValueError, match="1 events"):
+        jobs.run_dedup(spark, jobs.read_events(spark, folder, files_per_batch=1))
+
+
+def test_no_input_gives_an_empty_table(spark, tmp_path):
+    folder = folder_with(spark, tmp_path, [])
+    assert jobs.run_upsert(spark, jobs.read_events(spark, folder)).count() == 0
+    assert jobs.KeyedUpserts(str(tmp_path / "none"), "k bigint", "k").latest(spark).count() == 0
+    assert jobs.DailyCounts(str(tmp_path / "none")).total(spark).count() == 0
+
+
 def test_finished_days_are_appended_only_after_the_watermark(spark, tmp_path):
     folder = folder_with(spark, tmp_path, [event(1, 1), event(2, 25)], [event(3, 24 * 9)])
     root = scratch_path(spark, "volume-append")

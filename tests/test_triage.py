@@ -99,6 +99,29 @@ def test_single_class_with_hot_runs(spark):
         ]
 
 
+def test_runs_without_a_failure_are_unknown(spark):
+    nodes = spark.createDataFrame(
+        [(1, 0, "m.a", "file locked"), (1, 1, "m.b", "syntax error"), (2, 0, "m.c", "syntax error")],
+        "run_id int, position int, unique_id string, error_message string",
+    )
+    runs = spark.createDataFrame([(1,), (2,), (3,)], "run_id int")
+    assert rows(triage.run_categories(runs, nodes)) == [
+        (1, "m.a", "infrastructure", False), (2, "m.c", "sql_compilation", True), (3, None, "unknown", True)
+    ]
+    expected = spark.createDataFrame(
+        [(1, "compilation_error"), (1, "infrastructure"), (2, "data_error"), (3, "unknown")], "run_id int, error_type string"
+    )
+    assert rows(triage.run_evaluation(nodes, expected)) == [
+        (1, "infrastructure", True, True), (2, "sql_compilation", True, False), (3, "unknown", False, True)
+    ]
+
+
+def test_malformed_results_are_refused(spark):
+    documents = spark.createDataFrame([('{"results": []}',), ('{"results": [',)], "document string")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        triage.parsed_runs(documents, "document").collect()
+
+
 def test_plain_text_failure(spark):
     logs = spark.createDataFrame(
         [(1, " \n "), (2, "Compilation Error\nEnv var required but not provided: X"), (3, "in model.shop.a-b (models/a.sql)\n")],
@@ -217,8 +240,8 @@ def manifest_tables(spark, tmp_path):
 
 def test_lineage_of_two_failures(spark, tmp_path):
     nodes, edges, failed = manifest_tables(spark, tmp_path)
-    up = lineage.closure(spark, edges, failed, "upstream")
-    down = lineage.closure(spark, edges, failed, "downstream")
+    up = lineage.closure(spark, edges, failed, "upstream", nodes)
+    down = lineage.closure(spark, edges, failed, "downstream", nodes)
     assert rows(up) == [("model.s.upstream", 1), ("source.s.raw", 2)]
     assert rows(down) == [("model.s.downstream", 1), ("test.s.check", 2)]
     assert rows(lineage.summary(spark, edges, failed, nodes)) == [
@@ -234,7 +257,19 @@ def test_lineage_of_two_failures(spark, tmp_path):
     assert rows(tests) == [("model.s.downstream", "test.s.check", "check")]
     lineage.require_known(failed, nodes)
     with pytest.raises(ValueError, match="model.s.gone"):
-        lineage.require_known(spark.createDataFrame([("model.s.gone",)], "unique_id string"), nodes)
+        lineage.summary(spark, edges, spark.createDataFrame([("model.s.gone",)], "unique_id string"), nodes)
+    selected = lineage.selected_nodes(spark, edges, failed, nodes)
+    assert rows(selected.select("unique_id")) == [
+        ("model.s.downstream",), ("model.s.failed_a",), ("model.s.failed_b",), ("model.s.upstream",),
+        ("source.s.raw",), ("test.s.check",)
+    ]
+
+
+def test_unknown_parents_stay_in_the_depth_walk(spark):
+    nodes = spark.createDataFrame([("b", "b", ["a", "gone"]), ("a", "a", [])], "unique_id string, name string, parents array<string>")
+    root = spark.createDataFrame([("b",)], "unique_id string")
+    found = lineage.upstream_within(spark, lineage.edges(nodes, known_only=False), root, nodes)
+    assert rows(found.select("unique_id", "name", "level")) == [("a", "a", 1), ("b", "b", 0), ("gone", None, 1)]
 
 
 def test_walk_ends_on_cycles_and_respects_depth(spark):
@@ -243,7 +278,7 @@ def test_walk_ends_on_cycles_and_respects_depth(spark):
     )
     nodes = spark.createDataFrame([(n, n) for n in "abcde"], "unique_id string, name string")
     root = spark.createDataFrame([("e",)], "unique_id string")
-    assert {r.unique_id: r.distance for r in lineage.closure(spark, edges, root, "upstream").collect()} == {
+    assert {r.unique_id: r.distance for r in lineage.closure(spark, edges, root, "upstream", nodes).collect()} == {
         "d": 1, "a": 2, "c": 2, "b": 3
     }
     near = lineage.upstream_within(spark, edges, root, nodes, depth=1)
@@ -251,7 +286,7 @@ def test_walk_ends_on_cycles_and_respects_depth(spark):
     only = lineage.upstream_within(spark, edges, root, nodes, direction="downstream")
     assert rows(only.select("unique_id", "level")) == [("e", 0)]
     with pytest.raises(ValueError):
-        lineage.closure(spark, edges, root, "sideways")
+        lineage.closure(spark, edges, root, "sideways", nodes)
 
 
 def test_scratch_is_below_the_shared_folder(spark):
