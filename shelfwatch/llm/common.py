@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,21 +103,30 @@ def maybe_in(rows: DataFrame, column: str, keys: DataFrame, bits: int = FILTER_B
     return rows.where(may_be(keys, column, bits)(column))
 
 
+def bit_filter(keys: DataFrame, column: str, bits: int = FILTER_BITS) -> Broadcast:
+    """One bit per key at ``key mod bits``, shared with all tasks; see ``may_be``."""
+    bit = F.pmod(column, F.lit(bits))
+    words = keys.select((bit / 64).cast("int").alias("word"), (bit % 64).cast("int").alias("bit"))
+    filled = words.groupBy(F.col("word").alias("cell")).agg(F.expr("bit_or(shiftleft(1L, bit)) AS value"))
+    return keys.sparkSession.sparkContext.broadcast(dense(filled, bits // 64))
+
+
+def has_bit(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the long ``keys`` have their bit in the words of a ``bit_filter``."""
+    at = keys % (64 * len(table))
+    return (table[at // 64] >> (at % 64)) & 1 == 1
+
+
 def may_be(keys: DataFrame, column: str, bits: int = FILTER_BITS) -> Callable[[str], Column]:
     """A test of a long column for being perhaps among ``keys``.
 
     A one-hash bit filter. Only its words travel (``bits / 8`` bytes at most), so its size is
     bounded whatever the number of keys; a fuller filter lets more other rows through.
     """
-    bit = F.pmod(column, F.lit(bits))
-    words = keys.select((bit / 64).cast("int").alias("word"), (bit % 64).cast("int").alias("bit"))
-    filled = words.groupBy(F.col("word").alias("cell")).agg(F.expr("bit_or(shiftleft(1L, bit)) AS value"))
-    table = dense(filled, bits // 64)
-    shared = keys.sparkSession.sparkContext.broadcast(table)
+    shared = bit_filter(keys, column, bits)
 
     @F.pandas_udf("boolean")
     def maybe(value: pd.Series) -> pd.Series:
-        at = value.to_numpy(np.int64) % bits
-        return pd.Series((shared.value[at // 64] >> (at % 64)) & 1 == 1)
+        return pd.Series(has_bit(shared.value, value.to_numpy(np.int64)))
 
     return maybe

@@ -20,10 +20,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.llm.common import batches, may_be, maybe_in, written
+from shelfwatch.llm.common import batches, bit_filter, has_bit, may_be, written
 from shelfwatch.llm.suffixes import sorted_suffixes
 
 SPAN = 50
@@ -33,6 +34,8 @@ REACH = SPAN - GRAM + 1
 #: Bytes of cuts that a task sorts together, whole anchors at a time.
 SHARD_BYTES = 2_000_000
 LAST_ID = (1 << 63) - 1
+#: Bytes of texts whose anchors are searched at once: keeps the working set in a core's cache.
+STEP_BYTES = 64_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -68,16 +71,41 @@ def _extreme(values: np.ndarray, size: int, pick: np.ufunc) -> np.ndarray:
     return pick(values[: len(values) - (size - length)], values[size - length :]) if length < size else values
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of a text; every ``SPAN`` bytes hold one whole."""
-    if len(text) < SPAN:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    hashes = _rolling(np.frombuffer(text, np.uint8), GRAM)
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place in its text and hash of each anchor; every ``SPAN`` bytes of a text hold one whole."""
+    found = [(np.zeros(0, np.int64),) * 3]
+    first, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= STEP_BYTES or i + 1 == len(texts):
+            row, place, value = _anchors_joined(texts[first : i + 1])
+            found.append((row + first, place, value))
+            first, size = i + 1, 0
+    row, place, value = (np.concatenate(part) for part in zip(*found, strict=True))
+    return row, place, value
+
+
+def _anchors_joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``anchors`` of texts laid end to end; what reaches over an end is left out."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    if len(data) < SPAN:
+        return (np.zeros(0, np.int64),) * 3
+    ends = np.cumsum([len(t) for t in texts])
+    hashes = _rolling(data, GRAM)
+    hashes[_before(ends, GRAM, len(hashes))] = np.iinfo(np.uint64).max
     least = _extreme(hashes, REACH, np.minimum)
+    least[_before(ends, SPAN, len(least))] = 0
     edge = np.zeros(REACH - 1, np.uint64)
     largest = _extreme(np.concatenate((edge, least, edge)), REACH, np.maximum)
     places = np.flatnonzero(largest == hashes)
-    return places, hashes[places].view(np.int64)
+    row = np.searchsorted(ends, places, side="right")
+    return row, places - np.append(0, ends[:-1])[row], hashes[places].view(np.int64)
+
+
+def _before(ends: np.ndarray, size: int, limit: int) -> np.ndarray:
+    """Starts below ``limit`` of runs of ``size`` bytes that reach over one of ``ends``."""
+    starts = (ends[:, None] - np.arange(1, size)).ravel()
+    return starts[(starts >= 0) & (starts < limit)]
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -87,27 +115,39 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def _anchor_rows(texts: DataFrame) -> DataFrame:
+    """(anchor, key) of each text and each of its anchors, repeats within a text mostly left out."""
+
     def mark(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source, 2_000_000):
-            found = [np.unique(anchors(t)[1]) for t in batch.column("text").to_pylist()]
-            keys = np.repeat(batch.column("key").to_numpy(), [len(f) for f in found])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)), pa.array(keys, pa.int64())], names=["anchor", "key"])
+            row, _, hashes = anchors(batch.column("text").to_pylist())
+            order = np.lexsort((hashes, row))
+            row, hashes = row[order], hashes[order]
+            new = np.append(True, (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1]))[: len(row)]
+            keys = batch.column("key").to_numpy()[row[new]]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[new], pa.int64()), pa.array(keys, pa.int64())], names=["anchor", "key"])
 
     return texts.select("key", "text").mapInArrow(mark, "anchor long, key long")
 
 
-def _cuts(texts: DataFrame) -> DataFrame:
-    """(anchor, place, start, id, key, cut) around each anchor; ``start`` is where the cut begins in its text."""
+def _cuts(texts: DataFrame, shared: Broadcast) -> DataFrame:
+    """(anchor, place, start, id, key, name, cut) around the anchors whose bit is in ``shared``.
+
+    ``start`` is where the cut begins in its text, ``place`` where the anchor does in the cut.
+    """
 
     def cut(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
         for batch in batches(source, 1_000_000):
-            for id_, key, text in zip(*(batch.column(c).to_pylist() for c in ("id", "key", "text")), strict=True):
-                places, hashes = anchors(text)
-                starts = np.maximum(places - (REACH - 1), 0)
-                cuts = [text[a : p + SPAN] for a, p in zip(starts.tolist(), places.tolist(), strict=True)]
-                names = [xxhash.xxh3_64_intdigest(c, int(p)) - (1 << 63) for c, p in zip(cuts, places - starts, strict=True)]
-                columns = [pa.array(hashes), pa.array((places - starts).astype(np.int32)), pa.array(starts), pa.array(np.full(len(cuts), id_)), pa.array(np.full(len(cuts), key)), pa.array(names, pa.int64()), pa.array(cuts, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "place", "start", "id", "key", "name", "cut"])
+            texts = batch.column("text").to_pylist()
+            row, places, hashes = anchors(texts)
+            near = has_bit(table, hashes)
+            row, places, hashes = row[near], places[near], hashes[near]
+            starts = np.maximum(places - (REACH - 1), 0)
+            cuts = [texts[r][a : p + SPAN] for r, a, p in zip(row.tolist(), starts.tolist(), places.tolist(), strict=True)]
+            names = [xxhash.xxh3_64_intdigest(c, p) - (1 << 63) for c, p in zip(cuts, (places - starts).tolist(), strict=True)]
+            ids, keys = (batch.column(c).to_numpy()[row] for c in ("id", "key"))
+            columns = [pa.array(hashes), pa.array((places - starts).astype(np.int32)), pa.array(starts), pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(names, pa.int64()), pa.array(cuts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "place", "start", "id", "key", "name", "cut"])
 
     schema = "anchor long, place int, start long, id long, key long, name long, cut binary"
     return texts.select("id", "key", "text").mapInArrow(cut, schema)
@@ -170,50 +210,54 @@ def _owners(cuts: DataFrame) -> DataFrame:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """(key, starts, stops) of texts that lose bytes, except copies of whole texts; arrays of ranges, not merged."""
-    named = _named(docs)
-    least = named.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    # Only later copies need a join to be left out; most texts have none.
-    copied = least.where("least < most").withColumn("d", F.xxhash64("digest"))
+    """(key, ranges) of texts that lose bytes; ranges ``a`` to ``b`` of an array may overlap."""
+    named = _named(docs).withColumn("d", F.xxhash64("digest"))
+    least = named.groupBy("digest", "d").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    copied = written(least.where("least < most").drop("most"), "copies")
+    # Only texts with copies meet their smallest id; most have none.
     maybe = may_be(copied.select("d"), "d")
-    marked = named.withColumn("d", F.xxhash64("digest"))
-    marked = marked.withColumn("maybe", maybe("d"))
-    alone = marked.where("not maybe").select("id", "key", "text")
-    firsts = marked.where("maybe").join(copied.select("digest", "least"), "digest", "left").where("least is null or id = least").select("id", "key", "text")
-    texts = alone.unionByName(firsts)
+    marked = named.withColumn("maybe", maybe("d"))
+    told = marked.where("maybe").join(copied.drop("d"), "digest", "left")
+    firsts = told.where("least is null or id = least").select("id", "key", "text")
+    texts = marked.where("not maybe").select("id", "key", "text").unionByName(firsts)
     both = _anchor_rows(texts).groupBy("anchor").agg(F.min("key").alias("low"), F.max("key").alias("top")).where("low < top")
-    cuts = written(maybe_in(_cuts(texts), "anchor", both.select("anchor")), "cuts")
+    cuts = written(_cuts(texts, bit_filter(both.select("anchor"), "anchor")), "cuts")
     found = written(_owners(cuts), "owners")
     lost = cuts.drop("cut", "place").join(found, ["anchor", "name"]).where("id > owner")
-    ranges = lost.groupBy("key").agg(F.collect_list(F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + SPAN).alias("b"))).alias("ranges"))
-    return ranges
+    span = F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + SPAN).alias("b"))
+    # A later copy of a whole text loses all of it.
+    whole = F.struct(F.lit(0).cast("long").alias("a"), F.octet_length("text").cast("long").alias("b"))
+    later = told.where(F.col("id") > F.col("least")).where(F.octet_length("text") >= SPAN).select("key", whole.alias("span")).distinct()
+    return lost.select("key", span.alias("span")).unionByName(later).groupBy("key").agg(F.collect_list("span").alias("ranges"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) per document; ``kept`` is what remains, as bytes."""
     named = _named(docs)
-    least = named.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    copied = written(least.where("least < most").drop("most"), "copies")
     ranges = written(spans(docs), "ranges")
-    rows = named.join(copied, "digest", "left").withColumn("copy", F.coalesce(F.col("id") > F.col("least"), F.lit(False)))
+    # Only texts that may lose bytes are shuffled.
+    maybe = may_be(ranges.select("key"), "key")
+    marked = named.select("doc_id", "key", "text").withColumn("maybe", maybe("key"))
+    whole = marked.where("not maybe").select("doc_id", "text", F.lit(None).cast("array<struct<a: bigint, b: bigint>>").alias("ranges"))
+    rows = whole.unionByName(marked.where("maybe").join(ranges, "key", "left").select("doc_id", "text", "ranges"))
 
     def remove(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source, 4_000_000):
             out: list[tuple] = []
-            for doc, text, copy, part in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "copy", "ranges")), strict=True):
+            for doc, text, part in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "ranges")), strict=True):
+                if not part:
+                    out.append((doc, len(text), 0, 0, hashlib.sha256(text).hexdigest(), text))
+                    continue
                 gone = np.zeros(len(text) + 1, np.int32)
-                if copy and len(text) >= SPAN:
-                    part = [{"a": 0, "b": len(text)}]
-                for r in part or ():
+                for r in part:
                     gone[r["a"]] += 1
                     gone[r["b"]] -= 1
                 lost = np.cumsum(gone)[:-1] > 0
-                kept = np.frombuffer(text, np.uint8)[~lost].tobytes() if len(text) else b""
-                n_spans = int((lost & ~np.append(False, lost[:-1])).sum()) if len(text) else 0
+                kept = np.frombuffer(text, np.uint8)[~lost].tobytes()
+                n_spans = int((lost & ~np.append(False, lost[:-1])).sum())
                 out.append((doc, len(text), int(lost.sum()), n_spans, hashlib.sha256(kept).hexdigest(), kept))
             kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
             columns = zip(*out, strict=True) if out else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return rows.join(ranges, "key", "left").select("doc_id", "text", "copy", "ranges").mapInArrow(remove, schema)
+    return rows.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
