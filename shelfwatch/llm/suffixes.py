@@ -74,12 +74,20 @@ def _hand_on(queues: Queues, symbols: np.ndarray, positions: np.ndarray) -> None
 
 def _types(symbols: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than its successor (S)."""
-    n = len(symbols)
     differs = np.append(symbols[:-1] != symbols[1:], True)
     rises = np.append(symbols[:-1] < symbols[1:], True)
     # A run of equal symbols has the type of its last one.
     last = np.flatnonzero(differs)
-    return rises[last[np.searchsorted(last, np.arange(n))]]
+    return np.repeat(rises[last], np.diff(last, prepend=-1))
+
+
+def _sevens(symbols: np.ndarray) -> np.ndarray:
+    """Every run of seven symbols as one number of 63 bits, by doubling."""
+    one = symbols.astype(np.uint64)
+    two = one[:-1] << np.uint64(9) | one[1:]
+    three = two[:-1] << np.uint64(9) | one[2:]
+    four = two[:-2] << np.uint64(18) | two[2:]
+    return four[:-3] << np.uint64(27) | three[4:]
 
 
 def sorted_suffixes(symbols: np.ndarray, depth: int, limit: int = QUEUE_BYTES) -> np.ndarray:
@@ -91,20 +99,10 @@ def sorted_suffixes(symbols: np.ndarray, depth: int, limit: int = QUEUE_BYTES) -
     n = len(symbols)
     is_s = _types(symbols)
     is_s[symbols == 0] = True
-    star = np.flatnonzero(is_s & ~np.append(True, is_s[:-1])) if n else np.zeros(0, np.int64)
-    ends = np.flatnonzero(symbols == 0)
-    star = np.union1d(star, ends)
-    # S* suffixes by their first symbols, seven of nine bits in a key, up to the end of their string.
-    padded = np.append(symbols, np.zeros(depth + 16, symbols.dtype))
-    stop = ends[np.searchsorted(ends, star)] if len(star) else star
-    keys = []
-    for at in range(0, depth, 7):
-        key = np.zeros(len(star), np.uint64)
-        for i in range(7):
-            inside = star + at + i < stop
-            key = (key << np.uint64(9)) | np.where(inside, padded[np.minimum(star + at + i, n)], 0).astype(np.uint64)
-        keys.append(key)
-    star = star[np.lexsort(keys[::-1])] if len(star) else star
+    star = np.flatnonzero(is_s & ~np.append(True, is_s[:-1]) | (symbols == 0)) if n else np.zeros(0, np.int64)
+    # S* suffixes by their first symbols, seven in a key; zeros part suffixes before what follows them counts.
+    packed = _sevens(np.append(symbols, np.zeros(depth + 16, symbols.dtype)))
+    star = star[np.lexsort([packed[star + at] for at in range(0, depth, 7)][::-1])]
 
     seeds, larger, smaller = (Queues(SYMBOLS, limit) for _ in range(3))
     _hand_on(seeds, symbols, star)
