@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.llm.common import batches, bit_filter, has_bit, may_be, written
+from shelfwatch.llm.common import batches, bit_filter, has_bit, may_be, maybe_in, written
 from shelfwatch.llm.suffixes import sorted_suffixes
 
 SPAN = 50
@@ -36,6 +36,8 @@ SHARD_BYTES = 2_000_000
 LAST_ID = (1 << 63) - 1
 #: Bytes of texts whose anchors are searched at once: keeps the working set in a core's cache.
 STEP_BYTES = 64_000
+#: Cuts that a task remembers, so as not to give their bytes again; bounds its memory, changes no result.
+MEMO_CUTS = 400_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -72,7 +74,7 @@ def _extreme(values: np.ndarray, size: int, pick: np.ufunc) -> np.ndarray:
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, place in its text and hash of each anchor; every ``SPAN`` bytes of a text hold one whole."""
+    """Row, place in its text and 48-bit hash of each anchor; every ``SPAN`` bytes of a text hold one whole."""
     found = [(np.zeros(0, np.int64),) * 3]
     first, size = 0, 0
     for i, text in enumerate(texts):
@@ -99,7 +101,7 @@ def _anchors_joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
     largest = _extreme(np.concatenate((edge, least, edge)), REACH, np.maximum)
     places = np.flatnonzero(largest == hashes)
     row = np.searchsorted(ends, places, side="right")
-    return row, places - np.append(0, ends[:-1])[row], hashes[places].view(np.int64)
+    return row, places - np.append(0, ends[:-1])[row], (hashes[places] >> np.uint64(16)).view(np.int64)
 
 
 def _before(ends: np.ndarray, size: int, limit: int) -> np.ndarray:
@@ -115,7 +117,7 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def _anchor_rows(texts: DataFrame) -> DataFrame:
-    """(anchor, key) of each text and each of its anchors, repeats within a text mostly left out."""
+    """(anchor, id) of each text and each of its anchors, once."""
 
     def mark(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source, 2_000_000):
@@ -123,20 +125,23 @@ def _anchor_rows(texts: DataFrame) -> DataFrame:
             order = np.lexsort((hashes, row))
             row, hashes = row[order], hashes[order]
             new = np.append(True, (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1]))[: len(row)]
-            keys = batch.column("key").to_numpy()[row[new]]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[new], pa.int64()), pa.array(keys, pa.int64())], names=["anchor", "key"])
+            ids = batch.column("id").to_numpy()[row[new]]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[new], pa.int64()), pa.array(ids, pa.int64())], names=["anchor", "id"])
 
-    return texts.select("key", "text").mapInArrow(mark, "anchor long, key long")
+    return texts.select("id", "text").mapInArrow(mark, "anchor long, id long")
 
 
 def _cuts(texts: DataFrame, shared: Broadcast) -> DataFrame:
     """(anchor, place, start, id, key, name, cut) around the anchors whose bit is in ``shared``.
 
-    ``start`` is where the cut begins in its text, ``place`` where the anchor does in the cut.
+    ``start`` is where the cut begins in its text, ``place`` where the anchor does in the cut. A task leaves out the
+    bytes of cuts that it gave before for a smaller id and for some other one: the rest tells the smallest
+    id of a cut, and whether there is a larger one.
     """
 
     def cut(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
+        given: dict[int, tuple[int, int]] = {}
         for batch in batches(source, 1_000_000):
             texts = batch.column("text").to_pylist()
             row, places, hashes = anchors(texts)
@@ -146,6 +151,14 @@ def _cuts(texts: DataFrame, shared: Broadcast) -> DataFrame:
             cuts = [texts[r][a : p + SPAN] for r, a, p in zip(row.tolist(), starts.tolist(), places.tolist(), strict=True)]
             names = [xxhash.xxh3_64_intdigest(c, p) - (1 << 63) for c, p in zip(cuts, (places - starts).tolist(), strict=True)]
             ids, keys = (batch.column(c).to_numpy()[row] for c in ("id", "key"))
+            if len(given) > MEMO_CUTS:
+                given.clear()
+            for i, (name, id_) in enumerate(zip(names, ids.tolist(), strict=True)):
+                low, top = given.get(name, (id_, id_))
+                if name in given and id_ >= low and (low < top or id_ == low):
+                    cuts[i] = None
+                else:
+                    given[name] = min(low, id_), max(top, id_)
             columns = [pa.array(hashes), pa.array((places - starts).astype(np.int32)), pa.array(starts), pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(names, pa.int64()), pa.array(cuts, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["anchor", "place", "start", "id", "key", "name", "cut"])
 
@@ -204,42 +217,67 @@ def _owners(cuts: DataFrame) -> DataFrame:
         if held:
             yield from settle(held)
 
-    distinct = cuts.groupBy("anchor", "name", "place", "cut").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    distinct = cuts.where("cut is not null").groupBy("anchor", "name", "place", "cut").agg(F.min("id").alias("least"), F.max("id").alias("most"))
     shards = distinct.repartition("anchor").sortWithinPartitions("anchor")
     return shards.mapInArrow(sort, "anchor long, name long, first int, last int, owner long")
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """(key, ranges) of texts that lose bytes; ranges ``a`` to ``b`` of an array may overlap."""
-    named = _named(docs).withColumn("d", F.xxhash64("digest"))
-    least = named.groupBy("digest", "d").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    copied = written(least.where("least < most").drop("most"), "copies")
-    # Only texts with copies meet their smallest id; most have none.
-    maybe = may_be(copied.select("d"), "d")
-    marked = named.withColumn("maybe", maybe("d"))
-    told = marked.where("maybe").join(copied.drop("d"), "digest", "left")
-    firsts = told.where("least is null or id = least").select("id", "key", "text")
-    texts = marked.where("not maybe").select("id", "key", "text").unionByName(firsts)
-    both = _anchor_rows(texts).groupBy("anchor").agg(F.min("key").alias("low"), F.max("key").alias("top")).where("low < top")
+class Copies:
+    """Tells later copies of whole texts apart by keys alone, so that texts need no shuffle for it.
+
+    ``likely`` holds of every later copy, and of few other rows. Of those others ``doubt`` holds, and of few
+    later copies. Rows with both are settled by an exact join, whatever their number.
+    """
+
+    def __init__(self, named: DataFrame) -> None:
+        sized = named.select("id", "key", "digest", F.octet_length("text").cast("long").alias("n"))
+        names = written(sized.withColumn("d", F.xxhash64("digest")), "names")
+        least = names.groupBy("digest", "d").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+        copied = written(least.where("least < most").drop("most"), "copies")
+        found = maybe_in(names, "d", copied.select("d")).join(copied.drop("d"), "digest").where("id > least")
+        self.later = written(found.select("key", "n").distinct(), "later")
+        self._likely = may_be(self.later.select("key"), "key")
+        wrong = names.select("key").where(self._likely("key")).join(self.later.select("key"), "key", "left_anti")
+        self._doubt = may_be(written(wrong, "not-later"), "key")
+
+    def marked(self, named: DataFrame) -> DataFrame:
+        """``named`` with ``state``: 0 no later copy, 1 a later copy, 2 to be settled."""
+        tests = named.withColumn("likely", self._likely("key")).withColumn("doubt", self._doubt("key"))
+        state = F.when(~F.col("likely"), 0).when(~F.col("doubt"), 1).otherwise(2)
+        return tests.withColumn("state", state).drop("likely", "doubt")
+
+    def unsettled(self) -> DataFrame:
+        """(key, n) of later copies in state 2."""
+        return self.later.where(self._doubt("key"))
+
+
+def spans(named: DataFrame, copies: Copies) -> DataFrame:
+    """(key, ranges) of texts that lose bytes, without copies in state 1; ranges ``a`` to ``b`` may overlap."""
+    marked = copies.marked(named).select("id", "key", "text", "state")
+    settled = marked.where("state = 2").join(copies.unsettled().select("key"), "key", "left_anti")
+    texts = marked.where("state = 0").unionByName(settled).drop("state")
+    both = _anchor_rows(texts).groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("top")).where("low < top")
     cuts = written(_cuts(texts, bit_filter(both.select("anchor"), "anchor")), "cuts")
     found = written(_owners(cuts), "owners")
     lost = cuts.drop("cut", "place").join(found, ["anchor", "name"]).where("id > owner")
     span = F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + SPAN).alias("b"))
-    # A later copy of a whole text loses all of it.
-    whole = F.struct(F.lit(0).cast("long").alias("a"), F.octet_length("text").cast("long").alias("b"))
-    later = told.where(F.col("id") > F.col("least")).where(F.octet_length("text") >= SPAN).select("key", whole.alias("span")).distinct()
-    return lost.select("key", span.alias("span")).unionByName(later).groupBy("key").agg(F.collect_list("span").alias("ranges"))
+    whole = copies.unsettled().where(F.col("n") >= SPAN).select("key", F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b")).alias("span"))
+    return lost.select("key", span.alias("span")).unionByName(whole).groupBy("key").agg(F.collect_list("span").alias("ranges"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) per document; ``kept`` is what remains, as bytes."""
     named = _named(docs)
-    ranges = written(spans(docs), "ranges")
-    # Only texts that may lose bytes are shuffled.
+    copies = Copies(named)
+    ranges = written(spans(named, copies), "ranges")
+    # Only texts that may lose some of their bytes are shuffled.
     maybe = may_be(ranges.select("key"), "key")
-    marked = named.select("doc_id", "key", "text").withColumn("maybe", maybe("key"))
-    whole = marked.where("not maybe").select("doc_id", "text", F.lit(None).cast("array<struct<a: bigint, b: bigint>>").alias("ranges"))
-    rows = whole.unionByName(marked.where("maybe").join(ranges, "key", "left").select("doc_id", "text", "ranges"))
+    marked = copies.marked(named).withColumn("maybe", (F.col("state") != 1) & maybe("key")).select("doc_id", "key", "text", "state", "maybe")
+    none = F.array().cast("array<struct<a: bigint, b: bigint>>")
+    all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.octet_length("text").cast("long").alias("b")))
+    copy = (F.col("state") == 1) & (F.octet_length("text") >= SPAN)
+    rows = marked.where("not maybe").select("doc_id", "text", F.when(copy, all_of_it).otherwise(none).alias("ranges"))
+    rows = rows.unionByName(marked.where("maybe").join(ranges, "key", "left").select("doc_id", "text", "ranges"))
 
     def remove(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source, 4_000_000):
