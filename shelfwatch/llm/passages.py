@@ -32,12 +32,14 @@ GRAM = 20
 #: Starts of strings that can share one anchor.
 REACH = SPAN - GRAM + 1
 #: Bytes of cuts that a task sorts together, whole anchors at a time.
-SHARD_BYTES = 2_000_000
+SHARD_BYTES = 1_000_000
 LAST_ID = (1 << 63) - 1
 #: Bytes of texts whose anchors are searched at once: keeps the working set in a core's cache.
 STEP_BYTES = 64_000
+#: Neighbours compared at once.
+COMPARED = 20_000
 #: Cuts that a task remembers, so as not to give their bytes again; bounds its memory, changes no result.
-MEMO_CUTS = 400_000
+MEMO_CUTS = 100_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -184,11 +186,14 @@ def _owners(cuts: DataFrame) -> DataFrame:
         places = np.array([r[2] for r in rows])
         fits = (offset + SPAN <= sizes[cut_of]) & (offset <= places[cut_of])
         order, cut_of, offset = order[fits], cut_of[fits], offset[fits]
-        strings = np.lib.stride_tricks.sliding_window_view(symbols, SPAN)[order] if len(order) else np.zeros((0, SPAN), np.uint16)
-        first = np.append(True, (strings[1:] != strings[:-1]).any(1)) if len(order) else np.zeros(0, bool)
-        ids = np.array([r[4] for r in rows], np.int64)[cut_of]
         if not len(order):
             return
+        strings = np.lib.stride_tricks.sliding_window_view(symbols, SPAN)
+        first = np.ones(len(order), bool)
+        for at in range(1, len(order), COMPARED):
+            here = order[at : at + COMPARED]
+            first[at : at + COMPARED] = (strings[here] != strings[order[at - 1 : at - 1 + len(here)]]).any(1)
+        ids = np.array([r[4] for r in rows], np.int64)[cut_of]
         least = np.minimum.reduceat(ids, np.flatnonzero(first))
         owner = least[np.cumsum(first) - 1]
         back = np.lexsort((offset, cut_of))
