@@ -222,8 +222,10 @@ def _owners(cuts: DataFrame) -> DataFrame:
         if held:
             yield from settle(held)
 
-    distinct = cuts.where("cut is not null").groupBy("anchor", "name", "place", "cut").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    shards = distinct.repartition("anchor").sortWithinPartitions("anchor")
+    # Tasks gave few rows of a cut each, so one shuffle serves the counting and the shards.
+    given = cuts.where("cut is not null").repartition("anchor")
+    distinct = given.groupBy("anchor", "name", "place", "cut").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    shards = distinct.sortWithinPartitions("anchor")
     return shards.mapInArrow(sort, "anchor long, name long, first int, last int, owner long")
 
 
@@ -264,7 +266,7 @@ def spans(named: DataFrame, copies: Copies) -> DataFrame:
     both = _anchor_rows(texts).groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("top")).where("low < top")
     cuts = written(_cuts(texts, bit_filter(both.select("anchor"), "anchor")), "cuts")
     found = written(_owners(cuts), "owners")
-    lost = cuts.drop("cut", "place").join(found, ["anchor", "name"]).where("id > owner")
+    lost = maybe_in(cuts.drop("cut", "place"), "name", found.select("name")).join(found, ["anchor", "name"]).where("id > owner")
     span = F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + SPAN).alias("b"))
     whole = copies.unsettled().where(F.col("n") >= SPAN).select("key", F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b")).alias("span"))
     return lost.select("key", span.alias("span")).unionByName(whole).groupBy("key").agg(F.collect_list("span").alias("ranges"))
