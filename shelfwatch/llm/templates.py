@@ -2,18 +2,26 @@
 
 A line of at least ``LEAST_TOKENS`` tokens falls through a tree of fixed depth: first its number of
 tokens, then its ``LEADING`` first tokens, tokens with a digit read as a variable field. At a leaf
-that lines of at least ``texts`` different texts reach, a token stays fixed at its place if at least
-``texts`` (text, line) occurrences at this leaf have it there; other places are variable fields. A line's
-template is what results. A template is recurring if at least ``FIXED`` of its places (and four) are
-fixed and ``texts`` different texts hold it. Its lines are dropped from every text but the first, that
-of the smallest document id, and there all lines stay. Copies of one text count as one text and keep
+that lines of several different texts reach, a token stays fixed at its place if enough
+(text, line) occurrences at this leaf have it there; other places are variable fields. A line's
+template is what results. It is made twice, enough being ``texts`` and one more: the first tells values that
+two texts share by chance from fields, the second does not take them for fixed. A template is recurring if at
+least ``FIXED`` of its places (and ``LEAST_TOKENS``) are fixed and as many different texts as made it hold it.
+
+Lines with too few fixed places, such as rows of numbers, and lines of fewer tokens recur as whole lines only, digits
+included, if they have a letter: from ``texts`` different texts on, lines of fewer than ``LEAST_TOKENS`` tokens
+from ``short_texts`` on.
+
+Recurring lines are dropped from every text but the first, that
+of the smallest document id, and there all lines stay. Equal whole lines have equal templates, and templates made
+with ``texts`` are refined ones of the others, so one text keeps a line of each. Copies of one text count as one text and keep
 or lose the same lines, so copies of a document remain copies.
 
 The tree is built from counts, not by walking lines one after another: the result does not depend on
 the order of lines, frequent lines collapse into one row before tokens are spread out, and no leaf is
 gathered anywhere. Only lines that share a leaf with other texts are spread out into tokens.
 
-Null texts count as empty and stay empty; lines of few tokens are never dropped. Ties in document ids
+Null texts count as empty and stay empty; lines without a token are never dropped. Ties in document ids
 are settled by a digest of the text. Repeated rows are copies. Extra columns pass through; ``n_lines``
 and ``n_dropped`` are replaced. Empty tables give empty results.
 """
@@ -35,13 +43,16 @@ LEAST_TOKENS = 4
 LEADING = 3
 #: Share of places that must be fixed in a recurring template.
 FIXED = 0.7
-#: Different texts that make a leaf, a fixed token or a template recur.
-TEXTS = 3
+#: Different texts that make a leaf, a fixed token, a template or a whole line recur.
+TEXTS = 2
+#: The same for whole lines of fewer than ``LEAST_TOKENS`` tokens.
+SHORT_TEXTS = 6
 FIELD = b"<*>"
 
 
 _DIGIT = re.compile(rb"[0-9]")
-_LINES = "text_key binary, doc_id long, line_no int, leaf long, line_hash long, line string"
+_LETTER = re.compile(rb"[A-Za-z\x80-\xff]")
+_LINES = "text_key binary, doc_id long, line_no int, leaf long, line_hash long, whole long, line string"
 
 
 def _key() -> Column:
@@ -54,7 +65,10 @@ def _long(data: bytes) -> int:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """Rows of ``_LINES``: each line that enters the tree, with fields masked and white space evened."""
+    """Rows of ``_LINES``: each line that enters the tree, with fields masked and white space evened.
+
+    ``whole`` is a hash of the line without masks, null where no letter is in it. Short lines are not masked.
+    """
 
     def parse(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source):
@@ -62,13 +76,18 @@ def lines(docs: DataFrame) -> DataFrame:
             for key, doc, text in zip(*(batch.column(c).to_pylist() for c in ("text_key", "doc_id", "text")), strict=True):
                 for number, raw in enumerate(text.split(b"\n")):
                     tokens = raw.split()
-                    if len(tokens) >= LEAST_TOKENS:
-                        if _DIGIT.search(raw):
-                            tokens = [FIELD if _DIGIT.search(t) else t for t in tokens]
+                    letter = _LETTER.search(raw) is not None
+                    if len(tokens) >= LEAST_TOKENS or tokens and letter:
                         line = b" ".join(tokens)
+                        whole = _long(line)
+                        hashed = whole
+                        if len(tokens) >= LEAST_TOKENS and _DIGIT.search(raw):
+                            tokens = [FIELD if _DIGIT.search(t) else t for t in tokens]
+                            line = b" ".join(tokens)
+                            hashed = _long(line)
                         leaf = _long(b" ".join([b"%d" % len(tokens), *tokens[:LEADING]]))
-                        rows.append((key, doc, number, leaf, _long(line), line))
-            kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+                        rows.append((key, doc, number, leaf, hashed, whole if letter else None, line))
+            kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
             arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in _LINES.split(", ")])
@@ -83,7 +102,7 @@ def _shared(rows: DataFrame, key: str, texts: int) -> DataFrame:
     return held.where(F.col("texts") >= texts).select(key)
 
 
-def recurring(docs: DataFrame, texts: int = TEXTS) -> DataFrame:
+def recurring(docs: DataFrame, texts: int = TEXTS, short_texts: int = SHORT_TEXTS) -> DataFrame:
     """(text_key, line_no) of the lines to drop, each once."""
     every = written(lines(docs), "lines")
     # The filter spares lines alone at their leaf; the few it lets through make no recurring template.
@@ -102,22 +121,37 @@ def recurring(docs: DataFrame, texts: int = TEXTS) -> DataFrame:
         tokens.where(F.col("token") != field)
         .groupBy("leaf", "place", "token").agg(F.sum("uses").alias("support"))
         .where(F.col("support") >= texts)
-        .select("leaf", "place", "token", F.col("token").alias("fixed"))
     )
     kept = tokens.join(fixed, ["leaf", "place", "token"], "left")
     # A group is one line. Places are unique in it, so two sums of hashes of (place, token) name the template.
+    levels = (texts, texts + 1)
+    enough = {t: F.col("support") >= t for t in levels}
     parsed = kept.groupBy(*line).agg(
-        *[F.bit_xor(F.when(F.col("fixed").isNotNull(), F.xxhash64(F.lit(seed), "place", "fixed"))).alias(f"t{seed}") for seed in (1, 2)],
-        F.count("fixed").alias("n_fixed"),
+        *[
+            F.bit_xor(F.when(enough[t], F.xxhash64(F.lit(seed), "place", "token"))).alias(f"t{t}_{seed}")
+            for t in levels for seed in (1, 2)
+        ],
+        *[F.count(F.when(enough[t], True)).alias(f"fixed{t}") for t in levels],
+        F.first("uses").alias("uses"),
         F.count(F.lit(1)).alias("n"),
     )
-    strong = parsed.where((F.col("n_fixed") >= LEAST_TOKENS) & (F.col("n_fixed") >= FIXED * F.col("n")))
-    template = F.xxhash64("leaf", "n", "t1", "t2")
-    held = written(
-        near.drop("line").join(strong.select(*line, template.alias("template")), line), "templates"
-    )
+    long_line = F.col("n") >= LEAST_TOKENS
+    strong = {t: long_line & (F.col(f"fixed{t}") >= LEAST_TOKENS) & (F.col(f"fixed{t}") >= FIXED * F.col("n")) for t in levels}
+    names = [
+        F.when(strong[t], F.struct(F.xxhash64(F.lit(t), "leaf", "n", f"t{t}_1", f"t{t}_2").alias("template"), F.lit(t).alias("need")))
+        for t in levels
+    ]
+    # What equal whole lines share is in their template already, if that is a strong one.
+    need = F.when(long_line, F.lit(texts)).otherwise(F.lit(short_texts))
+    whole = F.when(~strong[texts] & (F.col("uses") >= need), need)
+    named = parsed.select(*line, F.array_compact(F.array(*names)).alias("names"), whole.alias("need"))
+    named = near.drop("line").join(named.where("size(names) > 0 or need is not null"), line)
+    as_whole = F.when(F.col("whole").isNotNull() & F.col("need").isNotNull(), F.struct(F.xxhash64(F.lit(0), "leaf", "whole").alias("template"), "need"))
+    every_name = F.concat("names", F.array_compact(F.array(as_whole)))
+    held = written(named.select("text_key", "doc_id", "line_no", F.inline(every_name)), "templates")
     first = held.groupBy("template").agg(F.min(F.struct("doc_id", "text_key"))["text_key"].alias("first_key"))
-    again = _shared(held, "template", texts).join(first, "template")
+    texts_of = held.select("template", "need", "text_key").distinct().groupBy("template", "need").agg(F.count(F.lit(1)).alias("texts"))
+    again = texts_of.where("texts >= need").select("template").join(first, "template")
     return held.join(again, "template").where("text_key <> first_key").select("text_key", "line_no").distinct()
 
 

@@ -325,6 +325,68 @@ def test_templates_drop_recurring_lines(spark):
         assert found[i]["n_chars"] == len(found[i]["text"])
 
 
+def kept_lines(corpus, short_texts=6):
+    """Whole lines and templates counted in plain dictionaries: what op9 leaves of each text."""
+    first_id = {}
+    for i, text in sorted(corpus.items()):
+        first_id.setdefault(text, i)
+    found, lines_at, support = [], defaultdict(lambda: defaultdict(set)), defaultdict(Counter)
+    for text in first_id:
+        for number, raw in enumerate(text.split("\n")):
+            own = tuple(raw.encode().split())
+            letter = re.search(rb"[A-Za-z\x80-\xff]", raw.encode())
+            if len(own) >= 4 or own and letter:
+                masked = tuple(b"<*>" if len(own) >= 4 and re.search(rb"[0-9]", w) else w for w in own)
+                leaf = (len(own), masked[:3])
+                lines_at[leaf][masked].add(text)
+                found.append((text, number, leaf, masked, own if letter else None))
+    for leaf, held in lines_at.items():
+        for masked, texts in held.items():
+            support[leaf].update({(p, w): len(texts) for p, w in enumerate(masked) if w != b"<*>"})
+    holders, places = defaultdict(set), defaultdict(set)
+    for text, number, leaf, masked, own in found:
+        names = []
+        for level in (2, 3):
+            fixed = frozenset((p, w) for p, w in enumerate(masked) if support[leaf][p, w] >= level)
+            if len(masked) >= 4 and len(fixed) >= max(4, 0.7 * len(masked)):
+                names.append((level, leaf, fixed))
+        if own:
+            names.append((2 if len(own) >= 4 else short_texts, "whole", own))
+        for name in names:
+            holders[name].add(text)
+            places[name].add((text, number))
+    gone = defaultdict(set)
+    for name, texts in holders.items():
+        if len(texts) >= name[0]:
+            stays = min(texts, key=first_id.get)
+            for text, number in places[name]:
+                if text != stays:
+                    gone[text].add(number)
+    return {i: "\n".join(x for n, x in enumerate(text.split("\n")) if n not in gone[text]) for i, text in corpus.items()}
+
+
+def test_line_dedup_equals_brute_force(run, corpus):
+    left = kept_lines(corpus)
+    for r in run("op9_line_dedup"):
+        i = r["doc_id"]
+        assert (r["text"] or "") == left[i]
+        assert r["n_lines"] == corpus[i].count("\n") + 1
+        assert r["n_dropped"] == r["n_lines"] - (left[i].count("\n") + 1 if left[i] or r["n_dropped"] < r["n_lines"] else 0)
+
+
+def test_whole_lines_recur(spark):
+    passage = " ".join(f"{w}word" for w in "abcdefghijklmnopqrstuvwxyz" * 2)
+    numbers = "Tel 030 1234 5678 90"
+    rows = [(i, f"{'abcdefgh'[i] * 5}\nLes.\n{i}{i}\n12\n}}\nmine {i} 1 2 3" + (f"\n{passage}\n{numbers}" if i > 5 else "")) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["text"] for r in templates.without_recurring(docs).collect()}
+    assert found == kept_lines(dict(rows))
+    assert all(("Les." in found[i]) == (i == 0) for i in range(8))  # one word, eight texts
+    assert passage in found[6] and passage not in found[7]  # a long line of two texts
+    assert numbers in found[6] and numbers not in found[7]  # hardly anything fixed, but the same line
+    assert all(f"mine {i} 1 2 3" in found[i] and "\n12\n}" in found[i] for i in range(8))  # only fields in common; no letter
+
+
 def test_encoder_equals_tokenizer(corpus):
     whole = Tokenizer.from_file(tokens.vocabulary())
     texts = [*list(corpus.values())[:60], "don't  it's <|endoftext|>a", "", "é ́x ΑΣ\x1cfoo 1234abc,.!", "<|startoftext|> \x01 x\x01y"]
