@@ -3,7 +3,8 @@
 Earlier means a smaller document id. Candidates come from content-defined anchors: the smallest hash of
 ``GRAM`` bytes in every stretch of ``SPAN`` bytes, so equal strings have an anchor in common, at the same
 place. Anchors of one text only are left out. Around every other one the bytes that a string through it can reach
-are cut out, equal cuts are counted once with their smallest id, and all cuts of an anchor meet in one shard. There the suffixes
+are cut out, equal cuts are counted once with their smallest id, and all cuts of an anchor meet in one shard, unless
+they have more than ``SHARD_BYTES``: the strings of such cuts are grouped by their digests, whatever their anchor. In a shard the suffixes
 of the shard's cuts are ordered by induced sorting with spilling queues (see ``suffixes``); neighbours that agree in
 ``SPAN`` bytes are one string, whose smallest document id goes back to its cuts and from there to documents.
 
@@ -31,7 +32,7 @@ SPAN = 50
 GRAM = 20
 #: Starts of strings that can share one anchor.
 REACH = SPAN - GRAM + 1
-#: Bytes of cuts that a task sorts together, whole anchors at a time.
+#: Bytes of cuts that a task sorts together, whole anchors at a time; twice as many at most.
 SHARD_BYTES = 1_000_000
 LAST_ID = (1 << 63) - 1
 #: Bytes of texts whose anchors are searched at once: keeps the working set in a core's cache.
@@ -168,8 +169,49 @@ def _cuts(texts: DataFrame, shared: Broadcast) -> DataFrame:
     return texts.select("id", "key", "text").mapInArrow(cut, schema)
 
 
-def _owners(cuts: DataFrame) -> DataFrame:
-    """(anchor, name, from, to, owner): strings of a cut, by first and last start, and their smallest document id."""
+def _owners(cuts: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(anchor, name, from, to, owner): strings of a cut, by first and last start, and their smallest document id.
+
+    Anchors of more than ``shard_bytes`` are told by a bit filter; those that it lets through besides take the
+    other way to the same result.
+    """
+    given = cuts.where("cut is not null")
+    hot = given.groupBy("anchor").agg(F.sum(F.octet_length("cut").cast("long")).alias("size")).where(F.col("size") > shard_bytes)
+    hot = written(hot.select("anchor"), "hot-anchors")
+    if hot.isEmpty():
+        return _sorted_owners(given, shard_bytes)
+    large = may_be(hot, "anchor")("anchor")
+    return _sorted_owners(given.where(~large), shard_bytes).unionByName(_string_owners(given.where(large)))
+
+
+def _string_owners(given: DataFrame) -> DataFrame:
+    """``_owners`` without sorting: one row per string of a cut, grouped by its 128-bit digest."""
+
+    def spread(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(source, 300_000, "cut"):
+            row, offset, digest = [], [], []
+            for i, (place, cut) in enumerate(zip(batch.column("place").to_pylist(), batch.column("cut").to_pylist(), strict=True)):
+                for at in range(min(place, len(cut) - SPAN) + 1):
+                    row.append(i)
+                    offset.append(at)
+                    digest.append(xxhash.xxh3_128_digest(cut[at : at + SPAN]))
+            held = [batch.column(c).take(pa.array(row, pa.int64())) for c in ("anchor", "name", "least", "most")]
+            yield pa.RecordBatch.from_arrays(
+                [*held, pa.array(offset, pa.int32()), pa.array(digest, pa.binary())], names=["anchor", "name", "least", "most", "first", "digest"]
+            )
+
+    # Summed by task before each shuffle; a string that most cuts hold is a row per task.
+    distinct = given.groupBy("anchor", "name", "place", "cut").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    strings = written(distinct.mapInArrow(spread, "anchor long, name long, least long, most long, first int, digest binary"), "strings")
+    held = strings.groupBy("digest").agg(F.min("least").alias("owner"), F.max("most").alias("top"))
+    # Written, so that the join sits on two plain shuffles and a hot string's part can be split.
+    owner = written(held.where("owner < top").drop("top"), "string-owners")
+    found = strings.join(owner, "digest").where("most > owner")
+    return found.select("anchor", "name", "first", F.col("first").alias("last"), "owner")
+
+
+def _sorted_owners(given: DataFrame, shard_bytes: int) -> DataFrame:
+    """``_owners`` by sorting the suffixes of whole anchors; none has more than ``shard_bytes``."""
 
     def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         sizes = np.array([len(r[3]) for r in rows])
@@ -214,7 +256,7 @@ def _owners(cuts: DataFrame) -> DataFrame:
         size = 0
         for batch in source:
             for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "name", "place", "cut", "least", "most")), strict=True):
-                if size >= SHARD_BYTES and row[0] != held[-1][0]:
+                if size >= shard_bytes and row[0] != held[-1][0]:
                     yield from settle(held)
                     held, size = [], 0
                 held.append(row)
@@ -223,8 +265,7 @@ def _owners(cuts: DataFrame) -> DataFrame:
             yield from settle(held)
 
     # Tasks gave few rows of a cut each, so one shuffle serves the counting and the shards.
-    given = cuts.where("cut is not null").repartition("anchor")
-    distinct = given.groupBy("anchor", "name", "place", "cut").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    distinct = given.repartition("anchor").groupBy("anchor", "name", "place", "cut").agg(F.min("id").alias("least"), F.max("id").alias("most"))
     shards = distinct.sortWithinPartitions("anchor")
     return shards.mapInArrow(sort, "anchor long, name long, first int, last int, owner long")
 

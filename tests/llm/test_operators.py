@@ -238,6 +238,31 @@ def test_passages_equal_brute_force(run, corpus):
         assert r["n_spans"] == (lost & ~np.append(False, lost[:-1])).sum() if len(data) else r["n_spans"] == 0
 
 
+def test_anchor_of_many_surroundings_is_not_sorted_in_one_task(spark):
+    random = np.random.RandomState(5)
+    phrase = b"the same twenty bytes"
+    around = lambda n: bytes(random.randint(97, 123, n, np.uint8))
+    shared = around(40)
+    texts = [(i, (around(60) + b" " * 60 + phrase + around(60) + (shared + phrase + shared if i % 10 == 0 else b"")).decode()) for i in range(200)]
+    named = passages._named(spark.createDataFrame([*texts, (200, texts[7][1] + "x")], "doc_id long, text string"))
+    rows = passages._anchor_rows(named).groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("top")).where("low < top")
+    cuts = passages._cuts(named, passages.bit_filter(rows.select("anchor"), "anchor")).cache()
+
+    holders = cuts.select("anchor", "name", "key", "start", "id").collect()
+
+    def lost(owners):
+        by_cut = defaultdict(list)
+        for r in owners.collect():
+            by_cut[r["anchor"], r["name"]].append(r)
+        return {(h["key"], h["start"] + at) for h in holders for r in by_cut[h["anchor"], h["name"]] if h["id"] > r["owner"] for at in range(r["first"], r["last"] + 1)}
+
+    sizes = cuts.where("cut is not null").groupBy("anchor").agg(F.sum(F.octet_length("cut")).alias("n")).collect()
+    assert min(r["n"] for r in sizes) <= 2_000 < max(r["n"] for r in sizes)
+    whole = lost(passages._owners(cuts))
+    assert whole and lost(passages._owners(cuts, shard_bytes=2_000)) == whole
+    assert lost(passages._string_owners(cuts.where("cut is not null"))) == whole
+
+
 def test_induced_sorting():
     random = np.random.RandomState(3)
     for _ in range(60):
