@@ -14,7 +14,7 @@ between components is lost.
 Words are lower-cased for A-Z only and parted by ASCII white space; shingles are five words, a
 shorter document is one shingle, a document without words has none and stays alone. Null texts have
 no words. Repeated rows are copies. A null id takes part in links, and is ignored when a component's
-smallest id is chosen. Extra columns are not read. Empty tables give empty results.
+smallest id is chosen; of a component of null ids only, the text of the smallest digest is kept. Extra columns are not read. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -170,8 +170,8 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     classes = written(
         signatures.where("digest is not null")
         .groupBy("digest", F.col("n_shingles").alias("n"))
-        .agg(least.alias("first"))
-        .select("digest", "n", "first.doc_id", "first.text_key", F.monotonically_increasing_id().alias("cid")),
+        .agg(least.alias("first"), F.min("doc_id").alias("least_id"), F.min("text_key").alias("least_key"))
+        .select("digest", "n", "first.doc_id", "first.text_key", "least_id", "least_key", F.monotonically_increasing_id().alias("cid")),
         "classes",
     )
     one = signatures.select("digest", "text_key", F.col("doc_id").alias("id"), "bands").join(
@@ -247,13 +247,14 @@ def grouped(docs: DataFrame) -> DataFrame:
     signatures, classes, links = linked(docs)
     rooted = classes.join(connected(links).withColumnRenamed("node", "cid"), "cid", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "cid"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = rooted.join(least, "root").select("digest", "component_id")
+    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.min("least_key").alias("component_key"))
+    named = rooted.join(least, "root").select("digest", "component_id", "component_key")
     plain = signatures.select("doc_id", "text_key", "n_shingles", "digest")
     # Documents without words have no class: kept out of the join, where they would share one key.
-    alone = plain.where("digest is null").withColumn("component_id", F.col("doc_id"))
+    alone = plain.where("digest is null").withColumns({"component_id": F.col("doc_id"), "component_key": F.col("text_key")})
     rows = plain.where("digest is not null").join(named, "digest").unionByName(alone)
-    return rows.select("doc_id", "text_key", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("component_id").isNotNull() | (F.col("text_key") == F.col("component_key")))
+    return rows.select("doc_id", "text_key", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -186,6 +186,17 @@ def test_near_copies_without_a_common_hub(spark):
     assert found == root
 
 
+def test_near_duplicates_ignore_null_ids(spark):
+    text = lambda letter, last: " ".join([*(f"{letter}{i}" for i in range(80)), last])
+    rows = [(None, text("a", "x")), (5, text("a", "x")), (7, text("a", "x")), (9, text("a", "y")), (None, text("b", "x")), (None, text("b", "y"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [(r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates.grouped(docs).collect()]
+    assert sorted(r for r in found if r[0]) == [(5, 5, True), (7, 5, False), (9, 5, False)]
+    assert sorted(r[1:] for r in found if not r[0] and r[1]) == [(5, False)]
+    assert sorted(r[1:] for r in found if not r[1]) == [(None, False), (None, True)]
+    assert [r["doc_id"] for r in near_duplicates.one_of_each(docs).orderBy("doc_id").collect()] == [None, 5]
+
+
 def test_large_star_small_star(spark):
     links = spark.createDataFrame([(9, 8), (8, 7), (7, 6), (6, 5), (1, 2), (2, 1), (3, 3)], "a long, b long")
     assert {tuple(r) for r in components.connected(links).collect()} == {(9, 5), (8, 5), (7, 5), (6, 5), (5, 5), (1, 1), (2, 1)}
