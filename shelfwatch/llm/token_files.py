@@ -107,7 +107,7 @@ def scan(spark: SparkSession, folder: str, end_id: int = END_ID, block: int = BL
     )
     # Ends as file offsets; the last block also closes what no end closes, if anything is left.
     places = F.transform("ends", lambda e: e + F.col("first"))
-    after = F.coalesce(F.element_at(places, -1) + 1, F.col("opened"))
+    after = F.coalesce(F.try_element_at(places, F.lit(-1)) + 1, F.col("opened"))
     openings = F.concat(F.array("opened"), F.transform(places, lambda e: e + 1))
     docs = F.zip_with(places, F.slice(openings, F.lit(1), F.size(places)), lambda e, o: F.struct(o.alias("start"), e.alias("stop"), F.lit(True).alias("closed")))
     rest = F.when(
