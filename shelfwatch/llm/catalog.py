@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwatch.llm import language_model, mixing, near_duplicates, nearest, packing, passages, quality, secrets, templates, token_files
+from shelfwatch.llm import language_model, mixing, near_duplicates, nearest, packing, passages, quality, secrets, templates, token_files, whitening
 from shelfwatch.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,8 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query
+def op12_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
