@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwatch.llm import alignment, language_model, mixing, near_duplicates, nearest, packing, passages, quality, secrets, templates, token_files, whitening
+from shelfwatch.llm import alignment, language_model, mixing, near_duplicates, nearest, packing, passages, quality, repeats, secrets, templates, token_files, whitening
 from shelfwatch.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,8 @@ def op12_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_aligned_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.links(documents(spark, sf_dir))
+
+
+@query
+def op13_repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.deduplicated(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
