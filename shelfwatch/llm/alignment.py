@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +61,7 @@ def byte_side(path: str) -> tuple[list[bytes], Callable[[str], np.ndarray]]:
     tokenizer.encode_special_tokens = True
     pieces = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
     table = [bytes(alphabet[c] for c in p) if all(c in alphabet for c in p) else p.encode() for p in pieces]
-    return table, lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
+    return table, lambda text: np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
 
 
 def piece_side(path: str) -> tuple[list[bytes], Callable[[str], np.ndarray]]:
@@ -75,43 +76,44 @@ def piece_side(path: str) -> tuple[list[bytes], Callable[[str], np.ndarray]]:
 
 
 class Side:
-    """Ids of whole texts in one vocabulary, segment by segment, with a memo of segments."""
+    """Ids of segments in one vocabulary: all met so far in one pool, each by its place in it."""
 
     def __init__(self, table: list[bytes], encode: Callable[[str], np.ndarray]) -> None:
         self.table, self.encode = table, encode
         self.sizes = np.array([len(t) for t in table], np.int64)
-        #: Little-endian ids of each segment; None where they do not give back its bytes.
-        self.memo: dict[str, bytes | None] = {}
-
-    def _learn(self, segments: list[str]) -> None:
-        for at in range(0, len(segments), 2_000):
-            part = segments[at : at + 2_000]
-            whole = "".join(part)
-            ids = self.encode(whole)
-            ends = np.cumsum(self.sizes[ids])
-            stops = np.cumsum([len(s.encode()) for s in part])
-            cuts = np.searchsorted(ends, stops)
-            joined = b"".join(map(self.table.__getitem__, ids.tolist()))
-            if joined == whole.encode() and cuts[-1] < len(ends) and (ends[cuts] == stops).all():
-                data, starts = ids.astype("<u4").tobytes(), [0, *(4 * cuts[:-1] + 4).tolist()]
-                for s, i, j in zip(part, starts, (4 * cuts + 4).tolist(), strict=True):
-                    self.memo[s] = data[i:j]
-            else:  # some segment's bytes are changed: each on its own
-                for s in part:
-                    ids = self.encode(s)
-                    same = b"".join(map(self.table.__getitem__, ids.tolist())) == s.encode()
-                    self.memo[s] = ids.astype("<u4").tobytes() if same else None
-
-    def __call__(self, texts: list[list[str]]) -> list[bytes | None]:
-        """Ids of each text given as its segments; None where they do not give back its bytes."""
-        if len(self.memo) > MEMO_SEGMENTS:
-            self.memo = {}
-        memo = self.memo
-        new = {s for segments in texts for s in segments if s not in memo}
-        if new:
-            self._learn(list(new))
-        found = [list(map(memo.__getitem__, segments)) for segments in texts]
-        return [None if None in ids else b"".join(ids) for ids in found]
+        self.forget()
+
+    def forget(self) -> None:
+        self.pool, self.used = np.zeros(1 << 16, np.int32), 0
+        #: Per segment: first place in the pool and number of ids, none where they do not give back its bytes.
+        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _keep(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate((self.pool[: self.used], np.zeros(self.used + 2 * len(ids), np.int32)))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.first = np.concatenate((self.first, self.used + np.cumsum(counts) - counts))
+        self.count = np.concatenate((self.count, counts))
+        self.used += len(ids)
+
+    def learn(self, segments: list[str], sizes: np.ndarray) -> None:
+        """Add segments, none of them empty, of ``sizes`` bytes: many are encoded at once."""
+        whole, stops = "".join(segments), np.cumsum(sizes)
+        ids = self.encode(whole)
+        ends = np.cumsum(self.sizes[ids])
+        cuts = np.searchsorted(ends, stops)
+        joined = b"".join(map(self.table.__getitem__, ids.tolist()))
+        if joined == whole.encode() and (ends[cuts] == stops).all():
+            self._keep(ids, np.diff(cuts, prepend=-1))
+            return
+        for s in segments:  # some segment's bytes are changed: each on its own
+            ids = self.encode(s)
+            same = b"".join(map(self.table.__getitem__, ids.tolist())) == s.encode()
+            self._keep(ids if same else ids[:0], np.array([len(ids) if same else 0]))
+
+    def ids(self, places: np.ndarray) -> np.ndarray:
+        """Ids of segments in turn."""
+        return self.pool[_ragged(self.first[places], self.count[places])].astype(np.int64)
 
 
 def divided(a_ends: np.ndarray, b_ends: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,20 +127,21 @@ def divided(a_ends: np.ndarray, b_ends: np.ndarray, starts: np.ndarray) -> tuple
     low, high = low[high - low > 1], high[high - low > 1]
     while len(low):
         middle = (low + high - 2) // 2
-        cut = np.full(len(low), -1, np.int64)
-        open_, inner, outer = np.arange(len(low)), -1, 0
+        ends = a_ends[middle]
+        cut = np.where(b_ends[np.searchsorted(b_ends, ends)] == ends, middle, -1)
+        open_, inner, outer = np.flatnonzero((cut < 0) & (high - low > 2)), 0, 1
         while len(open_):
             # The ring of ends more than `inner` and at most `outer` away from the middle.
             lo, hi, mid = low[open_], high[open_] - 2, middle[open_]
-            left = np.maximum(mid - outer, lo), np.minimum(mid - inner - 1, hi)
-            right = np.maximum(mid + inner + 1 + (inner < 0), lo), np.minimum(mid + outer, hi)
+            left = np.maximum(mid - outer, lo), mid - inner - 1
+            right = mid + inner + 1, np.minimum(mid + outer, hi)
             firsts = np.concatenate((left[0], right[0]))
             counts = np.maximum(0, np.concatenate((left[1], right[1])) - firsts + 1)
             total = np.cumsum(counts)
             owner = np.repeat(np.arange(len(counts)), counts)
             tried = np.arange(len(owner)) - np.repeat(total - counts, counts) + firsts[owner]
             ends = a_ends[tried]
-            common = b_ends[np.minimum(np.searchsorted(b_ends, ends), len(b_ends) - 1)] == ends
+            common = b_ends[np.searchsorted(b_ends, ends)] == ends
             tried, owner = tried[common], owner[common] % len(open_)
             # Of the common ends the nearest wins, of two equally near ones the left.
             nearest = np.lexsort((tried, np.abs(tried - mid[owner]), owner))
@@ -150,7 +153,8 @@ def divided(a_ends: np.ndarray, b_ends: np.ndarray, starts: np.ndarray) -> tuple
         found = cut >= 0
         low, high, cut = low[found], high[found], cut[found]
         last_a.append(cut)
-        low, high = np.concatenate((low, cut + 1)), np.concatenate((cut + 1, high))
+        # Halves side by side: intervals stay in order, so neighbouring searches share memory.
+        low, high = np.stack((low, cut + 1), 1).ravel(), np.stack((cut + 1, high), 1).ravel()
         low, high = low[high - low > 1], high[high - low > 1]
     last_a = np.sort(np.concatenate(last_a))
     return last_a, np.searchsorted(b_ends, a_ends[last_a])
@@ -166,46 +170,63 @@ class Aligner:
 
     def __init__(self, a_path: str, b_path: str) -> None:
         self.a, self.b = Side(*byte_side(a_path)), Side(*piece_side(b_path))
-        digits = [str(i).encode() for i in range(max(len(self.a.table), len(self.b.table)))]
-        self.width = len(digits)
-        self.b_size = len(self.b.table)
-        #: Numbers followed by each separator: comma, bar, semicolon, nothing.
-        self.words = [d + s for s in (b",", b"|", b";", b"") for d in digits]
+        self.places: dict[str, int] = {}
+        self.width, self.b_size = max(len(self.a.table), len(self.b.table)), len(self.b.table)
+        #: Numbers followed by a comma, a bar or a semicolon, filled up with zero bytes.
+        self.words = np.array([f"{i}{mark}".encode() for mark in ",|;" for i in range(self.width)])
+
+    def _places(self, segments: list[str]) -> np.ndarray:
+        """Places of segments; those not met before are learnt on both sides."""
+        if len(self.places) > MEMO_SEGMENTS:
+            self.places = {}
+            self.a.forget()
+            self.b.forget()
+        found = list(map(self.places.get, segments))
+        if None in found:
+            new = list({s for s, at in zip(segments, found, strict=True) if at is None})
+            self.places.update(zip(new, range(len(self.places), len(self.places) + len(new)), strict=True))
+            for at in range(0, len(new), 2_000):
+                part = new[at : at + 2_000]
+                sizes = np.array([len(s.encode()) for s in part])
+                self.a.learn(part, sizes)
+                self.b.learn(part, sizes)
+            found = list(map(self.places.__getitem__, segments))
+        return np.array(found, np.int64)
 
     def __call__(self, texts: list[str]) -> list[tuple]:
         """(n_a, n_b, n_groups, n_links, digest, pairs, times) of each text; pairs as ``a * b_size + b``."""
-        segments = [_CUT.split(" " + t) if t else [] for t in texts]
-        segments = [[s for s in own if s] for own in segments]
-        of_a, of_b = self.a(segments), self.b(segments)
-        good = [i for i, (x, y) in enumerate(zip(of_a, of_b, strict=True)) if x and y]
         out: list[tuple] = [(0, 0, 0, 0, "", b"", b"")] * len(texts)
-        if not good:
+        segments = [list(filter(None, _CUT.split(" " + t))) if t else [] for t in texts]
+        places = self._places(list(chain.from_iterable(segments)))
+        owner = np.repeat(np.arange(len(texts)), [len(own) for own in segments])
+        changed = np.zeros(len(texts), bool)
+        changed[owner[(self.a.count[places] == 0) | (self.b.count[places] == 0)]] = True
+        places, owner = places[~changed[owner]], owner[~changed[owner]]
+        good, owner = np.unique(owner, return_inverse=True)
+        if not len(good):
             return out
-        a = np.frombuffer(b"".join(of_a[i] for i in good), "<u4").astype(np.int64)
-        b = np.frombuffer(b"".join(of_b[i] for i in good), "<u4").astype(np.int64)
-        a_counts = np.array([len(of_a[i]) // 4 for i in good])
-        b_counts = np.array([len(of_b[i]) // 4 for i in good])
-        a_starts, b_starts = np.cumsum(a_counts) - a_counts, np.cumsum(b_counts) - b_counts
+        a, b = self.a.ids(places), self.b.ids(places)
+        a_counts, b_counts = (np.bincount(owner, weights=side.count[places]).astype(np.int64) for side in (self.a, self.b))
+        a_starts = np.cumsum(a_counts) - a_counts
         last_a, last_b = divided(np.cumsum(self.a.sizes[a]), np.cumsum(self.b.sizes[b]), a_starts)
         first_a, first_b = np.append(0, last_a[:-1] + 1), np.append(0, last_b[:-1] + 1)
         n_a, n_b = last_a - first_a + 1, last_b - first_b + 1
         text = np.searchsorted(a_starts, first_a, side="right") - 1
         groups = np.bincount(text, minlength=len(good))
         links = np.bincount(text, weights=(n_a * n_b).astype(float), minlength=len(good)).astype(np.int64)
-        spelled = self._spelled(a, b, first_a, first_b, n_a, n_b)
+        spelled = self._spelled(a, b, n_a, n_b)
         text_words = np.append(0, np.cumsum(a_counts + b_counts))
         keys, times = self._pairs(a, b, first_a, first_b, n_a, n_b, text)
         bounds = np.searchsorted(keys >> 32, np.arange(len(good) + 1))
         pairs, times = (keys & 0xFFFFFFFF).astype("<u4"), times.astype("<u4")
-        for k, i in enumerate(good):
+        for k, i in enumerate(good.tolist()):
             own = slice(bounds[k], bounds[k + 1])
-            line = b"".join(spelled[text_words[k] : text_words[k + 1]])
-            # The last number of a text is followed by nothing.
-            digest = hashlib.sha256(line[:-1]).hexdigest()
+            line = spelled[text_words[k] : text_words[k + 1]].tobytes().translate(None, b"\0")
+            digest = hashlib.sha256(line[:-1]).hexdigest()  # nothing follows the last number of a text
             out[i] = (int(a_counts[k]), int(b_counts[k]), int(groups[k]), int(links[k]), digest, pairs[own].tobytes(), times[own].tobytes())
         return out
 
-    def _spelled(self, a, b, first_a, first_b, n_a, n_b) -> list[bytes]:
+    def _spelled(self, a, b, n_a, n_b) -> np.ndarray:
         """Every number with its separator, group by group: A's, then B's."""
         before = np.cumsum(n_a + n_b) - n_a - n_b
         order = np.empty(len(a) + len(b), np.int64)
@@ -213,7 +234,7 @@ class Aligner:
         order[_ragged(before + n_a, n_b)] = b
         order[before + n_a - 1] += self.width
         order[before + n_a + n_b - 1] += 2 * self.width
-        return list(map(self.words.__getitem__, order.tolist()))
+        return self.words[order]
 
     def _pairs(self, a, b, first_a, first_b, n_a, n_b, text) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct ``text << 32 | pair`` and how often each is linked."""
