@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 from functools import cached_property
@@ -37,6 +38,8 @@ WINDOW = (date(1996, 1, 1), date(1998, 12, 31))
 UNIQUE_BEFORE = date(2001, 1, 1)
 ONE_DAY = date(1997, 5, 28)
 OUTLIER_LIMIT = 1000.0
+#: Bytes of stored orders for each bucket of the facts; a month's file of a bucket has a small part of them.
+BUCKET_BYTES = 2 << 30
 
 
 class Tables:
@@ -193,24 +196,32 @@ def fct_orders_full_refresh(t: Tables) -> DataFrame:
     return history.full_refresh(t.warehouse().int_order_revenue, t.versions())
 
 
+def _merged(t: Tables, versions: DataFrame, repair: bool) -> DataFrame:
+    """Facts built without exclusion and stored by month, then the recent orders merged into their months."""
+    tag = uuid.uuid4().hex
+    state = storage.table_state(t.spark, t.folder, "orders")
+    buckets = 1 + (state[1] if state else 0) // BUCKET_BYTES
+    store = history.FactStore(t.spark, f"facts_{tag}", scratch_path(t.spark, "facts"), buckets)
+    store.create(t.warehouse(WITHOUT_EXCLUSION).fct_orders)
+    try:
+        history.stored_merge(
+            store, t.warehouse().int_order_revenue, versions, SETTINGS.recent_start, f"recent_{tag}", repair
+        )
+    finally:
+        merged = store.forget(f"recent_{tag}")
+    return merged
+
+
 @query
 def fct_orders_incremental_merge(t: Tables) -> DataFrame:
     """Recent orders, one version each, merged into facts built without exclusion."""
-    previous = t.warehouse(WITHOUT_EXCLUSION).fct_orders
-    return history.incremental_merge(
-        previous, t.warehouse().int_order_revenue, t.versions(), SETTINGS.recent_start,
-        repair=True, hot=t.hot_orders,
-    )
+    return _merged(t, t.versions(), repair=True)
 
 
 @query
 def fct_orders_incremental_guarded(t: Tables) -> DataFrame:
     """The same merge on closed versions, which the duplicate guard lets pass."""
-    previous = t.warehouse(WITHOUT_EXCLUSION).fct_orders
-    closed = history.close_versions(t.versions())
-    return history.incremental_merge(
-        previous, t.warehouse().int_order_revenue, closed, SETTINGS.recent_start, hot=t.hot_orders
-    )
+    return _merged(t, history.close_versions(t.versions()), repair=False)
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from datetime import date
 from typing import Any
@@ -238,6 +239,107 @@ def merge_snapshot(
     return write_facts(merged, new_path)
 
 
+class FactStore:
+    """Order facts as a catalog table: a folder per month, in it files bucketed by order.
+
+    A merge reads the stored source and the months it touches, joins them bucket by bucket without a
+    shuffle, and replaces the files of those months only. Doing it again, after a lost driver too, gives the same facts.
+    """
+
+    COLUMNS = (*FACT_COLUMNS, "order_month")
+
+    def __init__(self, spark: SparkSession, table: str, path: str, buckets: int | None = None) -> None:
+        self.spark, self.table, self.path = spark, table, path
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _by_month(self, facts: DataFrame) -> DataFrame:
+        return facts.select(*FACT_COLUMNS, F.trunc("order_date", "MM").alias("order_month"))
+
+    def create(self, facts: DataFrame) -> FactStore:
+        rows = self._by_month(facts).repartition(self.buckets, "order_id")
+        writer = rows.write.partitionBy("order_month").bucketBy(self.buckets, "order_id").option("path", self.path)
+        writer.saveAsTable(self.table)
+        return self
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.table)
+
+    def forget(self, *staged: str) -> DataFrame:
+        """Drop the names from the catalog, keep the files, and return the facts as a plain scan."""
+        for name in (self.table, *staged):
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        return read_facts(self.spark, self.path).select(*FACT_COLUMNS)
+
+    def stage(self, source: DataFrame, table: str) -> DataFrame:
+        """Store the rows to merge, bucketed as the facts are: whatever they are made from is read once."""
+        rows = self._by_month(source).repartition(self.buckets, "order_id")
+        rows.write.bucketBy(self.buckets, "order_id").option("path", f"{self.path}.{table}").saveAsTable(table)
+        return self.spark.table(table)
+
+    def months(self, staged: DataFrame) -> DataFrame:
+        """(order_month, incoming, replaced, kept) per month: rows of the source, and of the facts with and without an order in it."""
+        keys = staged.select("order_id").distinct().withColumn("is_replaced", F.lit(True))
+        found = self.read().select("order_id", "order_month").join(keys, "order_id", "left")
+        is_replaced, zero = F.col("is_replaced").isNotNull(), F.lit(0).cast("long")
+        stored = found.groupBy("order_month").agg(zero.alias("incoming"), F.count_if(is_replaced).alias("replaced"), F.count_if(~is_replaced).alias("kept"))
+        new = staged.groupBy("order_month").agg(F.count(F.lit(1)).alias("incoming"), zero.alias("replaced"), zero.alias("kept"))
+        every = stored.unionByName(new).groupBy("order_month")
+        return every.agg(*[F.sum(c).alias(c) for c in ("incoming", "replaced", "kept")]).where("incoming > 0 or replaced > 0")
+
+    def merge(self, staged: DataFrame) -> list[date | None]:
+        """Replace the orders of ``staged`` in the facts; returns the months whose files changed."""
+        touched = {r["order_month"]: r for r in self.months(staged).collect()}  # a row per month of the calendar
+        if not touched:
+            return []
+        days = [m for m in touched if m is not None]
+        here = F.col("order_month").isin(days) if days else F.lit(False)
+        if None in touched:
+            here = here | F.col("order_month").isNull()
+        kept = self.read().where(here).join(staged.select("order_id"), "order_id", "left_anti")
+        rows = kept.select(*self.COLUMNS).unionByName(staged.select(*self.COLUMNS)).repartition(self.buckets, "order_id")
+        # Complete beside the facts before a month is replaced: facts cannot be read and overwritten at once.
+        pending = f"{self.table}_{uuid.uuid4().hex}"
+        rows.write.bucketBy(self.buckets, "order_id").option("path", f"{self.path}.{pending}").saveAsTable(pending)
+        ready = self.spark.table(pending).select(self.read().columns)
+        # A catalog table takes this from the session; without it, all other months would go.
+        setting = "spark.sql.sources.partitionOverwriteMode"
+        usual = self.spark.conf.get(setting)
+        self.spark.conf.set(setting, "dynamic")
+        try:
+            ready.write.mode("overwrite").insertInto(self.table)
+        finally:
+            self.spark.conf.set(setting, usual)
+        self.spark.sql(f"DROP TABLE {pending}")
+        # A month whose last order moved elsewhere brings no rows that could replace its folder.
+        for month, r in touched.items():
+            if not r["incoming"] and not r["kept"]:
+                name = "__HIVE_DEFAULT_PARTITION__" if month is None else month.isoformat()
+                folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/order_month={name}")
+                folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        self.spark.catalog.refreshTable(self.table)
+        return sorted(touched, key=str)
+
+
+def stored_merge(
+    store: FactStore,
+    revenue: DataFrame,
+    versions: DataFrame,
+    recent_start: date,
+    staging: str,
+    repair: bool = False,
+) -> list[date | None]:
+    """Guard, then merge the recent orders into stored facts; returns the months that changed.
+
+    The guard looks at the staged rows, so the revenue and the versions are read once.
+    """
+    staged = store.stage(incremental_source(revenue, versions, recent_start, repair), staging)
+    if not repair:
+        count = unique(staged, ["order_id"]).count()
+        if count > 0:
+            raise DuplicateMergeKeys(DUPLICATES_MESSAGE.format(count=count))
+    return store.merge(staged)
+
+
 def merge_into_table(spark: SparkSession, table: str, source: DataFrame, key: str = "order_id") -> None:
     """The same merge in place, for catalogs whose tables support MERGE."""
     target = spark.table(table)
