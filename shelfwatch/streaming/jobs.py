@@ -6,12 +6,14 @@ folder, and every job can be restarted from its own checkpoint.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming.listener import QueryProgressEvent
 
 from shelfwatch.session import scratch_path
 from shelfwatch.sources.tables import SCHEMAS
@@ -110,30 +112,59 @@ def read_batches(spark: SparkSession, root: str, schema: str) -> DataFrame:
 
 
 class DailyCounts:
-    """Daily volume as a table of counts, one folder per batch, that its reader adds up.
+    """Daily volume as a table of counts, one folder per batch, that its readers add up.
 
-    No state and no watermark: an event counts for its day however late it comes, and a
-    repeated batch replaces itself.
+    The table keeps the stream's watermark itself: before a batch it is the latest event of all
+    earlier batches minus ``delay``, so a restarted or repeated batch meets the same one. Days that end
+    before it are finished. Events of finished days are late; they are counted on rows of their own, so the total
+    is the same however events are cut into batches, and :meth:`late` tells what came after a day was reported.
+    A batch costs what it brings, and reads one row per day and batch.
     """
 
-    SCHEMA = "day date, event_count bigint, last_seen timestamp_ntz"
+    SCHEMA = "day date, is_late boolean, event_count bigint, last_seen timestamp_ntz"
 
-    def __init__(self, root: str) -> None:
-        self.root = root
+    def __init__(self, root: str, delay: str = LATE_EVENTS) -> None:
+        self.root, self.delay = root, delay
+
+    def _counts(self, spark: SparkSession) -> DataFrame:
+        return read_batches(spark, self.root, self.SCHEMA)
+
+    def watermark(self, spark: SparkSession, before_batch: int | None = None) -> DataFrame:
+        """One row: the time that events of the stream have passed, NULL before the first event."""
+        counts = self._counts(spark)
+        counts = counts if before_batch is None else counts.where(F.col("batch") < before_batch)
+        return counts.agg((F.max("last_seen") - F.expr(f"INTERVAL {self.delay}")).alias("watermark"))
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
         seen = utc_wall_clock(F.col("ts"))
-        counts = batch.groupBy(seen.cast("date").alias("day")).agg(
+        # Rows of a batch that runs again must not count as earlier ones, so its own folder is left out.
+        passed = self.watermark(batch.sparkSession, batch_id).first()["watermark"]
+        day = seen.cast("date")
+        is_late = F.coalesce(F.date_add(day, 1).cast("timestamp_ntz") <= F.lit(passed), F.lit(False)) if passed else F.lit(False)
+        counts = batch.groupBy(day.alias("day"), is_late.alias("is_late")).agg(
             F.count(F.lit(1)).alias("event_count"), F.max(seen).alias("last_seen")
         )
         counts.write.mode("overwrite").parquet(f"{self.root}/batch={batch_id}")
 
     def total(self, spark: SparkSession) -> DataFrame:
-        counts = read_batches(spark, self.root, self.SCHEMA)
-        return counts.groupBy("day").agg(
+        """Events and last event of every day seen so far, late ones included."""
+        return self._counts(spark).groupBy("day").agg(
             F.sum("event_count").alias("event_count"), F.max("last_seen").alias("last_seen")
         )
 
+    def finished(self, spark: SparkSession) -> DataFrame:
+        """Days that the watermark has passed, as first reported and with what came late."""
+        on_time, late = F.when(~F.col("is_late"), F.col("event_count")), F.when(F.col("is_late"), F.col("event_count"))
+        days = self._counts(spark).groupBy("day").agg(
+            F.coalesce(F.sum(on_time), F.lit(0)).alias("event_count"), F.coalesce(F.sum(late), F.lit(0)).alias("late_count")
+        )
+        over = F.date_add("day", 1).cast("timestamp_ntz") <= F.col("watermark")
+        return days.join(F.broadcast(self.watermark(spark)), over).select("day", "event_count", "late_count")
+
+    def late(self, spark: SparkSession) -> DataFrame:
+        """(day, batch, event_count, last_seen) of events that came after their day was finished."""
+        return self._counts(spark).where("is_late").select("day", "batch", "event_count", "last_seen")
+
 
 class KeyedUpserts:
     """Upsert micro-batches into a table of changes, one folder per batch.
@@ -186,9 +217,43 @@ class KeyedUpserts:
         return self.latest(stream.sparkSession)
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows that the reported batches of a query dropped as too late."""
-    return sum(state.numRowsDroppedByWatermark for batch in query.recentProgress for state in batch.stateOperators)
+class DroppedRows(StreamingQueryListener):
+    """Rows that one query dropped as too late, over all its batches; a query itself remembers the last hundred only."""
+
+    def __init__(self) -> None:
+        self.by_batch: dict[int, int] = {}
+        self.over = threading.Event()
+
+    def onQueryStarted(self, event: object) -> None:
+        pass
+
+    def onQueryIdle(self, event: object) -> None:
+        pass
+
+    def onQueryProgress(self, event: QueryProgressEvent) -> None:
+        batch = event.progress
+        # A batch that is reported twice counts once.
+        self.by_batch[batch.batchId] = sum(state.numRowsDroppedByWatermark for state in batch.stateOperators)
+
+    def onQueryTerminated(self, event: object) -> None:
+        self.over.set()
+
+
+def late_rows(spark: SparkSession, start: Callable[[], StreamingQuery], wait: float = 60.0) -> int:
+    """Run a query to its end and return how many rows it dropped as too late.
+
+    The listener hears of the end after all batches. No other query may run in the session meanwhile,
+    since a listener hears of all of them.
+    """
+    dropped = DroppedRows()
+    spark.streams.addListener(dropped)
+    try:
+        start().awaitTermination()
+        if not dropped.over.wait(wait):
+            raise TimeoutError("the end of the query was not reported")
+    finally:
+        spark.streams.removeListener(dropped)
+    return sum(dropped.by_batch.values())
 
 
 def run_dedup(spark: SparkSession, events: DataFrame) -> DataFrame:
@@ -198,9 +263,7 @@ def run_dedup(spark: SparkSession, events: DataFrame) -> DataFrame:
     """
     root = scratch_path(spark, "stream-dedup")
     stream = dedup_stream(events)
-    query = append_to_table(stream, f"{root}/rows", f"{root}/_checkpoint")
-    query.awaitTermination()
-    late = late_rows(query)
+    late = late_rows(spark, lambda: append_to_table(stream, f"{root}/rows", f"{root}/_checkpoint"))
     if late:
         raise ValueError(f"{late} events came more than {REPLAY_DELAY} late")
     found = spark.read.schema(stream.schema).parquet(f"{root}/rows")
@@ -209,11 +272,16 @@ def run_dedup(spark: SparkSession, events: DataFrame) -> DataFrame:
 
 def run_daily_volume(spark: SparkSession, events: DataFrame) -> DataFrame:
     """Daily volume of everything available now, late events included."""
-    root = scratch_path(spark, "stream-volume")
-    counts = DailyCounts(f"{root}/rows")
+    return count_days(spark, events).total(spark)
+
+
+def count_days(spark: SparkSession, events: DataFrame, delay: str = LATE_EVENTS, root: str | None = None) -> DailyCounts:
+    """Count everything available now; ``root`` names an earlier run to go on with."""
+    root = root or scratch_path(spark, "stream-volume")
+    counts = DailyCounts(f"{root}/rows", delay)
     writer = events.writeStream.foreachBatch(counts.merge).option("checkpointLocation", f"{root}/_checkpoint")
     writer.trigger(availableNow=True).start().awaitTermination()
-    return counts.total(spark)
+    return counts
 
 
 def run_upsert(spark: SparkSession, events: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -131,3 +133,43 @@ def test_folder_table_is_read(spark, tmp_path):
     spark.createDataFrame([event(1, 0), event(2, 5), event(2, 5)], SCHEMAS["events"]).repartition(2).write.parquet(str(table))
     found = jobs.run_dedup(spark, jobs.read_events(spark, str(tmp_path / "in")))
     assert rows(found.select("event_id")) == [(1,), (2,)]
+
+
+def test_late_events_are_counted_apart(spark, tmp_path):
+    """The third day finishes the first; what comes for it afterwards is late, in every order it is in the total."""
+    batches = [event(1, 1), event(2, 2)], [event(3, 24 * 4)], [event(4, 3), event(5, 24 * 3)], [event(6, 5)], [event(7, 24 * 9)]
+    folder = folder_with(spark, tmp_path, *batches)
+    counts = jobs.count_days(spark, jobs.read_events(spark, folder, files_per_batch=1))
+    day = lambda n: f"2024-01-{n:02d}"
+    assert sorted((str(d), n) for d, n, _ in rows(counts.total(spark))) == [(day(1), 4), (day(4), 1), (day(5), 1), (day(10), 1)]
+    assert [(str(r["day"]), r["event_count"]) for r in counts.late(spark).orderBy("batch").collect()] == [(day(1), 1), (day(1), 1)]
+    assert sorted((str(d), n, late) for d, n, late in rows(counts.finished(spark))) == [(day(1), 2, 2), (day(4), 1, 0), (day(5), 1, 0)]
+    at_once = jobs.count_days(spark, jobs.read_events(spark, folder))
+    assert rows(at_once.total(spark)) == rows(counts.total(spark)) and at_once.late(spark).count() == 0
+
+
+def test_a_repeated_batch_meets_the_same_watermark(spark, tmp_path):
+    counts = jobs.DailyCounts(str(tmp_path / "rows"))
+    batch = lambda *events: spark.createDataFrame(events, SCHEMAS["events"]).withColumn("ts", jobs.utc_instant(F.col("ts")))
+    counts.merge(batch(event(1, 0)), 0)
+    counts.merge(batch(event(2, 24 * 9), event(3, 1)), 1)
+    once = rows(counts.total(spark)), rows(counts.late(spark))
+    counts.merge(batch(event(2, 24 * 9), event(3, 1)), 1)
+    assert (rows(counts.total(spark)), rows(counts.late(spark))) == once and once[1] == []
+    counts.merge(batch(event(4, 2)), 2)
+    assert counts.late(spark).count() == 1
+    counts.merge(batch(), 3)
+    assert counts.total(spark).count() == 2
+
+
+def test_drops_of_early_batches_are_not_forgotten(spark, tmp_path):
+    """More batches than a query remembers, the late event in the third of them."""
+    batches = [[event(1, 24 * 90)], [event(2, 24 * 91)], [event(3, 0)], *[[event(4 + i, 24 * 91 + i % 20)] for i in range(108)]]
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for number, batch in enumerate(batches):
+        names = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+        columns = [pa.array([r[i] for r in batch], pa.timestamp("us") if i == 1 else None) for i in range(6)]
+        pq.write_table(pa.table(dict(zip(names, columns, strict=True))), folder / f"events-{number:03d}.parquet")
+    with pytest.raises(ValueError, match="1 events"):
+        jobs.run_dedup(spark, jobs.read_events(spark, str(folder), files_per_batch=1))
