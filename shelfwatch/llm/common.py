@@ -41,6 +41,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def free_names(df: DataFrame, count: int) -> list[str]:
+    """Names for helper columns that ``df`` does not have, whatever its columns are called."""
+    taken, found, number = {c.lower() for c in df.columns}, [], 0
+    while len(found) < count:
+        if (name := f"helper_{number}") not in taken:
+            found.append(name)
+        number += 1
+    return found
+
+
 def partitions_for(spark: SparkSession, rows: int, rows_each: int) -> int:
     """Partitions so that each gets about ``rows_each`` rows, at least the session's number."""
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))

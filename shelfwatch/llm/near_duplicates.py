@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.llm.common import WordHashes, batches, dense, may_be, maybe_in, text_bytes, written
+from shelfwatch.llm.common import WordHashes, batches, dense, free_names, may_be, maybe_in, text_bytes, written
 from shelfwatch.llm.components import connected
 
 SHINGLE = 5
@@ -208,7 +208,8 @@ def _prefix_pairs(texts: DataFrame, apart: DataFrame) -> DataFrame:
 
     In any fixed order of all shingles, similar sets share one among their first quarters. The order
     here is from rare to frequent, so groups that share long passages without being similar make no pairs.
-    Frequencies are counted in ``FREQUENCY_CELLS`` cells; a coarse count changes the order only.
+    A pair comes from the first shingle it shares: all others it shares lie behind that one in both sets, so where
+    too few are left there the row is no candidate. Frequencies are counted in ``FREQUENCY_CELLS`` cells; a coarse count changes the order only.
     """
     held = written(maybe_in(texts, "cid", apart.select("cid")).join(apart, "cid"), "apart-texts")
 
@@ -234,12 +235,14 @@ def _prefix_pairs(texts: DataFrame, apart: DataFrame) -> DataFrame:
                 length = len(own) - -(-SIMILAR * len(own) // 100) + 1
                 first = own[np.lexsort((own, often))[:length]].view(np.int64)
                 columns = [np.full(length, x, np.int64) for x in (cid, root, len(own))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, first)], names=["cid", "root", "n", "shingle"])
+                left = len(own) - np.arange(length)  # this shingle and those behind it
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, left, first)], names=["cid", "root", "n", "left", "shingle"])
 
-    rows = written(held.mapInArrow(prefixes, "cid long, root long, n long, shingle long"), "prefixes")
-    other = rows.select("shingle", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
+    rows = written(held.mapInArrow(prefixes, "cid long, root long, n long, left long, shingle long"), "prefixes")
+    other = rows.select("shingle", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("left").alias("rest"))
     pairs = rows.withColumnRenamed("cid", "a").join(other, "shingle")
-    return pairs.where((F.col("a") < F.col("b")) & (F.col("root") != F.col("other")) & _alike("n", "m")).select("a", "b").distinct()
+    enough = (100 + SIMILAR) * F.least("left", "rest") >= SIMILAR * (F.col("n") + F.col("m"))
+    return pairs.where((F.col("a") < F.col("b")) & (F.col("root") != F.col("other")) & _alike("n", "m") & enough).select("a", "b").distinct()
 
 
 def grouped(docs: DataFrame) -> DataFrame:
@@ -264,9 +267,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     # Only rows that may be dropped or repeated meet their decision; all others pass where they are.
     touched = decided.where("not kept or rows > 1").select(hashed(F.col("doc_id"), F.col("text_key")).alias("k"))
     maybe = may_be(touched, "k")
-    keyed = docs.withColumn("__key", text_key()).withColumn("__k", hashed(F.col("doc_id"), F.col("__key")))
-    marked = keyed.withColumn("__maybe", maybe("__k"))
-    kept = decided.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text_key"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text_key"))
-    once = marked.where("__maybe").join(kept, same).dropDuplicates(["__id", "__text_key"])
-    return marked.where("not __maybe").select(*docs.columns).unionByName(once.select(*docs.columns))
+    # Names that no column of the input has, in either case of letters.
+    key, hash_, may, id_, same_key = free_names(docs, 5)
+    keyed = docs.withColumn(key, text_key()).withColumn(hash_, hashed(F.col("doc_id"), F.col(key)))
+    marked = keyed.withColumn(may, maybe(hash_))
+    kept = decided.where("kept").select(F.col("doc_id").alias(id_), F.col("text_key").alias(same_key))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(same_key))
+    once = marked.where(F.col(may)).join(kept, same).dropDuplicates([id_, same_key])
+    return marked.where(~F.col(may)).select(*docs.columns).unionByName(once.select(*docs.columns))

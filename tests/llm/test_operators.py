@@ -197,6 +197,29 @@ def test_near_duplicates_ignore_null_ids(spark):
     assert [r["doc_id"] for r in near_duplicates.one_of_each(docs).orderBy("doc_id").collect()] == [None, 5]
 
 
+def test_prefix_pairs_miss_no_similar_pair_and_few_are_made(spark):
+    """A family whose members share over half of their text: similar pairs all come up, hardly any other does."""
+    random = np.random.RandomState(8)
+    core = [f"c{i}" for i in range(120)]
+    texts = [" ".join([*core, *(f"t{n}x{i}" for i in range(random.randint(10, 90)))]) for n in range(60)]
+    texts += [t + " one more word" for t in texts[:5]]
+    held = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "cid long, text binary")
+    apart = spark.createDataFrame([(i, i) for i in range(len(texts))], "cid long, root long")
+    found = {tuple(r) for r in near_duplicates._prefix_pairs(held, apart).collect()}
+    sets = [set(near_duplicates.shingles(t.encode()).tolist()) for t in texts]
+    alike = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert alike and alike <= found
+    assert len(found) < 0.5 * len(texts) * (len(texts) - 1) / 2
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f", "keep", 7), (2, "a b c d e f", "other", 8), (3, "x y z", None, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __key string, HELPER_0 int")
+    found = near_duplicates.one_of_each(docs)
+    assert found.columns == docs.columns
+    assert sorted(tuple(r) for r in found.collect()) == [rows[0], rows[2]]
+
+
 def test_large_star_small_star(spark):
     links = spark.createDataFrame([(9, 8), (8, 7), (7, 6), (6, 5), (1, 2), (2, 1), (3, 3)], "a long, b long")
     assert {tuple(r) for r in components.connected(links).collect()} == {(9, 5), (8, 5), (7, 5), (6, 5), (5, 5), (1, 1), (2, 1)}
