@@ -600,6 +600,9 @@ BODIES = {
     "lineage_unknown_ids": "select 'node.' || (c_custkey + 1000000000) as unique_id from customer where c_custkey % 10 = 0",
     "dedup_events": "select distinct * from events",
     "stream_dedup": "select distinct * from events",
+    "stream_finished_days": """select cast(ts as date) as day, count(*) as event_count, cast(0 as bigint) as late_count
+        from events group by cast(ts as date)
+        having cast(cast(ts as date) + interval 1 day as timestamp) <= (select max(ts) from events) - interval 2 days""",
     "stream_daily_volume": """select cast(ts as date) as day, count(*) as event_count, max(ts) as last_seen
         from events group by 1""",
     "stream_upsert": """select * exclude (pick) from (

@@ -804,6 +804,12 @@ def stream_daily_volume(t: Tables) -> DataFrame:
     return jobs.run_daily_volume(t.spark, _event_stream(t))
 
 
+@query
+def stream_finished_days(t: Tables) -> DataFrame:
+    """Days that the stream's watermark has passed, with the events that came in time and late."""
+    return jobs.count_days(t.spark, _event_stream(t)).finished(t.spark)
+
+
 @query
 def stream_upsert(t: Tables) -> DataFrame:
     return jobs.run_upsert(t.spark, _event_stream(t))
