@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from datetime import date
 from typing import Any
 
@@ -113,3 +114,129 @@ def suite(tests: Mapping[str, DataFrame]) -> DataFrame:
         for name, violations in tests.items()
     ]
     return union_all(rows)
+
+
+@dataclass(frozen=True)
+class RowTest:
+    """Rows of ``table`` for which ``violated`` is true."""
+
+    name: str
+    table: str
+    violated: Column
+
+
+@dataclass(frozen=True)
+class KeyTest:
+    """Keys that occur more than once among the rows of ``table`` that ``where`` lets through."""
+
+    name: str
+    table: str
+    keys: tuple[str, ...]
+    where: Column | None = None
+
+
+@dataclass(frozen=True)
+class ReferenceTest:
+    """Rows of ``table`` whose key is NULL or missing in ``parent``.
+
+    With ``window``, a table of admitted values of the column ``through``, only rows that have one of these count.
+    """
+
+    name: str
+    table: str
+    key: str
+    parent: str
+    parent_key: str
+    through: str | None = None
+    window: str | None = None
+
+
+SuiteTest = RowTest | KeyTest | ReferenceTest
+
+
+def fused_suite(tables: Mapping[str, DataFrame], tests: Sequence[SuiteTest]) -> DataFrame:
+    """Name, number of violations and verdict of every test, with one pass for all tests that can share one.
+
+    All row tests of a table are counted in one aggregate; where the table has key tests too, the row counts ride
+    on the grouping of the first key. Reference tests with the same child and parent share one anti join, and all
+    windows look at its rows only, summed per value first. Both inputs of the anti join are plain shuffles, so
+    adaptive execution splits a hot key.
+    """
+    if len({test.name for test in tests}) < len(tests):
+        raise ValueError("two tests of a suite have one name")
+    passes: list[DataFrame] = []
+    for name in dict.fromkeys(test.table for test in tests):
+        mine = [test for test in tests if test.table == name]
+        row_tests = [test for test in mine if isinstance(test, RowTest)]
+        key_tests = [test for test in mine if isinstance(test, KeyTest)]
+        if key_tests:
+            passes += _key_passes(tables[name], row_tests, key_tests)
+        elif row_tests:
+            passes.append(_counts(tables[name], {t.name: F.count_if(t.violated) for t in row_tests}))
+        joins: dict[tuple, list[ReferenceTest]] = {}
+        for test in mine:
+            if isinstance(test, ReferenceTest):
+                joins.setdefault((test.key, test.parent, test.parent_key), []).append(test)
+        for group in joins.values():
+            passes += _reference_passes(tables, group)
+    return union_all(passes)
+
+
+def _counts(df: DataFrame, counts: Mapping[str, Column]) -> DataFrame:
+    """One verdict row per named aggregate, all from one aggregation of ``df``."""
+    numbered = {f"test_{i}": count for i, count in enumerate(counts.values())}
+    verdicts = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("test_name"),
+                F.coalesce(column, F.lit(0).cast("bigint")).alias("violations"),
+                (F.coalesce(column, F.lit(0)) == 0).alias("passed"),
+            )
+            for name, column in zip(counts, numbered, strict=True)
+        ]
+    )
+    return df.agg(*[count.alias(alias) for alias, count in numbered.items()]).select(F.inline(verdicts))
+
+
+def _key_passes(df: DataFrame, row_tests: Sequence[RowTest], key_tests: Sequence[KeyTest]) -> list[DataFrame]:
+    passes: list[DataFrame] = []
+    for keys in dict.fromkeys(test.keys for test in key_tests):
+        per_key: dict[str, Column] = {}
+        final: dict[str, Column] = {}
+        for test in key_tests:
+            if test.keys == keys:
+                alias = f"times_{len(per_key)}"
+                per_key[alias] = F.count(F.lit(1)) if test.where is None else F.count_if(test.where)
+                final[test.name] = F.count_if(F.col(alias) > 1)
+        for test in row_tests if not passes else ():
+            alias = f"rows_{len(per_key)}"
+            per_key[alias] = F.count_if(test.violated)
+            final[test.name] = F.sum(alias)
+        grouped = df.groupBy(*[F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)])
+        passes.append(_counts(grouped.agg(*[c.alias(a) for a, c in per_key.items()]), final))
+    return passes
+
+
+def _reference_passes(tables: Mapping[str, DataFrame], tests: Sequence[ReferenceTest]) -> list[DataFrame]:
+    first = tests[0]
+    child, parent = tables[first.table], tables[first.parent]
+    key_types_match(child, first.key, parent, first.parent_key)
+    throughs = list(dict.fromkeys(t.through for t in tests if t.window is not None))
+    lost = child.select(F.col(first.key).alias("key"), *[F.col(c).alias(f"via_{i}") for i, c in enumerate(throughs)])
+    lost = lost.join(parent.select(F.col(first.parent_key).alias("key")), "key", "left_anti")
+    passes = []
+    for i, through in enumerate(throughs or [None]):
+        final = {t.name: F.sum("lost") for t in tests if t.window is None and i == 0}
+        if through is None:
+            passes.append(_counts(lost, {name: F.count(F.lit(1)) for name in final}))
+            continue
+        rows = lost.groupBy(F.col(f"via_{i}").alias("via")).agg(F.count(F.lit(1)).alias("lost"))
+        windows = dict.fromkeys(t.window for t in tests if t.through == through and t.window is not None)
+        for j, window in enumerate(windows):
+            admitted = tables[window].select(F.col(through).alias("via")).distinct().withColumn(f"in_{j}", F.lit(True))
+            rows = rows.join(admitted, "via", "left")
+            for test in tests:
+                if test.through == through and test.window == window:
+                    final[test.name] = F.sum(F.when(F.col(f"in_{j}"), F.col("lost")))
+        passes.append(_counts(rows, final))
+    return passes

@@ -42,6 +42,11 @@ def duplicate_orders(orders: DataFrame) -> DataFrame:
     return _repeat(orders, F.col("order_id") % every == rest)
 
 
+def doubled(facts: DataFrame) -> DataFrame:
+    """A load that was delivered twice as a whole, read once."""
+    return _repeat(facts, F.lit(True))
+
+
 def bad_channels(orders: DataFrame) -> DataFrame:
     rest = F.col("order_id") % BAD_CHANNEL
     return orders.withColumn(
