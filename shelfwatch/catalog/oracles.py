@@ -636,5 +636,24 @@ BODIES["detection_scores"] = f"""select tp / (tp + fp) as precision, tp / (tp +
                   for name, body in _DETECTED.items())}))"""
 
 
+BODIES["cube_daily_profile"] = f"""select day, row_count, null_rate, revenue, least, most,
+            row_count - lag(row_count) over (order by day) as row_change
+        from (select cast(ts as date) as day, count(*) as row_count,
+                round(avg(case when user_id is null then 1.0 else 0.0 end)::double, 6) as null_rate,
+                {MONEY.format('value')} as revenue, min(value) as least, max(value) as most
+              from faulty_all group by 1)"""
+BODIES["cube_findings"] = " union all ".join(
+    f"select distinct '{name}' as detector, {day} as day from ({_FAULTY.sub('faulty_all', _DETECTED[name])})"
+    for name, day in {
+        "volume_drop": "day",
+        "null_rate_spike": "day",
+        "distribution_shift": "day",
+        "kpi_drop": "day",
+        "dimension_missing": "day",
+        "outliers": "cast(ts as date)",
+    }.items()
+)
+
+
 def oracles() -> dict[str, str]:
     return {name: sql(body) for name, body in BODIES.items()}

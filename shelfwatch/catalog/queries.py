@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from shelfwatch.config import Settings
 from shelfwatch.functions.skew import heavy_keys, union_all
 from shelfwatch.functions.text import file_in_message
-from shelfwatch.operators import anomalies, checks, history, lineage, profile, triage
+from shelfwatch.operators import anomalies, checks, cube, history, lineage, profile, triage
 from shelfwatch.plans import dashboard, models
 from shelfwatch.plans.dashboard import Filters
 from shelfwatch.plans.models import Warehouse
@@ -38,6 +38,8 @@ WINDOW = (date(1996, 1, 1), date(1998, 12, 31))
 UNIQUE_BEFORE = date(2001, 1, 1)
 ONE_DAY = date(1997, 5, 28)
 OUTLIER_LIMIT = 1000.0
+#: Last time of the first of two deliveries.
+SECOND_LOAD = "2024-01-16 12:00:00"
 #: Bytes of stored orders for each bucket of the facts; a month's file of a bucket has a small part of them.
 BUCKET_BYTES = 2 << 30
 
@@ -588,21 +590,70 @@ def anomaly_missing_status(t: Tables) -> DataFrame:
     )
 
 
+def _event_cells(events: DataFrame) -> DataFrame:
+    return cube.cells(events, "ts", "event_type", "user_id", "value", OUTLIER_LIMIT)
+
+
+def _stored_cube(t: Tables, name: str, **loads: DataFrame) -> cube.DailyCube:
+    held = cube.DailyCube(t.spark, scratch_path(t.spark, name))
+    for load, events in loads.items():
+        held.add(load, _event_cells(events))
+    return held
+
+
+def _cube_in_loads(t: Tables) -> cube.DailyCube:
+    """The faulty load in two deliveries that cut a day in two, as a cube that was added to."""
+    faulty = faults.all_event_faults(t.events)
+    first = F.col("ts") <= F.lit(SECOND_LOAD).cast("timestamp_ntz")
+    return _stored_cube(
+        t, "daily_cube", first=faulty.where(first), second=faulty.where(~first | F.col("ts").isNull())
+    )
+
+
+@query
+def cube_daily_profile(t: Tables) -> DataFrame:
+    """Every day's profile from the stored cube of two loads."""
+    return _cube_in_loads(t).profile()
+
+
+@query
+def cube_findings(t: Tables) -> DataFrame:
+    """Days that each detector reports, all read from one stored cube."""
+    held = _cube_in_loads(t)
+    found = {
+        "volume_drop": held.volume_drop(),
+        "null_rate_spike": held.null_rate_spike(),
+        "distribution_shift": held.distribution_shift(),
+        "kpi_drop": held.kpi_drop(),
+        "dimension_missing": held.dimension_missing(),
+        "outliers": held.outlier_days(),
+    }
+    return union_all(
+        [rows.select(F.lit(name).alias("detector"), "day").distinct() for name, rows in found.items()]
+    )
+
+
 @query
 def detection_scores(t: Tables) -> DataFrame:
-    """All detectors on one faulty load, freshness on the load that stopped; no row is left out."""
+    """All detectors on one faulty load, freshness on the load that stopped; no row is left out.
+
+    Six detectors read a stored daily cube of the faulty events and one a cube of the load that stopped.
+    """
     faulty = faults.all_event_faults(t.events)
+    held = _stored_cube(t, "faulty_cube", all=faulty)
+    stopped = _stored_cube(t, "stopped_cube", all=faults.load_stopped(t.events))
+    as_of = t.events.agg(F.max(F.col("ts").cast("date"))).scalar()
     findings = {
-        "volume_drop": anomalies.volume_drop(faulty),
-        "null_rate_spike": anomalies.null_rate_spike(faulty, "user_id"),
+        "volume_drop": held.volume_drop(),
+        "null_rate_spike": held.null_rate_spike(),
         "duplicates": anomalies.duplicates(faulty, "event_id"),
-        "distribution_shift": anomalies.distribution_shift(faulty, "event_type"),
-        "kpi_drop": anomalies.kpi_drop(anomalies.daily_revenue(faulty, "value")),
-        "dimension_missing": anomalies.dimension_missing(faulty, "event_type"),
-        "outliers": anomalies.outliers(faulty, "value", OUTLIER_LIMIT, ["event_id"]),
+        "distribution_shift": held.distribution_shift(),
+        "kpi_drop": held.kpi_drop(),
+        "dimension_missing": held.dimension_missing(),
+        "outliers": held.outlier_days(),
         "referential_integrity": anomaly_orphan_rate(t),
         "dbt_transformation_error": anomaly_missing_status(t),
-        "freshness_gap": anomaly_freshness_gap(t),
+        "freshness_gap": stopped.freshness_gap(as_of),
     }
     truth = t.spark.createDataFrame([(name,) for name in anomalies.ANOMALY_TYPES], "anomaly_type string")
     return anomalies.detection_scores(anomalies.detected_types(findings), truth)

@@ -38,7 +38,11 @@ def _day(ts: str) -> Column:
 
 def volume_drop(df: DataFrame, ts: str = "ts", days: int = 7, factor: float = 0.5) -> DataFrame:
     """Days with far fewer rows than the average of the preceding days."""
-    daily = df.groupBy(_day(ts)).agg(F.count(F.lit(1)).alias("row_count"))
+    return volume_drop_days(df.groupBy(_day(ts)).agg(F.count(F.lit(1)).alias("row_count")), days, factor)
+
+
+def volume_drop_days(daily: DataFrame, days: int = 7, factor: float = 0.5) -> DataFrame:
+    """The same from one row per day."""
     before = Window.orderBy("day").rowsBetween(-days, -1)
     return (
         daily.withColumn("rolling_avg", F.avg("row_count").over(before))
@@ -49,7 +53,11 @@ def volume_drop(df: DataFrame, ts: str = "ts", days: int = 7, factor: float = 0.
 
 def freshness_gap(df: DataFrame, as_of: Column, ts: str = "ts") -> DataFrame:
     """Days up to ``as_of`` without any row, with the last row seen overall."""
-    seen = df.groupBy(_day(ts)).agg(F.max(ts).alias("day_last"))
+    return freshness_gap_days(df.groupBy(_day(ts)).agg(F.max(ts).alias("day_last")), as_of)
+
+
+def freshness_gap_days(seen: DataFrame, as_of: Column) -> DataFrame:
+    """The same from one row per day with rows."""
     span = seen.agg(F.min("day").alias("first_day"), F.max("day_last").alias("last_seen"))
     calendar = span.select("last_seen", F.explode(F.sequence("first_day", as_of)).alias("day"))
     return calendar.join(seen.select("day"), "day", "left_anti").select(
@@ -81,7 +89,11 @@ def distribution_shift(
     counts = df.groupBy(_day(ts), F.col(dimension).alias("value")).agg(F.count(F.lit(1)).alias("row_count"))
     # The grand total is a column-free count of the table, so no window over
     # all (day, value) rows is needed.
-    total = df.agg(F.count(F.lit(1))).scalar()
+    return distribution_shift_days(counts, df.agg(F.count(F.lit(1))).scalar(), threshold)
+
+
+def distribution_shift_days(counts: DataFrame, total: Column, threshold: float = 0.2) -> DataFrame:
+    """The same from one row per (day, value)."""
     day_total = F.sum("row_count").over(Window.partitionBy("day"))
     value_total = F.sum("row_count").over(Window.partitionBy("value"))
     shares = counts.select(
@@ -112,7 +124,11 @@ def dimension_missing(df: DataFrame, dimension: str, ts: str = "ts") -> DataFram
     so the number of rows is values times calendar days.
     """
     seen = df.select(_day(ts), F.col(dimension).alias("value")).distinct()
-    last_day = df.agg(F.max(F.col(ts).cast("date"))).scalar()
+    return dimension_missing_days(seen, df.agg(F.max(F.col(ts).cast("date"))).scalar())
+
+
+def dimension_missing_days(seen: DataFrame, last_day: Column) -> DataFrame:
+    """The same from one row per (day, value)."""
     expected = (
         seen.where(F.col("value").isNotNull())
         .groupBy("value")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import date
-
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
