@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwatch.llm import alignment, language_model, mixing, near_duplicates, nearest, packing, passages, quality, repeats, secrets, templates, token_files, whitening
+from shelfwatch.llm import alignment, language_model, mixing, near_duplicates, nearest, oracles, packing, passages, quality, repeats, secrets, templates, token_files, whitening
 from shelfwatch.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_quality_rules": oracles.QUALITY, "op4_mix_sources": oracles.MIXING}
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -12,6 +12,9 @@ square root of the rate only: rates above ``RATE_PART`` are drawn as sums of equ
 A null source is a source of its own. A null id is hashed by its text. Repeated rows get equal
 numbers of copies, each. Empty texts have mass one. Extra columns pass through; columns called
 ``n_copies``, ``copy`` or ``shuffle_key`` are replaced. Empty tables give empty results.
+
+Drawn rows are written once, so neither join nor draw is repeated for the sample of the global sort, and their
+place in the written files is the last sort key: any number of equal rows spreads over many partitions.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfwatch.llm.common import free_names, written
+
 #: Largest mean that one inversion handles.
 RATE_PART = 64
 #: Sources up to this number are broadcast (under 3 kB each); more are joined by a shuffle.
@@ -84,22 +89,26 @@ def mixed(
 ) -> DataFrame:
     """Copies of ``docs`` in shuffled order, with ``n_copies``, ``copy`` (from 1) and ``shuffle_key``."""
     plain = docs.drop("n_copies", "copy", "shuffle_key")
+    source, parts, upto, key, place = free_names(plain, 5)
     per_source = rates(docs, weights, temperature).select(
-        F.col("source").alias("__source"), F.col("parts").alias("__parts"), F.col("upto").alias("__upto")
+        F.col("source").alias(source), F.col("parts").alias(parts), F.col("upto").alias(upto)
     )
-    if per_source.select("__source").limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+    if per_source.select(source).limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         per_source = F.broadcast(per_source)
-    key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
+    identity = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
     drawn = F.transform(
-        F.sequence(F.lit(1), F.col("__parts")),
-        lambda part: F.size(F.filter("__upto", lambda upto: upto < _uniform(F.lit("count"), part, F.col("__key")))),
+        F.sequence(F.lit(1), F.col(parts)),
+        lambda part: F.size(F.filter(upto, lambda share: share < _uniform(F.lit("count"), part, F.col(key)))),
     )
     counted = (
-        plain.withColumn("__key", key)
-        .join(per_source, F.col("source").eqNullSafe(F.col("__source")))
+        plain.withColumn(key, identity)
+        .join(per_source, F.col("source").eqNullSafe(F.col(source)))
         .withColumn("n_copies", F.aggregate(drawn, F.lit(0), lambda total, n: total + n).cast("long"))
         .where("n_copies > 0")
+        .drop(source, parts, upto)
     )
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n_copies")))
-    keyed = copies.withColumn("shuffle_key", _hashed(F.lit("order"), F.col("__key"), F.col("copy")))
-    return keyed.select(*plain.columns, "n_copies", "copy", "shuffle_key").orderBy("shuffle_key", "doc_id", "copy")
+    placed = written(counted, "drawn").withColumn(place, F.monotonically_increasing_id())
+    copies = placed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n_copies")))
+    keyed = copies.withColumn("shuffle_key", _hashed(F.lit("order"), F.col(key), F.col("copy")))
+    ordered = keyed.orderBy("shuffle_key", "doc_id", "copy", place)
+    return ordered.select(*plain.columns, "n_copies", "copy", "shuffle_key")

@@ -3,14 +3,17 @@
 Each document gets integer measures. Every measure is put on an integer grid, and the counts per
 (language, source, measure, grid cell) are a quantile sketch: cells are fixed, so sketches of any
 parts merge by adding counts, partial sums happen before the shuffle, and a group never holds more
-than ``CELLS + 1`` rows per measure, whatever share of the documents it has. Fences in the manner of
-Tukey replace fixed cutoffs: third quartile plus ``REACH`` interquartile ranges, and the mirror
-image below for the word length. A group of under ``LEAST_DOCS`` documents is judged by the merged sketch of its language, a
-small language by that of all documents.
+rows per measure than the grid has cells, whatever share of the documents it has. Cells are single values up to
+255 and 128 to each doubling above, so no value is too large for the grid.
+
+A limit is an upper quantile of the group plus ``reach`` times its distance from the median, mirrored below for
+the word length. Each quantile is drawn towards that of the language, and the language's towards that of all
+documents, with the weight of ``SHRINK`` documents, so that small groups follow their language by degrees. A
+``least`` distance from the median keeps groups without spread from rejecting documents that hardly differ.
 
 Null texts count as empty. Null languages and sources are groups of their own. Repeated rows are
-judged alike, each on its own. Extra columns are passed through; columns named like a measure are
-replaced. Empty tables give empty results.
+judged alike, each on its own. Extra columns are passed through; ``judged`` replaces columns named like a measure or
+verdict, ``kept_documents`` returns all columns as they came. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -19,24 +22,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from shelfwatch.llm.common import SPACE, let, written
+from shelfwatch.llm.common import SPACE, free_names, let, written
 
 #: Words of a window when repeats are looked for.
 WINDOW = 8
 #: Base rules.
 LEAST_WORDS, REPEATED_PERCENT = 20, 30
-#: Interquartile ranges between a quartile and its fence.
-REACH = 3
-#: Documents that a group needs for thresholds of its own.
-LEAST_DOCS = 100
-#: Largest grid cell; larger values share it.
-CELLS = 2000
-#: Measure -> (numerator, denominator, grid cells per unit, least spread in cells, two-sided).
+#: Documents with the language's quantiles that every group is mixed with.
+SHRINK = 200
+#: Measure -> (numerator, denominator, grid units, upper quantile in thousandths, reach, least distance, two-sided).
 RULES = {
-    "symbols": ("n_symbols", "word_chars", 1000, 20, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 1000, 120, False),
-    "repeats": ("n_repeat_words", "n_words", 1000, 80, False),
-    "word_length": ("word_chars", "n_words", 10, 10, True),
+    "symbols": ("n_symbols", "word_chars", 1000, 950, 1, 20, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, 995, 0, 100, False),
+    "repeats": ("n_repeat_words", "n_words", 1000, 995, 0, 80, False),
+    "word_length": ("word_chars", "n_words", 10, 950, 2, 10, True),
 }
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
@@ -83,19 +82,21 @@ def measured(docs: DataFrame) -> DataFrame:
     """``docs`` plus ``MEASURES`` as long columns. Windows are compared by 64-bit hashes."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(f"[^{SPACE}]"))
-    df = docs.drop(*MEASURES).withColumns({"__words": _words(text), "__lines": lines})
-    hashes = F.transform("__words", lambda w: F.xxhash64(w))
+    plain = docs.drop(*MEASURES)
+    word_list, line_list = free_names(plain, 2)
+    df = plain.withColumns({word_list: _words(text), line_list: lines})
+    hashes = F.transform(word_list, lambda w: F.xxhash64(w))
     for step in (1, 2, 4):
         hashes = _pairs(hashes, step)
     counts = {
-        "n_words": F.size("__words"),
-        "word_chars": F.char_length(F.array_join("__words", "")),
+        "n_words": F.size(word_list),
+        "word_chars": F.char_length(F.array_join(word_list, "")),
         "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")),
-        "n_lines": F.size("__lines"),
-        "n_dup_lines": F.size("__lines") - F.size(F.array_distinct("__lines")),
+        "n_lines": F.size(line_list),
+        "n_dup_lines": F.size(line_list) - F.size(F.array_distinct(line_list)),
         "n_repeat_words": let(hashes, _repeated),
     }
-    return df.withColumns({k: v.cast("long") for k, v in counts.items()}).drop("__words", "__lines")
+    return df.withColumns({k: v.cast("long") for k, v in counts.items()}).drop(word_list, line_list)
 
 
 def base_failed() -> Column:
@@ -104,15 +105,27 @@ def base_failed() -> Column:
     )
 
 
-def _cell(rule: str) -> Column:
-    top, bottom, scale, _, _ = RULES[rule]
-    value = F.expr(f"{top} * {scale} div greatest({bottom}, 1)")
-    return F.least(value, F.lit(CELLS)).cast("int")
+def _value(rule: str) -> Column:
+    """The measure in grid units, rounded down."""
+    top, bottom, scale, *_ = RULES[rule]
+    return F.expr(f"{top} * {scale} div greatest({bottom}, 1)")
+
+
+def _cell(value: Column) -> Column:
+    """Grid cell of a value: itself below 256, then 128 cells to each doubling."""
+    shift = F.greatest(F.length(F.bin(value)) - 8, F.lit(0))
+    return (shift * 128 + F.call_function("shiftright", value, shift)).cast("int")
+
+
+def _largest(cell: Column) -> Column:
+    """Largest value of a cell."""
+    shift = F.greatest(F.floor(cell / 128) - 1, F.lit(0)).cast("int")
+    return F.call_function("shiftleft", (cell - shift * 128 + 1).cast("long"), shift) - 1
 
 
 def sketches(measures: DataFrame) -> DataFrame:
     """Counts per (lang, source, rule, cell) over documents that pass the base rules."""
-    entries = F.array(*[F.struct(F.lit(r).alias("rule"), _cell(r).alias("cell")) for r in RULES])
+    entries = F.array(*[F.struct(F.lit(r).alias("rule"), _cell(_value(r)).alias("cell")) for r in RULES])
     return (
         measures.where(~base_failed())
         .select("lang", "source", F.inline(entries))
@@ -121,8 +134,8 @@ def sketches(measures: DataFrame) -> DataFrame:
     )
 
 
-def fences(sketch: DataFrame) -> DataFrame:
-    """One row per (lang, source): lower and upper fence of each rule, in grid cells."""
+def limits(sketch: DataFrame) -> DataFrame:
+    """One row per (lang, source, rule): ``low`` and ``high`` in grid units, and ``at_least`` where the least distance decided."""
     merged = sketch.rollup("rule", "cell", "lang", "source").agg(
         F.sum("docs").alias("docs"), F.grouping_id().alias("level")
     )
@@ -134,51 +147,62 @@ def fences(sketch: DataFrame) -> DataFrame:
             "upto": F.sum("docs").over(group.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)),
         }
     )
-    quartile = lambda n: F.min(F.when(4 * F.col("upto") >= n * F.col("total"), F.col("cell")))
-    spread = F.create_map(*[F.lit(x) for r, v in RULES.items() for x in (r, v[3])])
+    by_rule = lambda place: F.create_map(*[F.lit(x) for r, v in RULES.items() for x in (r, v[place])])[F.col("rule")]
+    quantile = lambda share: _largest(F.min(F.when(1000 * F.col("upto") >= share * F.col("total"), F.col("cell"))))
+    ranked = ranked.withColumn("share", by_rule(3))
     found = ranked.groupBy("level", "lang", "source", "rule").agg(
-        quartile(1).alias("q1"), quartile(3).alias("q3"), F.max("total").alias("total")
+        F.max("total").alias("n"),
+        F.struct(
+            quantile(1000 - F.col("share")).alias("low"), quantile(F.lit(500)).alias("mid"), quantile(F.col("share")).alias("high")
+        ).alias("q"),
     )
-    reach = REACH * F.greatest(F.col("q3") - F.col("q1"), spread[F.col("rule")])
-    bound = F.struct((F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"), "total")
-    wide = found.withColumn("bound", bound)
-    own = wide.where("level = 0").select("lang", "source", "rule", "bound")
-    of_lang = wide.where("level = 1").select(F.col("lang").alias("l"), F.col("rule").alias("lr"), F.col("bound").alias("lb"))
-    of_all = wide.where("level = 3").select(F.col("rule").alias("ar"), F.col("bound").alias("ab"))
-    enough = lambda c: F.col(c)["total"] >= LEAST_DOCS
-    chosen = (
-        own.join(of_lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("rule") == F.col("lr")))
-        .join(F.broadcast(of_all.limit(len(RULES))), F.col("rule") == F.col("ar"))  # one row per rule
-        .withColumn("bound", F.when(enough("bound"), F.col("bound")).when(enough("lb"), F.col("lb")).otherwise(F.col("ab")))
+    own = found.where("level = 0").select("lang", "source", "rule", "n", "q")
+    of_lang = found.where("level = 1").select(F.col("lang").alias("l"), F.col("rule").alias("lr"), F.col("n").alias("ln"), F.col("q").alias("lq"))
+    of_all = found.where("level = 3").select(F.col("rule").alias("ar"), F.col("q").alias("aq")).limit(len(RULES))  # one row per rule
+    joined = own.join(of_lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("rule") == F.col("lr"))).join(
+        F.broadcast(of_all), F.col("rule") == F.col("ar")
     )
-    return chosen.groupBy("lang", "source").agg(
-        *[F.max(F.when(F.col("rule") == r, F.col("bound"))).alias(r) for r in RULES]
+
+    def drawn(part: str) -> Column:
+        lang = F.col("ln") * F.col(f"lq.{part}") + SHRINK * F.col(f"aq.{part}")
+        lang = F.floor(lang / (F.col("ln") + SHRINK))
+        return F.floor((F.col("n") * F.col(f"q.{part}") + SHRINK * lang) / (F.col("n") + SHRINK))
+
+    reach, least = by_rule(4), by_rule(5)
+    smooth = joined.select("lang", "source", "rule", *[drawn(part).alias(part) for part in ("low", "mid", "high")])
+    above = F.col("high") + reach * (F.col("high") - F.col("mid")) - F.col("mid")
+    below = F.col("mid") - F.col("low") + reach * (F.col("mid") - F.col("low"))
+    return smooth.select(
+        "lang",
+        "source",
+        "rule",
+        (F.col("mid") - F.greatest(below, least)).alias("low"),
+        (F.col("mid") + F.greatest(above, least)).alias("high"),
+        (above <= least).alias("at_least"),
     )
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """``docs`` plus measures, ``base_failed`` and ``kept``.
 
-    The measures are written once, because thresholds and filter both need them. The joined
-    thresholds have one row per (language, source); adaptive execution splits a hot source.
+    The measures are written once, because limits and filter both need them. The joined
+    limits have one row per (language, source); adaptive execution splits a hot source.
     """
-    plain = docs.drop("base_failed", "kept", *[f"__{r}" for r in RULES])
-    columns = plain.columns
+    plain = docs.drop("base_failed", "kept", *MEASURES)
+    lang, source, *bounds = free_names(plain, 2 + len(RULES))
     measures = written(measured(plain), "quality")
-    limits = fences(sketches(measures)).select(
-        F.col("lang").alias("__l"), F.col("source").alias("__s"), *[F.col(r).alias(f"__{r}") for r in RULES]
+    per_group = limits(sketches(measures)).groupBy(F.col("lang").alias(lang), F.col("source").alias(source)).agg(
+        *[F.max(F.when(F.col("rule") == r, F.struct("low", "high"))).alias(b) for r, b in zip(RULES, bounds, strict=True)]
     )
     within = F.lit(True)
-    for rule, (*_, two_sided) in RULES.items():
-        low, high = F.col(f"__{rule}")["low"], F.col(f"__{rule}")["high"]
-        within = within & (_cell(rule) <= high) & ((_cell(rule) >= low) if two_sided else F.lit(True))
+    for (rule, (*_, two_sided)), bound in zip(RULES.items(), bounds, strict=True):
+        value = _value(rule)
+        within = within & (value <= F.col(bound)["high"]) & ((value >= F.col(bound)["low"]) if two_sided else F.lit(True))
     joined = measures.join(
-        limits,
-        F.col("lang").eqNullSafe(F.col("__l")) & F.col("source").eqNullSafe(F.col("__s")),
-        "left",
+        per_group, F.col("lang").eqNullSafe(F.col(lang)) & F.col("source").eqNullSafe(F.col(source)), "left"
     )
     return joined.select(
-        *[c for c in columns if c not in MEASURES],
+        *plain.columns,
         *MEASURES,
         base_failed().alias("base_failed"),
         (~base_failed() & F.coalesce(within, F.lit(True))).alias("kept"),
@@ -187,5 +211,7 @@ def judged(docs: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` that the rules keep, with their columns unchanged."""
-    good = judged(docs).where("kept")
-    return good.select(*docs.columns)
+    clashing = [c for c in docs.columns if c.lower() in (*MEASURES, "base_failed", "kept")]
+    aside = dict(zip(clashing, free_names(docs, len(clashing)), strict=True))
+    good = judged(docs.withColumnsRenamed(aside)).where("kept")
+    return good.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
