@@ -10,7 +10,8 @@ Patterns are case-sensitive but for the assignment keywords. Per kind, matches a
 not overlap; a match that fails its length or checksum is dropped after it has taken its place.
 Different kinds may overlap. Offsets are code points, the end is exclusive.
 
-Null texts count as empty: no spans. Texts of any length are searched whole. Every row is judged on
+Null texts count as empty: no spans. Texts of any length are searched whole, in time that grows with their length:
+a run of token characters is read once, however many of its places look like the start of a token. Every row is judged on
 its own, so repeated rows repeat. Extra columns are not read. Empty tables give empty results.
 """
 
@@ -54,9 +55,11 @@ PATTERNS = {
     "hex": re.compile(rb"[0-9a-f]+"),
     "github": re.compile(rb"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9_])"),
     "npm": re.compile(rb"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9_])"),
-    "jwt": re.compile(rb"(eyJ[A-Za-z0-9_-]+)\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    "jwt": re.compile(rb"(eyJ[A-Za-z0-9_-]++)\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]+"),
     "key_block": re.compile(rb"-----BEGIN ([A-Z ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----"),
 }
+#: What a web token's header runs through. Where one hit in a run finds no token, later hits in it find none either.
+TOKEN_RUN = re.compile(rb"[A-Za-z0-9_-]+")
 _BASE62 = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
@@ -135,10 +138,14 @@ class Scanner:
         # Latin-1 keeps one character per byte, so places are byte offsets. Hits come by their ends.
         hits = sorted((end + 1 - size, kind) for end, (kind, size) in self.keywords.iter(text.lower().decode("latin-1")))
         for start, kind in hits:
-            if start >= taken[kind] and (match := PATTERNS[kind].match(text, start)):
+            if start < taken[kind]:
+                continue
+            if match := PATTERNS[kind].match(text, start):
                 taken[kind] = match.end()
                 if VALID[kind](match):
                     spans.append((kind, start, match.end()))
+            elif kind == "jwt" and (run := TOKEN_RUN.match(text, start)):
+                taken[kind] = run.end()
         if spans and not text.isascii():
             # Offsets in code points: bytes that start one, counted up to each place.
             starts = np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)

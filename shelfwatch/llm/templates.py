@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.llm.common import batches, maybe_in, text_bytes, written
+from shelfwatch.llm.common import batches, free_names, maybe_in, text_bytes, written
 
 LEAST_TOKENS = 4
 LEADING = 3
@@ -151,16 +151,18 @@ def recurring(docs: DataFrame, texts: int = TEXTS, short_texts: int = SHORT_TEXT
     held = written(named.select("text_key", "doc_id", "line_no", F.inline(every_name)), "templates")
     first = held.groupBy("template").agg(F.min(F.struct("doc_id", "text_key"))["text_key"].alias("first_key"))
     texts_of = held.select("template", "need", "text_key").distinct().groupBy("template", "need").agg(F.count(F.lit(1)).alias("texts"))
-    again = texts_of.where("texts >= need").select("template").join(first, "template")
+    # Written, so that the join with all holders lies on plain shuffles and adaptive execution splits a hot template.
+    again = written(texts_of.where("texts >= need").select("template").join(first, "template"), "recurring")
     return held.join(again, "template").where("text_key <> first_key").select("text_key", "line_no").distinct()
 
 
 def without_recurring(docs: DataFrame, texts: int = TEXTS) -> DataFrame:
     """``docs`` with shortened ``text``, matching ``n_chars`` if there is such a column, ``n_lines`` and ``n_dropped``."""
     plain = docs.drop("n_lines", "n_dropped")
-    gone = recurring(docs, texts).groupBy("text_key").agg(F.collect_list("line_no").alias("__gone"))
-    gone = written(gone, "dropped-lines").withColumnRenamed("text_key", "__key")
-    marked = plain.withColumn("__key", _key()).join(gone, "__key", "left")
+    key, lost, rest_of = free_names(plain, 3)
+    gone = recurring(docs, texts).groupBy("text_key").agg(F.collect_list("line_no").alias(lost))
+    gone = written(gone, "dropped-lines").withColumnRenamed("text_key", key)
+    marked = plain.withColumn(key, _key()).join(gone, key, "left")
 
     @F.pandas_udf("string")
     def rest(source: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -170,11 +172,11 @@ def without_recurring(docs: DataFrame, texts: int = TEXTS) -> DataFrame:
     shape = marked.withColumns(
         {
             "n_lines": F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long"),
-            "n_dropped": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"),
+            "n_dropped": F.coalesce(F.size(lost), F.lit(0)).cast("long"),
             # Texts that lose nothing do not leave the JVM.
-            "__rest": rest(F.when(F.col("__gone").isNotNull(), F.col("text")), "__gone"),
+            rest_of: rest(F.when(F.col(lost).isNotNull(), F.col("text")), lost),
         }
-    ).withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.col("__rest")))
+    ).withColumn("text", F.when(F.col(lost).isNull(), F.col("text")).otherwise(F.col(rest_of)))
     if "n_chars" in plain.columns:
         length = F.char_length("text").cast(plain.schema["n_chars"].dataType)
         shape = shape.withColumn("n_chars", F.when(F.col("n_dropped") > 0, length).otherwise(F.col("n_chars")))
