@@ -2,7 +2,8 @@
 
 Vectors are dealt by a hash of their id into shards of about ``SHARD_ROWS``; each shard's graph is built by one
 task and written, vectors and flat neighbour arrays together. Every block of queries meets every
-shard, and the best of all shards are merged. A component that evens out all norms turns the
+shard, and the best of all shards are merged. How wide a shard is searched is measured there when it is built:
+for up to ``TRIAL`` of its rows the answers are held against brute force over the shard. A component that evens out all norms turns the
 largest inner product into the smallest distance. Every vector is indexed; nothing is fitted on a sample.
 
 Equal vectors form one class, of which one is indexed: a large group of copies costs one
@@ -31,7 +32,10 @@ from shelfwatch.llm.graph_index import GraphIndex
 COUNT = 20
 SHARD_ROWS = 8_192
 QUERY_ROWS = 2_048
-WIDTH = 192
+#: Widths of the search, the first of which reaches ``RECALL`` for ``TRIAL`` rows of a shard is used there.
+WIDTHS = (192, 288, 432, 648, 972, 1458, 2187)
+RECALL = 0.96
+TRIAL = 128
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -55,7 +59,21 @@ def _packed(rows: DataFrame, group: str) -> DataFrame:
     return rows.groupBy(group).applyInPandas(pack, f"{group} int, ids binary, vectors binary")
 
 
-def nearest(vectors: DataFrame, is_query: Column, count: int = COUNT, shard_rows: int = SHARD_ROWS, width: int = WIDTH) -> DataFrame:
+def fitting_width(graph: GraphIndex, points: np.ndarray, count: int) -> int:
+    """The least of ``WIDTHS`` whose answers for evenly chosen rows hold ``RECALL`` of the true ones, else all rows."""
+    trial = points[:: max(1, len(points) // TRIAL)][:TRIAL]
+    scores = trial @ points.T
+    least = np.sort(scores, axis=1)[:, -min(count, len(points))]
+    flat = np.column_stack((trial, np.zeros(len(trial)))).astype(np.float32)
+    for width in WIDTHS:
+        nodes = graph.search(flat, count, width)
+        reached = np.take_along_axis(scores, np.maximum(nodes, 0), axis=1) >= least[:, None]
+        if ((nodes >= 0) & reached).sum() >= RECALL * len(trial) * min(count, len(points)):
+            return width
+    return len(points)
+
+
+def nearest(vectors: DataFrame, is_query: Column, count: int = COUNT, shard_rows: int = SHARD_ROWS, width: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``count`` best candidates found, the query's own row left out."""
     rows = written(usable(vectors).withColumn("is_query", is_query).dropDuplicates(["vec_id", "v"]), "vectors")
     same = Window.partitionBy("v").orderBy("vec_id")
@@ -72,23 +90,25 @@ def nearest(vectors: DataFrame, is_query: Column, count: int = COUNT, shard_rows
             for shard, ids, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "ids", "vectors")), strict=True):
                 points = np.frombuffer(data, "<f8").reshape(len(ids) // 8, -1)
                 rest = np.sqrt(np.maximum(top - (points * points).sum(1), 0))
-                graph = GraphIndex.build(np.column_stack((points, rest)).astype(np.float32)).dump()
-                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((shard, pa.int32()), (ids, pa.binary()), (data, pa.binary()), (graph, pa.binary()))], names=["shard", "ids", "vectors", "graph"])
+                graph = GraphIndex.build(np.column_stack((points, rest)).astype(np.float32))
+                reach = width or fitting_width(graph, points, count)
+                made = ((shard, pa.int32()), (ids, pa.binary()), (data, pa.binary()), (graph.dump(), pa.binary()), (reach, pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in made], names=["shard", "ids", "vectors", "graph", "reach"])
 
     dealt = classes.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    graphs = written(_packed(dealt, "shard").mapInArrow(index, "shard int, ids binary, vectors binary, graph binary"), "graphs")
+    graphs = written(_packed(dealt, "shard").mapInArrow(index, "shard int, ids binary, vectors binary, graph binary, reach int"), "graphs")
     asked = queries.select("vec_id", "v").withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int"))
     asked = written(_packed(asked, "block").select("block", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries")), "queries")
 
     def search(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in ("ids", "vectors", "graph", "query_ids", "queries")}
+                row = {c: batch.column(c)[i].as_py() for c in ("ids", "vectors", "graph", "reach", "query_ids", "queries")}
                 ids, query_ids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["query_ids"], "<i8")
                 points = np.frombuffer(row["vectors"], "<f8").reshape(len(ids), -1)
                 wanted = np.frombuffer(row["queries"], "<f8").reshape(len(query_ids), -1)
                 flat = np.column_stack((wanted, np.zeros(len(wanted)))).astype(np.float32)
-                nodes = GraphIndex.load(row["graph"]).search(flat, count + 1, width)
+                nodes = GraphIndex.load(row["graph"]).search(flat, count + 1, row["reach"])
                 for at in range(0, len(nodes), 512):
                     part = nodes[at : at + 512]
                     place, slot = np.nonzero(part >= 0)
