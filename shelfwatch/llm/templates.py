@@ -48,6 +48,9 @@ TEXTS = 2
 #: The same for whole lines of fewer than ``LEAST_TOKENS`` tokens.
 SHORT_TEXTS = 6
 FIELD = b"<*>"
+#: Lines, and bytes of text or lines, that a task of the tree's first step holds at once; they change no result.
+STEP_ROWS = 16_384
+STEP_BYTES = 2_000_000
 
 
 _DIGIT = re.compile(rb"[0-9]")
@@ -70,9 +73,17 @@ def lines(docs: DataFrame) -> DataFrame:
     ``whole`` is a hash of the line without masks, null where no letter is in it. Short lines are not masked.
     """
 
+    names = [c.split()[0] for c in _LINES.split(", ")]
+    kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+
+    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
     def parse(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(source):
-            rows: list[tuple] = []
+        rows: list[tuple] = []
+        size = 0
+        for batch in batches(source, STEP_BYTES):
             for key, doc, text in zip(*(batch.column(c).to_pylist() for c in ("text_key", "doc_id", "text")), strict=True):
                 for number, raw in enumerate(text.split(b"\n")):
                     tokens = raw.split()
@@ -87,10 +98,11 @@ def lines(docs: DataFrame) -> DataFrame:
                             hashed = _long(line)
                         leaf = _long(b" ".join([b"%d" % len(tokens), *tokens[:LEADING]]))
                         rows.append((key, doc, number, leaf, hashed, whole if letter else None, line))
-            kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
-            arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in _LINES.split(", ")])
+                        size += len(line)
+                        if len(rows) >= STEP_ROWS or size >= STEP_BYTES:
+                            yield as_batch(rows)
+                            rows, size = [], 0
+        yield as_batch(rows)
 
     given = docs.select(_key().alias("text_key"), F.col("doc_id").cast("long"), text_bytes().alias("text"))
     return given.mapInArrow(parse, _LINES)
