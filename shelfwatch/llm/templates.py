@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.llm.common import batches, free_names, maybe_in, text_bytes, written
+from shelfwatch.llm.common import batches, free_names, may_be, maybe_in, text_bytes, written
 
 LEAST_TOKENS = 4
 LEADING = 3
@@ -170,10 +170,14 @@ def recurring(docs: DataFrame, texts: int = TEXTS, short_texts: int = SHORT_TEXT
 def without_recurring(docs: DataFrame, texts: int = TEXTS) -> DataFrame:
     """``docs`` with shortened ``text``, matching ``n_chars`` if there is such a column, ``n_lines`` and ``n_dropped``."""
     plain = docs.drop("n_lines", "n_dropped")
-    key, lost, rest_of = free_names(plain, 3)
+    key, lost, rest_of, hash_, may = free_names(plain, 5)
     gone = recurring(docs, texts).groupBy("text_key").agg(F.collect_list("line_no").alias(lost))
     gone = written(gone, "dropped-lines").withColumnRenamed("text_key", key)
-    marked = plain.withColumn(key, _key()).join(gone, key, "left")
+    # Only texts that may lose a line are shuffled to meet their lines; all others pass where they are.
+    maybe = may_be(gone.select(F.xxhash64(key).alias("k")), "k")
+    keyed = plain.withColumn(key, _key()).withColumn(hash_, F.xxhash64(key)).withColumn(may, maybe(hash_))
+    alone = keyed.where(~F.col(may)).withColumn(lost, F.lit(None).cast("array<int>"))
+    marked = keyed.where(may).join(gone, key, "left").unionByName(alone)
 
     @F.pandas_udf("string")
     def rest(source: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
