@@ -31,13 +31,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.llm.common import batches, free_names, may_be, maybe_in, text_bytes, written
+from shelfwatch.llm.common import batches, bit_filter, free_names, has_bit, may_be, text_bytes, written
 
 LEAST_TOKENS = 4
 LEADING = 3
@@ -67,41 +69,62 @@ def _long(data: bytes) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """Rows of ``_LINES``: each line that enters the tree, with fields masked and white space evened.
+def _tree_lines(text: bytes) -> Iterator[tuple[int, int, int, int | None, bytes]]:
+    """(number, leaf, hash of the masked line, hash of the whole line or None, masked line) of the lines that enter the tree."""
+    for number, raw in enumerate(text.split(b"\n")):
+        tokens = raw.split()
+        letter = _LETTER.search(raw) is not None
+        if len(tokens) >= LEAST_TOKENS or tokens and letter:
+            line = b" ".join(tokens)
+            hashed = whole = _long(line)
+            if len(tokens) >= LEAST_TOKENS and _DIGIT.search(raw):
+                tokens = [FIELD if _DIGIT.search(t) else t for t in tokens]
+                line = b" ".join(tokens)
+                hashed = _long(line)
+            leaf = _long(b" ".join([b"%d" % len(tokens), *tokens[:LEADING]]))
+            yield number, leaf, hashed, whole if letter else None, line
+
+
+def leaves(docs: DataFrame) -> DataFrame:
+    """(text_key, leaf): the leaves that lines of each text reach; a long text may name one more than once."""
+
+    def reached(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(source, STEP_BYTES):
+            keys: list[bytes] = []
+            found: list[int] = []
+            for key, text in zip(batch.column("text_key").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                own = {leaf for _, leaf, *_ in _tree_lines(text)}
+                keys += [key] * len(own)
+                found += own
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.int64())], names=["text_key", "leaf"])
+
+    return docs.select(_key().alias("text_key"), text_bytes().alias("text")).mapInArrow(reached, "text_key binary, leaf long")
+
+
+def lines(docs: DataFrame, wanted: Broadcast) -> DataFrame:
+    """Rows of ``_LINES``: each line at a leaf of the filter ``wanted``, with fields masked and white space evened.
 
     ``whole`` is a hash of the line without masks, null where no letter is in it. Short lines are not masked.
     """
-
     names = [c.split()[0] for c in _LINES.split(", ")]
     kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
 
     def as_batch(rows: list[tuple]) -> pa.RecordBatch:
-        columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+        may = pa.array(has_bit(wanted.value, np.array(columns[names.index("leaf")], np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names).filter(may)
 
     def parse(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size = 0
         for batch in batches(source, STEP_BYTES):
             for key, doc, text in zip(*(batch.column(c).to_pylist() for c in ("text_key", "doc_id", "text")), strict=True):
-                for number, raw in enumerate(text.split(b"\n")):
-                    tokens = raw.split()
-                    letter = _LETTER.search(raw) is not None
-                    if len(tokens) >= LEAST_TOKENS or tokens and letter:
-                        line = b" ".join(tokens)
-                        whole = _long(line)
-                        hashed = whole
-                        if len(tokens) >= LEAST_TOKENS and _DIGIT.search(raw):
-                            tokens = [FIELD if _DIGIT.search(t) else t for t in tokens]
-                            line = b" ".join(tokens)
-                            hashed = _long(line)
-                        leaf = _long(b" ".join([b"%d" % len(tokens), *tokens[:LEADING]]))
-                        rows.append((key, doc, number, leaf, hashed, whole if letter else None, line))
-                        size += len(line)
-                        if len(rows) >= STEP_ROWS or size >= STEP_BYTES:
-                            yield as_batch(rows)
-                            rows, size = [], 0
+                for line in _tree_lines(text):
+                    rows.append((key, doc, *line))
+                    size += len(line[-1])
+                    if len(rows) >= STEP_ROWS or size >= STEP_BYTES:
+                        yield as_batch(rows)
+                        rows, size = [], 0
         yield as_batch(rows)
 
     given = docs.select(_key().alias("text_key"), F.col("doc_id").cast("long"), text_bytes().alias("text"))
@@ -116,9 +139,9 @@ def _shared(rows: DataFrame, key: str, texts: int) -> DataFrame:
 
 def recurring(docs: DataFrame, texts: int = TEXTS, short_texts: int = SHORT_TEXTS) -> DataFrame:
     """(text_key, line_no) of the lines to drop, each once."""
-    every = written(lines(docs), "lines")
-    # The filter spares lines alone at their leaf; the few it lets through make no recurring template.
-    near = written(maybe_in(every, "leaf", _shared(every, "leaf", texts)), "leaf-lines")
+    # Texts are read twice, so lines alone at their leaf are never written. The few that the filter lets
+    # through make no recurring template.
+    near = written(lines(docs, bit_filter(_shared(leaves(docs), "leaf", texts), "leaf")), "leaf-lines")
     line = ["leaf", "line_hash"]
     # One row per different line; a line that most texts hold is summed before the shuffle.
     uses = near.select(*line, "text_key").distinct().groupBy(*line).agg(F.count(F.lit(1)).alias("uses"))
