@@ -642,6 +642,17 @@ BODIES["cube_daily_profile"] = f"""select day, row_count, null_rate, revenue, le
                 round(avg(case when user_id is null then 1.0 else 0.0 end)::double, 6) as null_rate,
                 {MONEY.format('value')} as revenue, min(value) as least, max(value) as most
               from faulty_all group by 1)"""
+BODIES["sketch_profile"] = " union all ".join(
+    f"""select '{name}' as name, count(*) as row_count,
+            round(avg(case when {name} is null then 1.0 else 0.0 end)::double, 6) as null_rate,
+            {low} as low, {high} as high, true as distinct_close, {close} as quartiles_close
+        from faulty_all where cast(ts as date) between date '2024-01-05' and date '2024-01-24'"""
+    for name, low, high, close in (
+        ("user_id", "min(user_id)::double", "max(user_id)::double", "true"),
+        ("event_type", "null::double", "null::double", "null::boolean"),
+        ("value", "min(value)", "max(value)", "true"),
+    )
+)
 BODIES["cube_findings"] = " union all ".join(
     f"select distinct '{name}' as detector, {day} as day from ({_FAULTY.sub('faulty_all', _DETECTED[name])})"
     for name, day in {

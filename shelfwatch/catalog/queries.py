@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from shelfwatch.config import Settings
 from shelfwatch.functions.skew import heavy_keys, union_all
 from shelfwatch.functions.text import file_in_message
-from shelfwatch.operators import anomalies, checks, cube, history, lineage, profile, triage
+from shelfwatch.operators import anomalies, checks, cube, history, lineage, profile, sketches, triage
 from shelfwatch.plans import dashboard, models
 from shelfwatch.plans.dashboard import Filters
 from shelfwatch.plans.models import Warehouse
@@ -616,6 +616,48 @@ def cube_daily_profile(t: Tables) -> DataFrame:
     return _cube_in_loads(t).profile()
 
 
+#: Window of the sketch profile; it cuts both deliveries.
+SKETCH_DAYS = (date(2024, 1, 5), date(2024, 1, 24))
+
+
+@query
+def sketch_profile(t: Tables) -> DataFrame:
+    """A window's profile from stored day sketches of two loads, held against one exact pass over the window.
+
+    Counts and extremes are exact; of the estimates (distinct values, quartiles) it is reported whether they keep their error.
+    """
+    columns = ["user_id", "event_type", "value"]
+    faulty = faults.all_event_faults(t.events)
+    first = F.col("ts") <= F.lit(SECOND_LOAD).cast("timestamp_ntz")
+    held = sketches.SketchStore(t.spark, scratch_path(t.spark, "day_sketches"))
+    for load, part in {"first": faulty.where(first), "second": faulty.where(~first | F.col("ts").isNull())}.items():
+        held.add(load, sketches.day_sketches(part, "ts", columns))
+    shares = (0.25, 0.5, 0.75)
+    profiles = held.window(*SKETCH_DAYS, shares)
+    inside = faulty.where(F.col("ts").cast("date").between(*map(F.lit, SKETCH_DAYS)))
+    limits = {r["name"]: r["quantiles"] for r in profiles.collect()}  # one row per column
+    checked = []
+    for at, name in enumerate(columns):
+        errors = [sketches.order_error(name, q, F.lit(v)) for q, v in zip(shares, limits.get(name) or (), strict=False)]
+        checked.append(F.countDistinct(name).alias(f"distinct_{at}"))
+        checked.append((F.greatest(*errors, F.lit(0.0)) if errors else F.lit(None).cast("double")).alias(f"error_{at}"))
+    facts = [
+        F.struct(F.lit(c).alias("name"), F.col(f"distinct_{at}").alias("n"), F.col(f"error_{at}").alias("error"))
+        for at, c in enumerate(columns)
+    ]
+    exact = inside.agg(*checked).select(F.inline(F.array(*facts)))
+    apart = F.abs(F.col("distinct_count") - F.col("n"))
+    return profiles.join(exact, "name").select(
+        "name",
+        "row_count",
+        "null_rate",
+        "low",
+        "high",
+        (apart <= 4 * sketches.DISTINCT_ERROR * F.col("n")).alias("distinct_close"),
+        (F.col("error") <= 2 * sketches.ORDER_ERROR).alias("quartiles_close"),
+    )
+
+
 @query
 def cube_findings(t: Tables) -> DataFrame:
     """Days that each detector reports, all read from one stored cube."""
