@@ -142,28 +142,29 @@ def recurring(docs: DataFrame, texts: int = TEXTS, short_texts: int = SHORT_TEXT
     # Texts are read twice, so lines alone at their leaf are never written. The few that the filter lets
     # through make no recurring template.
     near = written(lines(docs, bit_filter(_shared(leaves(docs), "leaf", texts), "leaf")), "leaf-lines")
-    line = ["leaf", "line_hash"]
-    # One row per different line; a line that most texts hold is summed before the shuffle.
-    uses = near.select(*line, "text_key").distinct().groupBy(*line).agg(F.count(F.lit(1)).alias("uses"))
-    distinct = near.groupBy(*line).agg(F.min("line").alias("line")).join(uses, line)
+    # One row per different line; a line that most texts hold is summed before the shuffle. Its hash implies its leaf.
+    uses = near.select("line_hash", "text_key").distinct().groupBy("line_hash").agg(F.count(F.lit(1)).alias("uses"))
+    distinct = near.groupBy("line_hash").agg(F.min("line").alias("line"), F.min("leaf").alias("leaf")).join(uses, "line_hash")
+    # A spot is a token at its place of a leaf, as one hash: what is shuffled is two longs and a small number a token.
     tokens = written(
-        distinct.select(*line, "uses", F.posexplode(F.split("line", " ")).alias("place", "token"))
-        .withColumn("token", F.xxhash64("token")),
+        distinct.select("line_hash", "uses", "leaf", F.posexplode(F.split("line", " ")).alias("place", "token"))
+        .select("line_hash", "uses", (F.col("token") == FIELD.decode()).alias("masked"), F.xxhash64("leaf", "place", "token").alias("spot")),
         "tokens",
     )
-    field = F.xxhash64(F.lit(FIELD.decode()))
-    fixed = (
-        tokens.where(F.col("token") != field)
-        .groupBy("leaf", "place", "token").agg(F.sum("uses").alias("support"))
-        .where(F.col("support") >= texts)
-    )
-    kept = tokens.join(fixed, ["leaf", "place", "token"], "left")
-    # A group is one line. Places are unique in it, so two sums of hashes of (place, token) name the template.
+    fixed = tokens.where("not masked").groupBy("spot").agg(F.sum("uses").alias("support")).where(F.col("support") >= texts)
+    kept = tokens.drop("masked").join(fixed, "spot", "left")
+    # The one exchange by line carries spots, not the wider states of the sums below.
+    level = F.when(F.col("support") > texts, texts + 1).otherwise(texts)
+    is_fixed = F.col("support").isNotNull()
+    kept = kept.select(
+        "line_hash", "uses", F.when(is_fixed, F.col("spot")).alias("spot"), F.when(is_fixed, level).alias("level")
+    ).repartition("line_hash")
+    # A group is one line. Spots are unique in it, so two sums of their hashes name the template.
     levels = (texts, texts + 1)
-    enough = {t: F.col("support") >= t for t in levels}
-    parsed = kept.groupBy(*line).agg(
+    enough = {t: F.col("level") >= t for t in levels}
+    parsed = kept.groupBy("line_hash").agg(
         *[
-            F.bit_xor(F.when(enough[t], F.xxhash64(F.lit(seed), "place", "token"))).alias(f"t{t}_{seed}")
+            F.bit_xor(F.when(enough[t], F.xxhash64(F.lit(seed), "spot"))).alias(f"t{t}_{seed}")
             for t in levels for seed in (1, 2)
         ],
         *[F.count(F.when(enough[t], True)).alias(f"fixed{t}") for t in levels],
@@ -173,14 +174,14 @@ def recurring(docs: DataFrame, texts: int = TEXTS, short_texts: int = SHORT_TEXT
     long_line = F.col("n") >= LEAST_TOKENS
     strong = {t: long_line & (F.col(f"fixed{t}") >= LEAST_TOKENS) & (F.col(f"fixed{t}") >= FIXED * F.col("n")) for t in levels}
     names = [
-        F.when(strong[t], F.struct(F.xxhash64(F.lit(t), "leaf", "n", f"t{t}_1", f"t{t}_2").alias("template"), F.lit(t).alias("need")))
+        F.when(strong[t], F.struct(F.xxhash64(F.lit(t), "n", f"t{t}_1", f"t{t}_2").alias("template"), F.lit(t).alias("need")))
         for t in levels
     ]
     # What equal whole lines share is in their template already, if that is a strong one.
     need = F.when(long_line, F.lit(texts)).otherwise(F.lit(short_texts))
     whole = F.when(~strong[texts] & (F.col("uses") >= need), need)
-    named = parsed.select(*line, F.array_compact(F.array(*names)).alias("names"), whole.alias("need"))
-    named = near.drop("line").join(named.where("size(names) > 0 or need is not null"), line)
+    named = parsed.select("line_hash", F.array_compact(F.array(*names)).alias("names"), whole.alias("need"))
+    named = near.drop("line").join(named.where("size(names) > 0 or need is not null"), "line_hash")
     as_whole = F.when(F.col("whole").isNotNull() & F.col("need").isNotNull(), F.struct(F.xxhash64(F.lit(0), "leaf", "whole").alias("template"), "need"))
     every_name = F.concat("names", F.array_compact(F.array(as_whole)))
     held = written(named.select("text_key", "doc_id", "line_no", F.inline(every_name)), "templates")
