@@ -141,6 +141,49 @@ def test_class_probabilities_sum_to_one():
     assert total == pytest.approx(np.ones(5), abs=1e-4)
 
 
+def test_token_probabilities_sum_to_one_and_follow_the_history():
+    random = np.random.RandomState(0)
+    known = sorted({f"{random.randint(10**6)}{end}".encode() for end in ("ab", "cd", "ef") for _ in range(300)})
+    lexicon = language_model.Lexicon(known)
+    classes = np.array([lexicon.class_of(w) for w in known])
+    masses, other = 1 / np.arange(1, len(known) + 1), np.full(language_model.CLASSES, 0.5)
+    tree = language_model.Tree(classes, masses, other)
+    shape = (language_model.TABLES, language_model.TOKEN_FEATURES, language_model.WAYS)
+
+    def inside(weights, before):
+        """Probability inside its class of every known token and of one unseen token per class, after ``before``."""
+        unseen = {lexicon.class_of(w): w for w in (b"unseenab", b"unseencd", b"unseenef")}
+        seen = language_model.Histories(lexicon, [[before, w] for w in [*known, *unseen.values()]])
+        token, node, digit, rows = seen.choices(tree, slice(None))
+        logs = np.bincount(token, language_model.log_class(weights, tree.bias[node], rows, digit), len(seen.entries))
+        return np.exp(logs[1::2]), seen.entries["class"][1::2]
+
+    learnt = random.normal(size=shape).astype(np.float32)
+    for weights in (np.zeros(shape, np.float32), learnt):
+        chance, of = inside(weights, b"one")
+        for k in set(of[of >= language_model.SINGLE].tolist()):
+            assert chance[of == k].sum() == pytest.approx(1, abs=1e-4)
+    untrained, of = inside(np.zeros(shape, np.float32), b"one")
+    mass = np.append(masses, np.full(len(of) - len(masses), 0.5))
+    in_class = of >= language_model.SINGLE
+    share = mass / np.bincount(of, mass)[of]
+    assert untrained[in_class] == pytest.approx(share[in_class], rel=1e-3)
+    assert not np.allclose(chance[in_class], inside(learnt, b"two")[0][in_class], rtol=0.1)
+
+
+def test_history_tells_tokens_of_a_class_apart(spark):
+    left, right = [f"left{i}" for i in range(30)], [f"right{i}same" for i in range(30)]
+    fill = " ".join(f"fill{i} fill{i}" for i in range(30))  # the most frequent tokens, which are classes of their own
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 1][:60]
+    free = [i for i in range(5000) if zlib.crc32(str(i).encode()) % 5 != 1][:1200]
+    probes = [(held[2 * i + off], f"{left[i]} {right[(i + 7 * off) % 30]}") for i in range(30) for off in (0, 1)]
+    given = [(i, f"{left[n % 30]} {right[n % 30]} {fill}") for n, i in enumerate(free)]
+    docs = spark.createDataFrame(given + probes, "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in language_model.scored(docs).collect()}
+    gained = [score[held[2 * i]] - score[held[2 * i + 1]] for i in range(30)]
+    assert np.mean(gained) > 0.3  # by counts alone, or by classes, both are about as likely
+
+
 def components_of(corpus):
     sets = {}
     for i, text in corpus.items():
