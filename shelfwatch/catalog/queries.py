@@ -40,8 +40,9 @@ ONE_DAY = date(1997, 5, 28)
 OUTLIER_LIMIT = 1000.0
 #: Last time of the first of two deliveries.
 SECOND_LOAD = "2024-01-16 12:00:00"
-#: Bytes of stored orders for each bucket of the facts; a month's file of a bucket has a small part of them.
-BUCKET_BYTES = 2 << 30
+#: Bytes of stored orders for each bucket of the facts. One task stores or merges a bucket and reads some five times
+#: as many shuffled bytes; a month's file of a bucket has a small part of them.
+BUCKET_BYTES = 32 << 20
 
 
 class Tables:

@@ -9,6 +9,7 @@ from pathlib import Path
 import pytest
 from conftest import rows
 
+from shelfwatch.catalog import queries
 from shelfwatch.operators import history
 from shelfwatch.plans.models import FACT_COLUMNS, STORED_FACTS
 
@@ -98,3 +99,14 @@ def test_guard_reads_the_staged_rows(spark, store, tmp_path):
     assert history.stored_merge(store, facts, versions, date(2024, 1, 1), two, repair=True) == [date(2024, 5, 1)]
     assert reads.value == 6
     assert rows(store.forget(one, two).select("order_id", "order_revenue")) == [(1, 1.0), (2, 1.0), (3, 1.0)]
+
+
+def test_buckets_grow_with_the_stored_orders(spark, data, monkeypatch):
+    few = queries.QUERIES["fct_orders_incremental_merge"](queries.Tables(spark, data))
+    monkeypatch.setattr(queries.storage, "table_state", lambda spark, folder, name: (0, 464 << 20, 1))
+    many = queries.QUERIES["fct_orders_incremental_merge"](queries.Tables(spark, data))
+    buckets = {f.rsplit("_", 1)[1].split(".")[0] for f in many.inputFiles()}
+    # About 5.2 shuffled bytes for each stored one, all of a bucket in one task.
+    assert 5.2 * (464 << 20) / len(buckets) < 500 << 20
+    assert len({f.rsplit("_", 1)[1].split(".")[0] for f in few.inputFiles()}) == 1
+    assert rows(many) == rows(few)
