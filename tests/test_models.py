@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.errors import AnalysisException, ArithmeticException, ParseException
 from pyspark.sql import functions as F
 
+from shelfwatch.catalog import queries
 from shelfwatch.config import MissingSetting, Settings, required_env
 from shelfwatch.operators import checks
 from shelfwatch.plans import models
@@ -183,3 +184,11 @@ def test_cents_overflow_is_an_error_and_not_a_wrong_sum(spark):
     huge = spark.range(4).select(F.lit(4e16).alias("amount"))
     with pytest.raises(ArithmeticException):
         huge.agg(money_sum("amount")).collect()
+
+
+def test_doubled_facts_are_built_once(spark, data):
+    t = queries.Tables(spark, data)
+    facts, twice = queries.QUERIES["fct_orders"](t), queries.QUERIES["fact_grain_regression"](t)
+    scans = [df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") for df in (facts, twice)]
+    assert scans[0] == scans[1] > 0
+    assert rows(twice) == rows(facts.unionByName(facts)) and twice.columns == facts.columns
