@@ -5,8 +5,9 @@ evaluations per shingle give twice as many signature values. ``BANDS`` bands of
 propose pairs: at the threshold of 0.75 a pair shares no band with a probability of 3e-8, at 0.8 of 9e-12. Proposed pairs are confirmed by the exact Jaccard
 similarity of their sets of 64-bit shingle hashes.
 
-Documents with equal sets form one class and only classes are compared. Within a band, classes are first held
-against one hub (one confirmed link per member is enough to join it), then against a second one.
+Documents with equal sets form one class and only classes are compared. In turns, every class is held against one hub: of
+the hubs of its bands, one for each, the one that shares most bands with it and is of another component (one
+confirmed link per member is enough to join it). A turn costs at most one pair a class.
 What still shares a band across components is paired by an exact filter: similar sets share one of
 their rarest shingles. So large groups cost a number of pairs that grows with their size, and no link
 between components is lost.
@@ -35,6 +36,9 @@ SIMILAR = 75  # percent
 PERMUTATIONS = 160
 ROWS = 5
 BANDS = 2 * PERMUTATIONS // ROWS
+#: Turns in which classes are held against hubs, at most; before the last one they end where under one pair in ``FEW`` is
+#: confirmed. All that is left goes through the exact filter, so neither changes a result.
+TURNS, FEW = 4, 10
 #: Shingles hashed at once: keeps the working set in a core's cache.
 STEP = 1024
 #: Counters of the shingle frequencies that order prefixes (8 MB).
@@ -163,6 +167,19 @@ def _still_apart(near: DataFrame, links: DataFrame) -> DataFrame:
     return written(rooted.join(several.select("band"), "band"), "bands")
 
 
+def _hub_pairs(apart: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b): each class of ``apart`` (band, cid, n, root) and that hub of another component which shares most bands with it.
+
+    A band's hub is its smallest class by a hash, another one every turn.
+    """
+    order = F.xxhash64(F.lit(turn), "cid").alias("order")
+    hubs = apart.groupBy("band").agg(F.min(F.struct(order, "cid", "n", "root")).alias("hub"))
+    hubs = hubs.select("band", F.col("hub.cid").alias("b"), F.col("hub.n").alias("m"), F.col("hub.root").alias("other"))
+    met = apart.join(hubs, "band").where((F.col("root") != F.col("other")) & _alike("n", "m"))
+    met = met.groupBy(F.col("cid").alias("a"), "b").agg(F.count(F.lit(1)).alias("shared"))
+    return met.groupBy("a").agg(F.max(F.struct("shared", "b"))["b"].alias("b"))
+
+
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Signatures of documents, classes (cid, doc_id, text_key, digest, n), confirmed links (a, b) of classes."""
     signatures = written(signed(docs), "signatures")
@@ -183,19 +200,15 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     wanted = classes.join(near.select("cid").distinct(), "cid")
     texts = written(_texts(docs, wanted), "class-texts")
 
-    # First hub: the smallest class of a band; a class is held against the smallest of its hubs.
-    first = near.groupBy("band").agg(F.min(F.struct("cid", "n")).alias("hub"), F.max("cid").alias("top")).where("hub.cid < top")
-    tried = near.join(first, "band").where((F.col("cid") > F.col("hub.cid")) & _alike("n", "hub.n"))
-    tried = written(tried.groupBy("cid").agg(F.min("hub.cid").alias("b")).withColumnRenamed("cid", "a"), "pairs")
-    links = written(_confirmed(tried, texts), "confirmed")
-
-    # Second hub: the largest member of the band's smallest component, for those outside it.
-    apart = _still_apart(near, links)
-    second = apart.groupBy("band").agg(F.min(F.struct("root", (-F.col("cid")).alias("minus"), "n")).alias("hub"))
-    second = second.select("band", F.col("hub.root").alias("hub_root"), (-F.col("hub.minus")).alias("hub"), F.col("hub.n").alias("hub_n"))
-    more = apart.join(second, "band").where((F.col("root") != F.col("hub_root")) & _alike("n", "hub_n"))
-    more = more.groupBy(F.col("cid").alias("a")).agg(F.min("hub").alias("b")).join(tried, ["a", "b"], "left_anti")
-    links = written(links.union(_confirmed(written(more, "pairs"), texts)), "confirmed")
+    # Each turn holds a class against one hub of another component. Turns that link hardly any end this.
+    pairs = written(_hub_pairs(near.withColumn("root", F.col("cid")), 0), "pairs")
+    links, tried = written(_confirmed(pairs, texts), "confirmed"), pairs
+    for turn in range(1, TURNS):
+        pairs = written(_hub_pairs(_still_apart(near, links), turn).join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = written(_confirmed(pairs, texts), "confirmed")
+        links, tried = links.union(found), tried.union(pairs)
+        if found.count() * FEW <= pairs.count():
+            break
 
     # Whatever is still apart goes through an exact filter on its sets.
     apart = _still_apart(near, links).groupBy("cid").agg(F.first("root").alias("root"))
