@@ -133,7 +133,11 @@ def may_be(keys: DataFrame, column: str, bits: int = FILTER_BITS) -> Callable[[s
     A one-hash bit filter. Only its words travel (``bits / 8`` bytes at most), so its size is
     bounded whatever the number of keys; a fuller filter lets more other rows through.
     """
-    shared = bit_filter(keys, column, bits)
+    return bit_test(bit_filter(keys, column, bits))
+
+
+def bit_test(shared: Broadcast) -> Callable[[str], Column]:
+    """``may_be`` of a ``bit_filter``."""
 
     @F.pandas_udf("boolean")
     def maybe(value: pd.Series) -> pd.Series:

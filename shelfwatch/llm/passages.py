@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.llm.common import batches, bit_filter, has_bit, may_be, maybe_in, written
+from shelfwatch.llm.common import batches, bit_filter, bit_test, has_bit, may_be, maybe_in, written
 from shelfwatch.llm.suffixes import sorted_suffixes
 
 SPAN = 50
@@ -119,11 +119,17 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), id_.alias("id"), text.alias("text"), F.unhex(F.md5(text)).alias("digest")).withColumn("key", F.xxhash64("id", "digest"))
 
 
-def _anchor_rows(texts: DataFrame) -> DataFrame:
-    """(anchor, id) of each text and each of its anchors, once."""
+def _without(source: Iterable[pa.RecordBatch], but: Broadcast | None) -> Iterator[pa.RecordBatch]:
+    """Rows whose ``key`` has no bit in ``but``."""
+    for batch in source:
+        yield batch if but is None else batch.filter(pa.array(~has_bit(but.value, batch.column("key").to_numpy())))
+
+
+def _anchor_rows(texts: DataFrame, but: Broadcast | None = None) -> DataFrame:
+    """(anchor, id) of each text and each of its anchors, once; texts whose key has a bit in ``but`` are left out."""
 
     def mark(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(source, 2_000_000):
+        for batch in batches(_without(source, but), 2_000_000):
             row, _, hashes = anchors(batch.column("text").to_pylist())
             order = np.lexsort((hashes, row))
             row, hashes = row[order], hashes[order]
@@ -131,11 +137,11 @@ def _anchor_rows(texts: DataFrame) -> DataFrame:
             ids = batch.column("id").to_numpy()[row[new]]
             yield pa.RecordBatch.from_arrays([pa.array(hashes[new], pa.int64()), pa.array(ids, pa.int64())], names=["anchor", "id"])
 
-    return texts.select("id", "text").mapInArrow(mark, "anchor long, id long")
+    return texts.select("id", "key", "text").mapInArrow(mark, "anchor long, id long")
 
 
-def _cuts(texts: DataFrame, shared: Broadcast) -> DataFrame:
-    """(anchor, place, start, id, key, name, cut) around the anchors whose bit is in ``shared``.
+def _cuts(texts: DataFrame, shared: Broadcast, but: Broadcast | None = None) -> DataFrame:
+    """(anchor, place, start, id, key, name, cut) around the anchors whose bit is in ``shared``; ``but`` as above.
 
     ``start`` is where the cut begins in its text, ``place`` where the anchor does in the cut. A task leaves out the
     bytes of cuts that it gave before for a smaller id and for some other one: the rest tells the smallest
@@ -145,7 +151,7 @@ def _cuts(texts: DataFrame, shared: Broadcast) -> DataFrame:
     def cut(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         given: dict[int, tuple[int, int]] = {}
-        for batch in batches(source, 1_000_000):
+        for batch in batches(_without(source, but), 1_000_000):
             texts = batch.column("text").to_pylist()
             row, places, hashes = anchors(texts)
             near = has_bit(table, hashes)
@@ -284,7 +290,9 @@ class Copies:
         copied = written(least.where("least < most").drop("most"), "copies")
         found = maybe_in(names, "d", copied.select("d")).join(copied.drop("d"), "digest").where("id > least")
         self.later = written(found.select("key", "n").distinct(), "later")
-        self._likely = may_be(self.later.select("key"), "key")
+        #: No text without a bit here is a later copy.
+        self.bits = bit_filter(self.later.select("key"), "key")
+        self._likely = bit_test(self.bits)
         wrong = names.select("key").where(self._likely("key")).join(self.later.select("key"), "key", "left_anti")
         self._doubt = may_be(written(wrong, "not-later"), "key")
 
@@ -303,9 +311,11 @@ def spans(named: DataFrame, copies: Copies) -> DataFrame:
     """(key, ranges) of texts that lose bytes, without copies in state 1; ranges ``a`` to ``b`` may overlap."""
     marked = copies.marked(named).select("id", "key", "text", "state")
     settled = marked.where("state = 2").join(copies.unsettled().select("key"), "key", "left_anti")
-    texts = marked.where("state = 0").unionByName(settled).drop("state")
-    both = _anchor_rows(texts).groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("top")).where("low < top")
-    cuts = written(_cuts(texts, bit_filter(both.select("anchor"), "anchor")), "cuts")
+    # The other texts, state 0, are told apart where they are searched: a task needs no second Python worker for it.
+    rows = _anchor_rows(named, copies.bits).unionByName(_anchor_rows(settled))
+    both = rows.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("top")).where("low < top")
+    shared = bit_filter(both.select("anchor"), "anchor")
+    cuts = written(_cuts(named, shared, copies.bits).unionByName(_cuts(settled, shared)), "cuts")
     found = written(_owners(cuts), "owners")
     lost = maybe_in(cuts.drop("cut", "place"), "name", found.select("name")).join(found, ["anchor", "name"]).where("id > owner")
     span = F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + SPAN).alias("b"))

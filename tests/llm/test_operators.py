@@ -335,6 +335,19 @@ def test_passages_equal_brute_force(run, corpus):
         assert r["n_spans"] == (lost & ~np.append(False, lost[:-1])).sum() if len(data) else r["n_spans"] == 0
 
 
+def test_search_for_anchors_takes_one_python_worker_a_task(spark, monkeypatch):
+    """Two copies, of which the later takes no part, and a text that shares a passage with them."""
+    passage = " ".join(f"passage{i}" for i in range(20))
+    rows = [(1, f"one {passage} end"), (2, f"one {passage} end"), (3, f"other {passage}")]
+    plans = []
+    search = passages._anchor_rows
+    monkeypatch.setattr(passages, "_anchor_rows", lambda *given: plans.append(search(*given)) or plans[-1])
+    found = passages.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert "ArrowEvalPython" not in plans[0]._jdf.queryExecution().optimizedPlan().toString()
+    whole, shared = len(rows[0][1]), len(passage) + 1  # with the space before it
+    assert sorted((r["doc_id"], r["n_removed"], r["n_spans"]) for r in found) == [(1, 0, 0), (2, whole, 1), (3, shared, 1)]
+
+
 def test_anchor_of_many_surroundings_is_not_sorted_in_one_task(spark):
     random = np.random.RandomState(5)
     phrase = b"the same twenty bytes"
