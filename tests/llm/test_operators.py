@@ -288,6 +288,21 @@ def test_large_star_small_star(spark):
     assert {tuple(r) for r in components.connected(links).collect()} == {(9, 5), (8, 5), (7, 5), (6, 5), (5, 5), (1, 1), (2, 1)}
 
 
+def test_rounds_of_few_links_have_few_tasks(spark, monkeypatch):
+    """Tasks and files of a round follow its links, not the session's shuffle partitions."""
+    tasks, write = [], components.written
+    monkeypatch.setattr(components, "written", lambda df, label: tasks.append(df.rdd.getNumPartitions()) or write(df, label))
+    links = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long").coalesce(1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = {tuple(r) for r in components.connected(links).collect()}
+        monkeypatch.setattr(components, "LINKS_EACH", 7)
+        assert {tuple(r) for r in components.connected(links).collect()} == found == {(i, 0) for i in range(21)}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert tasks[:2] == [1, 1] and max(tasks) == 3
+
+
 def test_quality_measures(run, corpus):
     for r in run("op3_quality_rules"):
         text = corpus[r["doc_id"]]
