@@ -7,7 +7,8 @@ similarity of their sets of 64-bit shingle hashes.
 
 Documents with equal sets form one class and only classes are compared. In turns, every class is held against one hub: of
 the hubs of its bands, one for each, the one that shares most bands with it and is of another component (one
-confirmed link per member is enough to join it). A turn costs at most one pair a class.
+confirmed link per member is enough to join it). A band's hub is the class whose bands hold most classes, so of a group of near
+copies the one closest to all others; every turn has other hubs. A turn costs at most one pair a class.
 What still shares a band across components is paired by an exact filter: similar sets share one of
 their rarest shingles. So large groups cost a number of pairs that grows with their size, and no link
 between components is lost.
@@ -159,29 +160,33 @@ def _alike(n: str, m: str) -> Column:
     return 100 * F.least(n, m) >= SIMILAR * F.greatest(n, m)
 
 
-def _still_apart(near: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows (band, cid, n, root) of bands that hold classes of several components of ``links``."""
-    roots = connected(links).withColumnRenamed("node", "cid")
-    rooted = near.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+def _still_apart(near: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (band, cid, n, weight, root) of bands that hold classes of several components; ``roots`` (node, root) of linked classes."""
+    rooted = near.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     several = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("top")).where("low < top")
     return written(rooted.join(several.select("band"), "band"), "bands")
 
 
-def _hub_pairs(apart: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b): each class of ``apart`` (band, cid, n, root) and that hub of another component which shares most bands with it.
+def _hub_pairs(apart: DataFrame, tried: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b): each class of ``apart`` (band, cid, n, weight, root) and that hub of another component which shares most bands with it.
 
-    A band's hub is its smallest class by a hash, another one every turn.
+    A band's hub is its class of the largest weight that was no hub in the pairs ``tried``; none of those comes again.
     """
-    order = F.xxhash64(F.lit(turn), "cid").alias("order")
-    hubs = apart.groupBy("band").agg(F.min(F.struct(order, "cid", "n", "root")).alias("hub"))
+    free = apart
+    if tried is not None:
+        free = apart.join(tried.select(F.col("b").alias("cid")).distinct(), "cid", "left_anti")
+    hubs = free.groupBy("band").agg(F.max(F.struct("weight", "cid", "n", "root")).alias("hub"))
     hubs = hubs.select("band", F.col("hub.cid").alias("b"), F.col("hub.n").alias("m"), F.col("hub.root").alias("other"))
     met = apart.join(hubs, "band").where((F.col("root") != F.col("other")) & _alike("n", "m"))
     met = met.groupBy(F.col("cid").alias("a"), "b").agg(F.count(F.lit(1)).alias("shared"))
+    if tried is not None:
+        both = tried.select("a", "b").union(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        met = met.join(both, ["a", "b"], "left_anti")
     return met.groupBy("a").agg(F.max(F.struct("shared", "b"))["b"].alias("b"))
 
 
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Signatures of documents, classes (cid, doc_id, text_key, digest, n), confirmed links (a, b) of classes."""
+    """Signatures of documents, classes (cid, doc_id, text_key, digest, n), links (a, b) with the components of all confirmed ones."""
     signatures = written(signed(docs), "signatures")
     least = F.min(F.struct("doc_id", "text_key"))
     classes = written(
@@ -195,25 +200,33 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         classes, ["digest", "text_key"]
     )
     bands = one.where(F.col("id").eqNullSafe(F.col("doc_id"))).select("cid", "n", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.min("cid").alias("hub"), F.max("cid").alias("top")).where("hub < top")
-    near = written(maybe_in(bands, "band", shared.select("band")), "bands")
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    held = written(maybe_in(bands, "band", shared.select("band")).join(shared, "band"), "shared-bands")
+    # The weight of a class counts the classes in its bands: of a group of near copies it is largest next to their common original.
+    weights = held.groupBy("cid").agg(F.sum("held").alias("weight"))
+    near = written(held.drop("held").join(weights, "cid"), "bands")
     wanted = classes.join(near.select("cid").distinct(), "cid")
     texts = written(_texts(docs, wanted), "class-texts")
 
     # Each turn holds a class against one hub of another component. Turns that link hardly any end this.
-    pairs = written(_hub_pairs(near.withColumn("root", F.col("cid")), 0), "pairs")
-    links, tried = written(_confirmed(pairs, texts), "confirmed"), pairs
-    for turn in range(1, TURNS):
-        pairs = written(_hub_pairs(_still_apart(near, links), turn).join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = written(_confirmed(pairs, texts), "confirmed")
-        links, tried = links.union(found), tried.union(pairs)
+    pairs = written(_hub_pairs(near.withColumn("root", F.col("cid"))), "pairs")
+    found, tried = written(_confirmed(pairs, texts), "confirmed"), pairs
+    roots = connected(found)
+    for _ in range(1, TURNS):
+        pairs = written(_hub_pairs(_still_apart(near, roots), tried), "pairs")
+        found, tried = written(_confirmed(pairs, texts), "confirmed"), tried.union(pairs)
+        roots = connected(_as_links(roots).union(found))
         if found.count() * FEW <= pairs.count():
             break
 
     # Whatever is still apart goes through an exact filter on its sets.
-    apart = _still_apart(near, links).groupBy("cid").agg(F.first("root").alias("root"))
+    apart = _still_apart(near, roots).groupBy("cid").agg(F.first("root").alias("root"))
     rest = written(_prefix_pairs(texts, written(apart, "apart")), "pairs")
-    return signatures, classes, written(links.union(_confirmed(rest, texts)), "confirmed")
+    return signatures, classes, written(_as_links(roots).union(_confirmed(rest, texts)), "confirmed")
+
+
+def _as_links(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")
 
 
 def _prefix_pairs(texts: DataFrame, apart: DataFrame) -> DataFrame:

@@ -275,6 +275,27 @@ def test_family_of_half_similar_members_makes_few_pairs(spark, monkeypatch):
     assert made[0].count() < len(texts)
 
 
+def test_family_around_an_original_makes_few_pairs(spark, monkeypatch):
+    """Copies are like their original, hardly any like each other: the original becomes the hub, whatever the order of ids."""
+    random = np.random.RandomState(5)
+    base = [f"w{i}" for i in range(200)]
+    texts = [(150, " ".join(base))]
+    for n in range(150):
+        own = list(base)
+        for at in random.choice(200, 5, False):
+            own[at] = f"x{n}y{at}"
+        texts.append((n, " ".join(own)))
+    made = []
+    exact = near_duplicates._prefix_pairs
+    monkeypatch.setattr(near_duplicates, "_prefix_pairs", lambda *given: made.append(exact(*given).cache()) or made[-1])
+    found = {r["doc_id"]: r["component_id"] for r in near_duplicates.grouped(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    sets, root = components_of(dict(texts))
+    alike = sum(100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) for j in range(150) for i in range(j))
+    assert alike < 0.1 * 150 * 149 / 2
+    assert found == root
+    assert made[0].count() < len(texts) / 2
+
+
 def test_one_of_each_keeps_columns_of_any_name(spark):
     rows = [(1, "a b c d e f", "keep", 7), (2, "a b c d e f", "other", 8), (3, "x y z", None, 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, __key string, HELPER_0 int")
