@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -74,6 +75,18 @@ def batches(source: Iterable[pa.RecordBatch], bytes_each: int = 8_000_000, colum
             yield batch.slice(start, step)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Rows that actions inside this block hand to Python at once, at most: bounds the buffers of long texts on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class WordHashes:
     """64-bit hashes of words, remembered per worker up to ``MEMO_WORDS`` words."""
 

@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.llm.common import batches, bit_filter, bit_test, has_bit, may_be, maybe_in, written
+from shelfwatch.llm.common import arrow_rows, batches, bit_filter, bit_test, has_bit, may_be, maybe_in, written
 from shelfwatch.llm.suffixes import sorted_suffixes
 
 SPAN = 50
@@ -37,6 +37,8 @@ SHARD_BYTES = 1_000_000
 LAST_ID = (1 << 63) - 1
 #: Bytes of texts whose anchors are searched at once: keeps the working set in a core's cache.
 STEP_BYTES = 64_000
+#: Texts that a task of the search hands to Python at once.
+STEP_ROWS = 1000
 #: Neighbours compared at once.
 COMPARED = 20_000
 #: Cuts that a task remembers, so as not to give their bytes again; bounds its memory, changes no result.
@@ -310,12 +312,15 @@ class Copies:
 def spans(named: DataFrame, copies: Copies) -> DataFrame:
     """(key, ranges) of texts that lose bytes, without copies in state 1; ranges ``a`` to ``b`` may overlap."""
     marked = copies.marked(named).select("id", "key", "text", "state")
-    settled = marked.where("state = 2").join(copies.unsettled().select("key"), "key", "left_anti")
-    # The other texts, state 0, are told apart where they are searched: a task needs no second Python worker for it.
-    rows = _anchor_rows(named, copies.bits).unionByName(_anchor_rows(settled))
-    both = rows.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("top")).where("low < top")
-    shared = bit_filter(both.select("anchor"), "anchor")
-    cuts = written(_cuts(named, shared, copies.bits).unionByName(_cuts(settled, shared)), "cuts")
+    # The few texts in state 2 are stored, so that no task of the search has a second Python worker.
+    settled = marked.where("state = 2").join(copies.unsettled().select("key"), "key", "left_anti").drop("state")
+    settled = written(settled, "settled")
+    with arrow_rows(named.sparkSession, STEP_ROWS):
+        # The other texts, state 0, are told apart where they are searched.
+        rows = _anchor_rows(named, copies.bits).unionByName(_anchor_rows(settled))
+        both = rows.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("top")).where("low < top")
+        shared = bit_filter(both.select("anchor"), "anchor")
+        cuts = written(_cuts(named, shared, copies.bits).unionByName(_cuts(settled, shared)), "cuts")
     found = written(_owners(cuts), "owners")
     lost = maybe_in(cuts.drop("cut", "place"), "name", found.select("name")).join(found, ["anchor", "name"]).where("id > owner")
     span = F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + SPAN).alias("b"))

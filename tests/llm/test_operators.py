@@ -384,6 +384,20 @@ def test_search_for_anchors_takes_one_python_worker_a_task(spark, monkeypatch):
     assert sorted((r["doc_id"], r["n_removed"], r["n_spans"]) for r in found) == [(1, 0, 0), (2, whole, 1), (3, shared, 1)]
 
 
+def test_search_for_anchors_has_small_batches_and_stored_settled_texts(spark, monkeypatch):
+    """Both parts of the search have one Python worker a task and bounded batches; the session's own bound comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, plans, bounds = spark.conf.get(name), [], []
+    search = passages._anchor_rows
+    monkeypatch.setattr(passages, "_anchor_rows", lambda *given: bounds.append(int(spark.conf.get(name))) or plans.append(search(*given)) or plans[-1])
+    passage = " ".join(f"passage{i}" for i in range(20))
+    rows = [(i, f"{i} {passage}") for i in range(9)]
+    found = {r["doc_id"]: r["n_removed"] for r in passages.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: 0 if i == 0 else len(passage) + 1 for i in range(9)}
+    assert len(plans) == 2 and not any("ArrowEvalPython" in p._jdf.queryExecution().optimizedPlan().toString() for p in plans)
+    assert max(bounds) <= passages.STEP_ROWS and spark.conf.get(name) == before
+
+
 def test_anchor_of_many_surroundings_is_not_sorted_in_one_task(spark):
     random = np.random.RandomState(5)
     phrase = b"the same twenty bytes"
