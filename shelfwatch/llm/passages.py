@@ -19,14 +19,16 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwatch.llm.common import arrow_rows, batches, bit_filter, bit_test, has_bit, may_be, maybe_in, written
-from shelfwatch.llm.suffixes import sorted_suffixes
+from shelfwatch.llm.suffixes import sevens, sorted_suffixes
 
 SPAN = 50
 GRAM = 20
@@ -39,8 +41,6 @@ LAST_ID = (1 << 63) - 1
 STEP_BYTES = 64_000
 #: Texts that a task of the search hands to Python at once.
 STEP_ROWS = 1000
-#: Neighbours compared at once.
-COMPARED = 20_000
 #: Cuts that a task remembers, so as not to give their bytes again; bounds its memory, changes no result.
 MEMO_CUTS = 100_000
 
@@ -221,56 +221,62 @@ def _string_owners(given: DataFrame) -> DataFrame:
 def _sorted_owners(given: DataFrame, shard_bytes: int) -> DataFrame:
     """``_owners`` by sorting the suffixes of whole anchors; none has more than ``shard_bytes``."""
 
-    def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        sizes = np.array([len(r[3]) for r in rows])
-        symbols = np.zeros(int(sizes.sum()) + len(rows), np.uint16)
+    def settle(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        cuts = pa.concat_arrays([chunk.cast(pa.binary()) for chunk in rows.column("cut").chunks])
+        bounds = np.frombuffer(cuts.buffers()[1], np.int32)[cuts.offset : cuts.offset + len(cuts) + 1].astype(np.int64)
+        sizes = np.diff(bounds)
         closed = np.cumsum(sizes + 1)
+        opened = closed - sizes - 1
+        symbols = np.zeros(int(closed[-1]), np.uint16)
         inside = np.ones(len(symbols), bool)
         inside[closed - 1] = False
-        symbols[inside] = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).astype(np.uint16) + 1
-        order = sorted_suffixes(symbols, SPAN)
-        cut_of = np.searchsorted(closed, order, side="right")
-        opened = closed - sizes - 1
-        offset = order - opened[cut_of]
-        # Whole strings that hold the anchor.
-        places = np.array([r[2] for r in rows])
-        fits = (offset + SPAN <= sizes[cut_of]) & (offset <= places[cut_of])
-        order, cut_of, offset = order[fits], cut_of[fits], offset[fits]
+        symbols[inside] = np.frombuffer(cuts.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].astype(np.uint16) + 1
+        anchor, name, places, smallest, most = (rows.column(c).to_numpy() for c in ("anchor", "name", "place", "least", "most"))
+        cut_at = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)
+        # Starts of whole strings that hold the anchor.
+        asked = np.arange(len(symbols)) <= np.repeat(opened + np.minimum(places, sizes - SPAN), sizes + 1)
+        order = sorted_suffixes(symbols, SPAN, wanted=asked)
+        order = order[asked[order]]
         if not len(order):
             return
-        strings = np.lib.stride_tricks.sliding_window_view(symbols, SPAN)
+        packed = sevens(symbols)
+        same = np.arange(1, len(order))
+        for at in (*range(0, SPAN - 7, 7), SPAN - 7):  # neighbours that agree so far
+            same = same[packed[order[same] + at] == packed[order[same - 1] + at]]
         first = np.ones(len(order), bool)
-        for at in range(1, len(order), COMPARED):
-            here = order[at : at + COMPARED]
-            first[at : at + COMPARED] = (strings[here] != strings[order[at - 1 : at - 1 + len(here)]]).any(1)
-        ids = np.array([r[4] for r in rows], np.int64)[cut_of]
-        least = np.minimum.reduceat(ids, np.flatnonzero(first))
-        owner = least[np.cumsum(first) - 1]
-        back = np.lexsort((offset, cut_of))
-        cut_of, offset, owner = cut_of[back], offset[back], owner[back]
-        new = np.append(True, (cut_of[1:] != cut_of[:-1]) | (offset[1:] != offset[:-1] + 1) | (owner[1:] != owner[:-1]))
+        first[same] = False
+        least = np.minimum.reduceat(smallest[cut_at[order]], np.flatnonzero(first))
+        owners = np.zeros(len(symbols), np.int64)
+        owners[order] = least[np.cumsum(first) - 1]
+        place = np.flatnonzero(asked)
+        owner = owners[place]
+        new = np.append(True, (place[1:] != place[:-1] + 1) | (owner[1:] != owner[:-1]))
         at = np.flatnonzero(new)
         last = np.append(at[1:], len(new)) - 1
-        row = cut_of[at]
-        keep = np.array([r[5] for r in rows], np.int64)[row] > owner[at]  # some holder of the cut comes later
+        row = cut_at[place[at]]
+        keep = most[row] > owner[at]  # some holder of the cut comes later
         at, last, row = at[keep], last[keep], row[keep]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([rows[i][0] for i in row], pa.int64()), pa.array([rows[i][1] for i in row], pa.int64()), pa.array(offset[at], pa.int32()), pa.array(offset[last], pa.int32()), pa.array(owner[at], pa.int64())],
-            names=["anchor", "name", "first", "last", "owner"],
-        )
+        columns = [anchor[row], name[row], (place[at] - opened[row]).astype(np.int32), (place[last] - opened[row]).astype(np.int32), owner[at]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "name", "first", "last", "owner"])
 
     def sort(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
+        held: list[pa.RecordBatch] = []
+        size, previous = 0, None
         for batch in source:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "name", "place", "cut", "least", "most")), strict=True):
-                if size >= shard_bytes and row[0] != held[-1][0]:
-                    yield from settle(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[3])
+            if not batch.num_rows:
+                continue
+            anchor = batch.column("anchor").to_numpy()
+            opens = np.flatnonzero(np.append(anchor[0] != previous, anchor[1:] != anchor[:-1]))
+            sizes = pc.binary_length(batch.column("cut")).to_numpy().astype(np.int64)
+            before, begun = np.cumsum(sizes) - sizes, 0  # bytes of the batch before each row, first row not settled
+            while len(full := opens[(opens >= begun) & (size + before[opens] >= shard_bytes)]):
+                held.append(batch.slice(begun, int(full[0]) - begun))
+                yield from settle(pa.Table.from_batches(held))
+                held, begun, size = [], int(full[0]), -int(before[full[0]])
+            held.append(batch.slice(begun))
+            size, previous = size + int(sizes.sum()), anchor[-1]
         if held:
-            yield from settle(held)
+            yield from settle(pa.Table.from_batches(held))
 
     # Tasks gave few rows of a cut each, so one shuffle serves the counting and the shards.
     distinct = given.repartition("anchor").groupBy("anchor", "name", "place", "cut").agg(F.min("id").alias("least"), F.max("id").alias("most"))
@@ -296,7 +302,8 @@ class Copies:
         self.bits = bit_filter(self.later.select("key"), "key")
         self._likely = bit_test(self.bits)
         wrong = names.select("key").where(self._likely("key")).join(self.later.select("key"), "key", "left_anti")
-        self._doubt = may_be(written(wrong, "not-later"), "key")
+        self.doubts = bit_filter(written(wrong, "not-later"), "key")
+        self._doubt = bit_test(self.doubts)
 
     def marked(self, named: DataFrame) -> DataFrame:
         """``named`` with ``state``: 0 no later copy, 1 a later copy, 2 to be settled."""
@@ -328,19 +335,32 @@ def spans(named: DataFrame, copies: Copies) -> DataFrame:
     return lost.select("key", span.alias("span")).unionByName(whole).groupBy("key").agg(F.collect_list("span").alias("ranges"))
 
 
+RESULTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+
+
+def _results(out: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
+    columns = zip(*out, strict=True) if out else [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in RESULTS.split(", ")])
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) per document; ``kept`` is what remains, as bytes."""
     named = _named(docs)
     copies = Copies(named)
     ranges = written(spans(named, copies), "ranges")
-    # Only texts that may lose some of their bytes are shuffled.
-    maybe = may_be(ranges.select("key"), "key")
-    marked = copies.marked(named).withColumn("maybe", (F.col("state") != 1) & maybe("key")).select("doc_id", "key", "text", "state", "maybe")
-    none = F.array().cast("array<struct<a: bigint, b: bigint>>")
-    all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.octet_length("text").cast("long").alias("b")))
-    copy = (F.col("state") == 1) & (F.octet_length("text") >= SPAN)
-    rows = marked.where("not maybe").select("doc_id", "text", F.when(copy, all_of_it).otherwise(none).alias("ranges"))
-    rows = rows.unionByName(marked.where("maybe").join(ranges, "key", "left").select("doc_id", "text", "ranges"))
+    # Only texts that may lose some of their bytes are shuffled; the others are told apart where their bytes are
+    # counted, so that no task has a second Python worker.
+    losing, likely, doubts = bit_filter(ranges.select("key"), "key"), copies.bits, copies.doubts
+
+    def sides(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which rows are settled as later copies, and which may have ranges."""
+        copy = has_bit(likely.value, keys) & ~has_bit(doubts.value, keys)
+        return copy, ~copy & has_bit(losing.value, keys)
+
+    @F.pandas_udf("boolean")
+    def maybe(key: pd.Series) -> pd.Series:
+        return pd.Series(sides(key.to_numpy(np.int64))[1])
 
     def remove(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source, 4_000_000):
@@ -357,8 +377,20 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 kept = np.frombuffer(text, np.uint8)[~lost].tobytes()
                 n_spans = int((lost & ~np.append(False, lost[:-1])).sum())
                 out.append((doc, len(text), int(lost.sum()), n_spans, hashlib.sha256(kept).hexdigest(), kept))
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-            columns = zip(*out, strict=True) if out else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield _results(out)
 
-    return rows.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    def whole(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(source, 4_000_000):
+            out: list[tuple] = []
+            copies_, apart = (part.tolist() for part in sides(batch.column("key").to_numpy()))
+            for doc, text, copy, other in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), copies_, apart, strict=True):
+                if not other:
+                    gone = len(text) if copy and len(text) >= SPAN else 0
+                    kept = b"" if gone else text
+                    out.append((doc, len(text), gone, int(gone > 0), hashlib.sha256(kept).hexdigest(), kept))
+            yield _results(out)
+
+    asked = named.select("doc_id", "key", "text")
+    # As a deterministic one the test would be made on the ranges too.
+    lossy = asked.where(maybe.asNondeterministic()("key")).join(ranges, "key", "left").select("doc_id", "text", "ranges")
+    return asked.mapInArrow(whole, RESULTS).unionByName(lossy.mapInArrow(remove, RESULTS))

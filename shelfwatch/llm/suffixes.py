@@ -81,7 +81,7 @@ def _types(symbols: np.ndarray) -> np.ndarray:
     return np.repeat(rises[last], np.diff(last, prepend=-1))
 
 
-def _sevens(symbols: np.ndarray) -> np.ndarray:
+def sevens(symbols: np.ndarray) -> np.ndarray:
     """Every run of seven symbols as one number of 63 bits, by doubling."""
     one = symbols.astype(np.uint64)
     two = one[:-1] << np.uint64(9) | one[1:]
@@ -90,18 +90,22 @@ def _sevens(symbols: np.ndarray) -> np.ndarray:
     return four[:-3] << np.uint64(27) | three[4:]
 
 
-def sorted_suffixes(symbols: np.ndarray, depth: int, limit: int = QUEUE_BYTES) -> np.ndarray:
+def sorted_suffixes(symbols: np.ndarray, depth: int, limit: int = QUEUE_BYTES, wanted: np.ndarray | None = None) -> np.ndarray:
     """Suffix positions of ``symbols`` (uint16 up to 256, zero closes a string) in order of their first ``depth`` symbols.
 
     Suffixes that agree that far may come in any order among themselves. Strings end at zeros: what
-    follows one is not compared.
+    follows one is not compared. ``wanted`` holds for the first positions of each string: all of these are ordered,
+    of the others only those that they are induced from.
     """
     n = len(symbols)
     is_s = _types(symbols)
     is_s[symbols == 0] = True
     star = np.flatnonzero(is_s & ~np.append(True, is_s[:-1]) | (symbols == 0)) if n else np.zeros(0, np.int64)
+    if wanted is not None and len(star):
+        # A suffix is induced, step by step, from the next S* suffix after it.
+        star = star[np.append(True, wanted[star[:-1]] | (symbols[star[:-1]] == 0))]
     # S* suffixes by their first symbols, seven in a key; zeros part suffixes before what follows them counts.
-    packed = _sevens(np.append(symbols, np.zeros(depth + 16, symbols.dtype)))
+    packed = sevens(np.append(symbols, np.zeros(depth + 16, symbols.dtype)))
     star = star[np.lexsort([packed[star + at] for at in range(0, depth, 7)][::-1])]
 
     seeds, larger, smaller = (Queues(SYMBOLS, limit) for _ in range(3))

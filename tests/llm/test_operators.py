@@ -398,6 +398,18 @@ def test_search_for_anchors_has_small_batches_and_stored_settled_texts(spark, mo
     assert max(bounds) <= passages.STEP_ROWS and spark.conf.get(name) == before
 
 
+def test_removal_takes_one_python_worker_a_task(spark):
+    """Rows that stay as they are and later copies are told apart where their bytes are counted."""
+    passage = " ".join(f"passage{i}" for i in range(20))
+    rows = [(1, f"one {passage} end"), (2, f"one {passage} end"), (3, f"other {passage}"), (4, "short"), (5, "short"), (6, None)]
+    found = passages.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert (plan.count("ArrowEvalPython"), plan.count("MapInArrow")) == (1, 2)
+    whole, shared = len(rows[0][1]), len(passage) + 1
+    expected = [(1, 0, 0), (2, whole, 1), (3, shared, 1), (4, 0, 0), (5, 0, 0), (6, 0, 0)]
+    assert sorted((r["doc_id"], r["n_removed"], r["n_spans"]) for r in found.collect()) == expected
+
+
 def test_anchor_of_many_surroundings_is_not_sorted_in_one_task(spark):
     random = np.random.RandomState(5)
     phrase = b"the same twenty bytes"
@@ -435,6 +447,23 @@ def test_induced_sorting():
         assert found == sorted(found)
 
 
+def test_induced_sorting_of_wanted_suffixes():
+    """The first suffixes of each string come in the same order as among all, and most others are left out."""
+    random = np.random.RandomState(4)
+    kept = []
+    for _ in range(60):
+        parts = [random.randint(1, 4, random.randint(1, 60)) for _ in range(random.randint(1, 12))]
+        text = np.concatenate([np.append(p, 0) for p in parts]).astype(np.uint16)
+        wanted = np.concatenate([np.arange(len(p) + 1) < min(len(p), random.randint(0, 10)) for p in parts])
+        data = text.astype(np.uint8).tobytes()
+        order = suffixes.sorted_suffixes(text, 61, limit=200, wanted=wanted)
+        assert len(set(order.tolist())) == len(order) and set(np.flatnonzero(wanted)) <= set(order.tolist())
+        found = [data[p : data.index(b"\0", p)] for p in order]
+        assert found == sorted(found)
+        kept.append(len(order) / (text > 0).sum())
+    assert np.mean(kept) < 0.6
+
+
 def test_nearest_recall_and_scores(spark, data, run):
     vectors = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet(f"{data}/embeddings.parquet").collect()}
     ids = np.array(sorted(vectors))
