@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from array import array
+from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
@@ -23,17 +25,26 @@ _CUT = re.compile(rb"([0-9a-z])([!-&(-/:-@])")
 _BETWEEN = b"\x01"
 
 
+#: Words of lower-case letters up to U+00FF alone: one piece of the pattern in normal form, so the model takes them as they are.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+#: The model's characters for bytes: themselves if they can be seen, others in turn from U+0100 on.
+_SEEN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SEEN)}
+
+
 class WordEncoder:
     """Ids of a vocabulary whose rules never join what ASCII white space parts.
 
     That holds for ``word_bpe_49k.json``: white space and case are dropped, pieces of its pattern hold
     no white space, and its normal form does not look across it. So a text's ids are those of its
     words in turn, and only words not met before go through the tokenizer, many at a time with
-    ``_BETWEEN`` between them. Words that may hold a special token's text are encoded alone.
+    ``_BETWEEN`` between them. Words of plain letters go to the tokenizer's model alone, which spares them its
+    normal form and pattern; words that may hold a special token's text are encoded alone.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.mark = self._encode(_BETWEEN)
         if len(self.mark) != 1:
             raise ValueError("the vocabulary cuts the word used between words")
@@ -41,9 +52,17 @@ class WordEncoder:
         self.memo: dict[bytes, bytes] = {}
 
     def _encode(self, text: bytes) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4")
+        # The fast way keeps no offsets; the ids are the same.
+        return np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, "<u4")
 
     def _learn(self, words: list[bytes]) -> None:
+        letters, ids, ends = [w for w in words if _PLAIN(w)], array("I"), [0]
+        for w in letters:
+            ids.extend([token.id for token in self.model.tokenize(w.decode("latin-1").translate(_BYTES))])
+            ends.append(4 * len(ids))
+        whole = np.array(ids, "<u4").tobytes()
+        self.memo.update(zip(letters, [whole[i:j] for i, j in pairwise(ends)], strict=True))
+        words = [w for w in words if w not in self.memo]
         plain = [w for w in words if b"<|" not in w and _BETWEEN not in w]
         for at in range(0, len(plain), 5_000):
             part = plain[at : at + 5_000]
@@ -62,11 +81,15 @@ class WordEncoder:
         if len(self.memo) > MEMO_WORDS:
             self.memo = {}
         split = [(t if b"<|" in t else _CUT.sub(rb"\1 \2", t.lower())).split() for t in texts]
-        found = [list(map(self.memo.get, words)) for words in split]
-        new = {w for words, ids in zip(split, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
+        memo = self.memo
+        found = [list(map(memo.get, words)) for words in split]
+        missing = [[i for i, known in enumerate(ids) if known is None] if None in ids else () for ids in found]
+        new = {words[i] for words, places in zip(split, missing, strict=True) for i in places}
         if new:
             self._learn(list(new))
-            found = [list(map(self.memo.__getitem__, words)) if None in ids else ids for words, ids in zip(split, found, strict=True)]
+            for words, ids, places in zip(split, found, missing, strict=True):
+                for i in places:
+                    ids[i] = memo[words[i]]
         return list(map(b"".join, found))
 
 

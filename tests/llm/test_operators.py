@@ -608,6 +608,18 @@ def test_encoder_equals_tokenizer(corpus):
         assert whole.encode(text, add_special_tokens=False).ids == np.frombuffer(ids, "<u4").tolist()
 
 
+def test_plain_words_spare_the_tokenizer_its_pattern(monkeypatch):
+    """Words of lower-case letters up to U+00FF go to the model alone and have the tokenizer's ids."""
+    encode, whole = tokens.WordEncoder(tokens.vocabulary()), Tokenizer.from_file(tokens.vocabulary())
+    asked, general = [], encode._encode
+    monkeypatch.setattr(encode, "_encode", lambda text: asked.append(text) or general(text))
+    every = "".join(map(chr, [*range(97, 123), *range(0xDF, 0x100)])).replace("÷", "")
+    words = [*every, every, *(every[i : i + 7] for i in range(0, 50, 3)), "straße", "ciónñ", "ÿÀx", "a÷b", "xª", "é́x", "ǆa"]
+    found = encode([" ".join(words).encode()])[0]
+    assert np.frombuffer(found, "<u4").tolist() == whole.encode(" ".join(words), add_special_tokens=False).ids
+    assert b" ".join(asked).split() and not any("straße".encode() in text or b"abc" in text for text in asked)
+
+
 def test_packing_places_every_id_once(run, corpus):
     whole = Tokenizer.from_file(tokens.vocabulary())
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
