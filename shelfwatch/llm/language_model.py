@@ -64,10 +64,18 @@ MINI_BATCH = 32_768
 DICTIONARY = 150_000
 #: Words in a worker's memo before it starts anew.
 MEMO_WORDS = 600_000
+#: Rows whose scores are computed at once.
+CACHED_ROWS = 2048
+#: Changes of a block that one group adds up.
+ADDED = 16
 #: Stands for the end of a text; no word holds white space.
 END = b"\n"
 
+#: What is no part of a word's ending.
+MARKS = b".,;:!?"
+
 _ENTRY = np.dtype([("hash", "<u4"), ("index", "<i4"), ("class", "<u4")])
+_START = struct.pack("<IiI", 0, -1, CLASSES)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -107,26 +115,40 @@ class Lexicon:
     def __init__(self, frequent: list[bytes]) -> None:
         self.places = {token: i for i, token in enumerate(frequent)}
         self.memo: dict[bytes, bytes] = {}
+        #: Classes of endings; there are at most as many as pairs of bytes.
+        self.endings: dict[bytes, int] = {}
 
     def class_of(self, token: bytes) -> int:
         place = self.places.get(token, -1)
         if 0 <= place < SINGLE:
             return place
-        return SINGLE + xxhash.xxh3_64_intdigest(token.rstrip(b".,;:!?")[-2:]) % (CLASSES - SINGLE)
-
-    def _entry(self, token: bytes) -> bytes:
-        if not token:  # stands before the start of a text
-            return struct.pack("<IiI", 0, -1, CLASSES)
-        return struct.pack("<IiI", xxhash.xxh32_intdigest(token), self.places.get(token, -1), self.class_of(token))
+        return SINGLE + xxhash.xxh3_64_intdigest(token.rstrip(MARKS)[-2:]) % (CLASSES - SINGLE)
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Entries of words not met before, all at once."""
+        made = np.empty(len(words), _ENTRY)
+        made["hash"] = list(map(xxhash.xxh32_intdigest, words))
+        made["index"] = [self.places.get(w, -1) for w in words]
+        endings, known = [w.rstrip(MARKS)[-2:] for w in words], self.endings
+        for ending in set(endings).difference(known):
+            known[ending] = SINGLE + xxhash.xxh3_64_intdigest(ending) % (CLASSES - SINGLE)
+        made["class"] = list(map(known.__getitem__, endings))
+        alone = (made["index"] >= 0) & (made["index"] < SINGLE)
+        made["class"][alone] = made["index"][alone]
+        packed, size = made.tobytes(), _ENTRY.itemsize
+        self.memo.update(zip(words, [packed[i : i + size] for i in range(0, len(packed), size)], strict=True))
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
+        self.memo[b""] = _START  # stands before the start of a text
         found = list(map(self.memo.get, words))
         if None in found:
-            for i, entry in enumerate(found):
-                if entry is None:
-                    found[i] = self.memo.setdefault(words[i], self._entry(words[i]))
+            missing = [i for i, entry in enumerate(found) if entry is None]
+            self._learn(list({words[i] for i in missing}))
+            memo = self.memo
+            for i in missing:
+                found[i] = memo[words[i]]
         return np.frombuffer(b"".join(found), _ENTRY)
 
 
@@ -188,6 +210,7 @@ class Histories:
         every = lexicon(words)
         at = np.flatnonzero(every["class"] < CLASSES)
         self.entries = every[at]
+        self.words, self.at = words, at
         hashes, classes = every["hash"].copy(), every["class"].copy()
         self.last, self.before = hashes[at - 1], hashes[at - 2]
         gram = (classes[at - 1] * np.uint32(2654435761) + classes[at - 2] * np.uint32(40503) + classes[at - 3]) * np.uint32(2246822519)
@@ -219,30 +242,56 @@ def class_scores(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.
 
 def log_class(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Natural logarithm of the given class's probability for each row of features."""
-    scores = class_scores(weights, bias, rows)
-    own = scores[np.arange(len(rows)), classes]
-    return own - np.log(np.exp(scores, out=scores).sum(1))
+    found = np.empty(len(rows), np.result_type(weights, bias))
+    for part in _parts(len(rows)):
+        scores = class_scores(weights, bias if bias.ndim == 1 else bias[part], rows[part])
+        own = scores[np.arange(len(scores)), classes[part]]
+        found[part] = own - np.log(np.exp(scores, out=scores).sum(1))
+    return found
+
+
+def _parts(size: int) -> Iterator[slice]:
+    """Rows at a time that stay in a core's cache."""
+    for at in range(0, size, CACHED_ROWS):
+        yield slice(at, min(at + CACHED_ROWS, size))
+
+
+_ROOM: dict[int, np.ndarray] = {}
+
+
+def _room(slot: int, shape: tuple[int, int], kind: type = np.float32) -> np.ndarray:
+    """Memory of this worker for a mini-batch's intermediate values, used again for the next: new pages cost more than the sums."""
+    size = shape[0] * shape[1]
+    if slot not in _ROOM or len(_ROOM[slot]) < size:
+        _ROOM[slot] = np.empty(size, kind)
+    return _ROOM[slot][:size].reshape(shape)
 
 
 def step(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, classes: np.ndarray, met: np.ndarray | None = None, rate: float = RATE, calm: float = CALM) -> None:
     """One mini-batch of gradient ascent on the log-likelihood, in place; ``met`` counts the uses of rows."""
     if not len(rows):
         return
-    gradient = class_scores(weights, bias, rows)
-    np.exp(gradient, out=gradient)
-    gradient *= (-1 / gradient.sum(1))[:, None]
-    gradient[np.arange(len(rows)), classes] += 1
+    features, outcomes = weights.shape[1:]
+    # An outcome's numbers lie side by side, as counting bins wants them.
+    gradient = _room(0, (outcomes, len(rows)), np.float64)
+    for part in _parts(len(rows)):
+        scores = class_scores(weights, bias if bias.ndim == 1 else bias[part], rows[part])
+        np.exp(scores, out=scores)
+        scores *= (-1 / scores.sum(1))[:, None]
+        scores[np.arange(len(scores)), classes[part]] += 1
+        gradient[:, part] = scores.T
+    total = _room(1, (outcomes, features))
     for table in range(TABLES):
-        # 16 bits tell all rows of a table apart.
-        order = np.argsort(rows[:, table].astype(np.uint16), kind="stable")
-        sorted_rows = rows[order, table]
-        first = np.flatnonzero(np.append(True, sorted_rows[1:] != sorted_rows[:-1]))
-        used, count = sorted_rows[first], np.diff(np.append(first, len(order)))
-        total = np.add.reduceat(np.take(gradient, order, axis=0), first, axis=0)
-        moved = weights[table][used] + (rate / (count + calm)).astype(np.float32)[:, None] * total
-        weights[table][used] = np.clip(moved, -LARGEST, LARGEST)
+        row = np.ascontiguousarray(rows[:, table])
+        count = np.bincount(row, minlength=features)
+        for outcome, values in enumerate(gradient):
+            total[outcome] = np.bincount(row, values, features)
+        # Rows that were not met have a total of zero.
+        moved = total.T * (rate / (count + calm)).astype(np.float32)[:, None]
+        moved += weights[table]
+        np.clip(moved, -LARGEST, LARGEST, out=weights[table])
         if met is not None:
-            met[table][used] += count
+            met[table] += count
 
 
 def untrained() -> list[np.ndarray]:
@@ -298,10 +347,10 @@ def trained(texts: DataFrame, lexicon: Callable[[], Lexicon], bias: np.ndarray,
 
         schema = "block int, change binary"
         changes = texts.where(F.col("round") == turn).select("text").coalesce(tasks).mapInArrow(work, schema)
-        # Two levels, so that no group grows with the number of tasks alone.
-        salted = changes.withColumn("salt", F.pmod(F.xxhash64("change"), F.lit(8)).cast("int"))
-        partial = salted.groupBy("block", "salt").applyInPandas(add, schema)
-        found = partial.groupBy("block").applyInPandas(add, schema).toPandas()
+        if tasks > ADDED:  # two levels, so that no group grows with the number of tasks alone
+            salted = changes.withColumn("salt", F.pmod(F.xxhash64("change"), F.lit(-(-tasks // ADDED))).cast("int"))
+            changes = salted.groupBy("block", "salt").applyInPandas(add, schema)
+        found = changes.groupBy("block").applyInPandas(add, schema).toPandas()
         weights = [w.copy() for w in weights]
         for block, change in zip(found["block"], found["change"], strict=True):
             layer, i = divmod(int(block), BLOCKS)
@@ -373,11 +422,10 @@ def scored(docs: DataFrame) -> DataFrame:
             model -= np.where(index < 0, in_other[of], 0.0)
             n_tokens = np.array([len(t) for t in texts])
             first = np.cumsum(n_tokens) - n_tokens
-            rare: list[list[bytes]] = [[] for _ in texts]
             at = np.flatnonzero(index < 0)
-            for i, text in zip(at.tolist(), (np.searchsorted(first, at, "right") - 1).tolist(), strict=True):
-                rare[text].append(texts[text][i - first[text]])
-            found = [Counter(t) for t in rare]
+            rare = [seen.words[i] for i in seen.at[at].tolist()]
+            upto = np.searchsorted(at, np.append(first, len(index))).tolist()
+            found = [Counter(rare[a:b]) for a, b in zip(upto[:-1], upto[1:], strict=True)]
             made = [
                 pa.array(n_tokens, pa.int64()),
                 pa.array(np.add.reduceat(index >= 0, first, dtype=np.int64), pa.int64()),

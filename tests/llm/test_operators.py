@@ -208,6 +208,31 @@ def components_of(corpus):
     return sets, {i: find(i) for i in sets}
 
 
+def test_training_sends_changes_once_and_equals_plain_steps(spark, monkeypatch):
+    """Few changes of a block are added up in one shuffle; a step moves each row by the sum of its gradients."""
+    random = np.random.RandomState(2)
+    weights = random.normal(size=(language_model.TABLES, 64, 5)).astype(np.float32)
+    bias, classes = np.zeros(5, np.float32), random.randint(0, 5, 3000)
+    rows = random.randint(0, 60, (3000, language_model.TABLES)) ** 2 // 60
+    scores = bias + sum(weights[t][rows[:, t]].astype(float) for t in range(language_model.TABLES))
+    gradient = np.eye(5)[classes] - np.exp(scores) / np.exp(scores).sum(1, keepdims=True)
+    expected, count = weights.astype(float), np.zeros((language_model.TABLES, 64), np.int64)
+    for t in range(language_model.TABLES):
+        np.add.at(count[t], rows[:, t], 1)
+        total = np.zeros((64, 5))
+        np.add.at(total, rows[:, t], gradient)
+        expected[t] += total * (language_model.RATE / (count[t] + language_model.CALM))[:, None]
+    met = np.zeros_like(count)
+    language_model.step(weights, bias, rows, classes, met)
+    assert (met == count).all() and np.abs(weights - expected).max() < 1e-4
+
+    keys, group = [], type(spark.range(1)).groupBy
+    monkeypatch.setattr(type(spark.range(1)), "groupBy", lambda self, *by: keys.append(tuple(map(str, by))) or group(self, *by))
+    docs = spark.createDataFrame([(i, f"some words of text {i % 7}") for i in range(40)], "doc_id long, text string")
+    assert language_model.scored(docs).count() == 40
+    assert ("block",) in keys and ("block", "salt") not in keys
+
+
 def test_near_duplicates_equal_brute_force(run, corpus):
     sets, root = components_of(corpus)
     for r in run("op2_minhash_dedup"):
