@@ -50,7 +50,7 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.deduplicated(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return passages.deduplicated(documents(spark, sf_dir), with_kept=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 @query

@@ -22,6 +22,8 @@ SPACE = "\\x20\\x09-\\x0D"
 MEMO_WORDS = 400_000
 #: Bits of a filter that spares rows a shuffle (8 MB).
 FILTER_BITS = 1 << 26
+#: Bits of the largest one (64 MB).
+MOST_FILTER_BITS = 1 << 29
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +89,21 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Actions inside this block delete their shuffle files when they end, not when the driver collects its garbage.
+
+    Only for frames that are consumed once: a second action on the same one would not find its shuffles.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class WordHashes:
     """64-bit hashes of words, remembered per worker up to ``MEMO_WORDS`` words."""
 
@@ -134,6 +151,11 @@ def bit_filter(keys: DataFrame, column: str, bits: int = FILTER_BITS) -> Broadca
     return keys.sparkSession.sparkContext.broadcast(dense(filled, bits // 64))
 
 
+def filter_bits(keys: int) -> int:
+    """Bits of a filter of so many keys: 32 for each at least, within bounds."""
+    return min(MOST_FILTER_BITS, max(FILTER_BITS, 1 << (32 * keys).bit_length()))
+
+
 def has_bit(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which of the long ``keys`` have their bit in the words of a ``bit_filter``."""
     at = keys % (64 * len(table))
